@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, functions as F
 
 from proofweave import constants as K
@@ -18,6 +20,15 @@ SPACE_CHARACTERS = (
 )
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Evaluate ``value`` once per row and use it several times in ``body``.
+
+    Without it an expression mentioned inside a lambda is evaluated again for
+    every array element.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def strip(text: Column) -> Column:
     """Trim every Unicode whitespace character from both ends."""
     return F.btrim(text, F.lit(SPACE_CHARACTERS))

@@ -41,15 +41,14 @@ def _windows(normalized: Column, size: Column, step: Column) -> Column:
     A substring scans its text from the start, so windows are cut from pieces
     of ``WINDOWS_PER_PIECE`` steps rather than from the whole document.
     """
-    length = F.length(normalized)
     stride = step * WINDOWS_PER_PIECE
 
-    def cut(base: Column) -> Column:
+    def cut(base: Column, length: Column) -> Column:
         piece = F.substring(normalized, base + 1, stride + size)
         last = F.least(base + stride - step, length - 1)
         return F.struct(base.alias("base"), last.alias("last"), piece.alias("text"))
 
-    def window(piece: Column, start: Column) -> Column:
+    def window(piece: Column, start: Column, length: Column) -> Column:
         content = F.substring(piece["text"], start - piece["base"] + 1, size)
         return F.struct(
             start.alias("start_offset"),
@@ -57,17 +56,20 @@ def _windows(normalized: Column, size: Column, step: Column) -> Column:
             tx.strip(content).alias("content"),
         )
 
-    pieces = F.transform(F.sequence(F.lit(0), length - 1, stride), cut)
-    windows = F.flatten(
-        F.transform(
-            pieces,
-            lambda piece: F.transform(
-                F.sequence(piece["base"], piece["last"], step),
-                lambda start: window(piece, start),
-            ),
+    def windows(length: Column) -> Column:
+        bases = F.sequence(F.lit(0), length - 1, stride)
+        return F.flatten(
+            F.transform(
+                F.transform(bases, lambda base: cut(base, length)),
+                lambda piece: F.transform(
+                    F.sequence(piece["base"], piece["last"], step),
+                    lambda start: window(piece, start, length),
+                ),
+            )
         )
-    )
-    return F.filter(windows, lambda item: item["content"] != "")
+
+    found = tx.let(F.length(normalized), windows)
+    return F.filter(found, lambda item: item["content"] != "")
 
 
 def split_documents(

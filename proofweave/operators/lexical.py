@@ -40,9 +40,11 @@ def _positioned(text: Column, offset: Column) -> Column:
 
 def lexemes(content: Column, title: Column) -> Column:
     """Search terms with positions; title positions follow the content's."""
-    body = _positioned(content, F.lit(0))
-    last = F.coalesce(F.element_at(body, -1)["pos"], F.lit(0))
-    return F.concat(body, _positioned(title, last))
+    def joined(body: Column) -> Column:
+        last = F.coalesce(F.try_element_at(body, F.lit(-1))["pos"], F.lit(0))
+        return tx.let(last, lambda shift: F.concat(body, _positioned(title, shift)))
+
+    return tx.let(_positioned(content, F.lit(0)), joined)
 
 
 def index_chunks(chunks: DataFrame) -> DataFrame:
@@ -69,49 +71,45 @@ def covers(occurrences: Column, terms: Column) -> Column:
     before it. Each distinct start gives one minimal cover, closed by the first
     right end that reaches it.
     """
-    positions = F.transform(occurrences, lambda item: item["pos"])
-    by_term = F.transform(
+    spots_by_term = F.transform(
         terms,
         lambda term: F.transform(
             F.filter(occurrences, lambda item: item["term"] == term), lambda item: item["pos"]
         ),
     )
-    ends = F.filter(
-        F.transform(
-            positions,
-            lambda end: F.struct(
-                F.array_min(
-                    F.transform(
-                        by_term,
-                        lambda spots: F.coalesce(
-                            F.array_max(F.filter(spots, lambda spot: spot <= end)), F.lit(-1)
-                        ),
-                    )
-                ).alias("start"),
-                end.alias("end"),
-            ),
-        ),
-        lambda span: span["start"] > 0,
-    )
-    minimal = F.filter(
-        ends, lambda span, at: (at == 0) | (span["start"] > F.get(ends, at - 1)["start"])
-    )
-    return F.aggregate(
-        minimal,
-        F.lit(0.0),
-        lambda acc, span: acc
-        + F.lit(1.0)
-        / (
-            F.lit(2)
-            + span["end"]
-            - span["start"]
-            - F.size(
-                F.filter(
-                    positions, lambda spot: (spot >= span["start"]) & (spot <= span["end"])
-                )
+
+    def widest_start(by_term: Column, end: Column) -> Column:
+        return F.array_min(
+            F.transform(
+                by_term,
+                lambda spots: F.coalesce(
+                    F.array_max(F.filter(spots, lambda spot: spot <= end)), F.lit(-1)
+                ),
             )
-        ),
-    )
+        )
+
+    def spans(by_term: Column) -> Column:
+        reached = F.transform(
+            occurrences,
+            lambda item: F.struct(
+                widest_start(by_term, item["pos"]).alias("start"), item["pos"].alias("end")
+            ),
+        )
+        return F.filter(reached, lambda span: span["start"] > 0)
+
+    def minimal(ends: Column) -> Column:
+        return F.filter(
+            ends, lambda span, at: (at == 0) | (span["start"] > F.get(ends, at - 1)["start"])
+        )
+
+    def weight(span: Column) -> Column:
+        inside = F.filter(
+            occurrences, lambda item: item["pos"].between(span["start"], span["end"])
+        )
+        return F.lit(1.0) / (F.lit(2) + span["end"] - span["start"] - F.size(inside))
+
+    ends = tx.let(spots_by_term, spans)
+    return F.aggregate(tx.let(ends, minimal), F.lit(0.0), lambda acc, span: acc + weight(span))
 
 
 def _term_density(occurrences: Column, terms: Column) -> Column:

@@ -99,16 +99,14 @@ def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     asked = vectors.toDF("question_id", *vectors.columns[1:])
     number = {n: F.substring(n, 5, 20).cast("long") for n in ("question_id", "chunk_id")}
-    return vector.vector_top(asked, vectors, dimension=64).withColumns(
-        number | rounded("score")
-    )
+    return vector.vector_top(asked, vectors, dimension=64).withColumns(number)
 
 
 @query
 def lexical_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, index = B.corpus(spark, sf_dir)
     tried = retrieval.attempts(B.questions(spark, sf_dir))
-    return lexical.lexical_top(tried, index).withColumns(rounded("score"))
+    return lexical.lexical_top(tried, index)
 
 
 def _fused(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:

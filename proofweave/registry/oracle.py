@@ -392,14 +392,14 @@ ORACLE["hash_embedding"] = build(
 )
 ORACLE["vector_topk"] = f"""
     SELECT q.vec_id AS question_id, c.vec_id AS chunk_id,
-      round(round(list_cosine_similarity(q.embedding::DOUBLE[], c.embedding::DOUBLE[]), 8), 6) AS score,
+      round(list_cosine_similarity(q.embedding::DOUBLE[], c.embedding::DOUBLE[]), 8) AS score,
       row_number() OVER (PARTITION BY q.vec_id ORDER BY
         round(list_cosine_similarity(q.embedding::DOUBLE[], c.embedding::DOUBLE[]), 8) DESC,
         'vec-' || c.vec_id)::INT AS vec_rank
     FROM embeddings q JOIN embeddings c ON c.label = q.label
     QUALIFY vec_rank <= {K.CANDIDATE_LIMIT}"""
 ORACLE["lexical_topk"] = build(
-    """SELECT question_id, form, chunk_id, round(score, 6) AS score, lex_rank::INT AS lex_rank
+    """SELECT question_id, form, chunk_id, score, lex_rank::INT AS lex_rank
        FROM lexical_ranked""",
     "lexical_ranked",
 )
