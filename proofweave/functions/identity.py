@@ -188,5 +188,21 @@ def json_array(items: Column) -> Column:
     return F.concat(F.lit("["), F.array_join(F.transform(items, json_string), ","), F.lit("]"))
 
 
+def config_hash(size: Column, overlap: Column, config: ChunkerConfig) -> Column:
+    """Chunker configuration digest when sizes vary per row."""
+    constants = {
+        "implementationVersion": config.version,
+        "name": config.name,
+        "normalization": config.normalization,
+        "separators": list(config.separators),
+        "tokenizer": config.tokenizer,
+    }
+    fields = {name: F.lit(canonical_json(value).decode()) for name, value in constants.items()}
+    document = json_object(
+        **fields, size=size.cast("string"), overlap=overlap.cast("string")
+    )
+    return digest(document)
+
+
 def digest(text: Column) -> Column:
     return F.sha2(utf8(text), 256)

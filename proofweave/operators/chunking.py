@@ -72,6 +72,10 @@ def _windows(normalized: Column, size: Column, step: Column) -> Column:
     return F.filter(found, lambda item: item["content"] != "")
 
 
+def _has_own_sizes(frame: DataFrame) -> bool:
+    return {"chunk_size", "chunk_overlap"} <= set(frame.columns)
+
+
 def split_documents(
     normalized: DataFrame, config: ChunkerConfig = ChunkerConfig(), drop: tuple[str, ...] = ()
 ) -> DataFrame:
@@ -81,7 +85,7 @@ def split_documents(
     neither a window function nor a shuffle. ``chunk_size``/``chunk_overlap``
     columns, when present, override the configured sizes per document.
     """
-    if "chunk_size" in normalized.columns and "chunk_overlap" in normalized.columns:
+    if _has_own_sizes(normalized):
         size, overlap = F.col("chunk_size"), F.col("chunk_overlap")
     else:
         size, overlap = F.lit(config.size), F.lit(config.overlap)
@@ -104,7 +108,11 @@ def split_documents(
 
 def with_chunk_identity(chunks: DataFrame, config: ChunkerConfig = ChunkerConfig()) -> DataFrame:
     """Add ``chunk_id`` (hex) and ``chunker_config_hash`` (hex)."""
-    return chunks.withColumn("chunker_config_hash", F.lit(config.hash_hex)).withColumn(
+    if _has_own_sizes(chunks):
+        config_hash = ids.config_hash(F.col("chunk_size"), F.col("chunk_overlap"), config)
+    else:
+        config_hash = F.lit(config.hash_hex)
+    return chunks.withColumn("chunker_config_hash", config_hash).withColumn(
         "chunk_id",
         ids.chunk_id(
             F.col("enterprise_id"),
@@ -122,3 +130,13 @@ def chunk_versions(
     """Document versions to identified chunks; the source text is not carried on."""
     identified = with_version_identity(normalize_documents(versions, text_column))
     return with_chunk_identity(split_documents(identified, config, drop=(text_column,)), config)
+
+
+def expected_counts(normalized: DataFrame, config: ChunkerConfig = ChunkerConfig()) -> DataFrame:
+    """Chunks each version must have, counted inside its own row."""
+    if _has_own_sizes(normalized):
+        size, overlap = F.col("chunk_size"), F.col("chunk_overlap")
+    else:
+        size, overlap = F.lit(config.size), F.lit(config.overlap)
+    windows = _windows(F.col("normalized"), size, size - overlap)
+    return normalized.select("version_id", F.size(windows).cast("long").alias("expected_chunks"))

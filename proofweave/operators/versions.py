@@ -28,11 +28,13 @@ def reconcile_chunks(stored: DataFrame, expected: DataFrame) -> DataFrame:
 
 
 def completeness(stored: DataFrame, expected: DataFrame) -> DataFrame:
-    """Per version: stored and expected chunk counts, and whether they agree."""
+    """Per version: stored and expected chunk counts, and whether they agree.
+
+    ``expected``: version_id, expected_chunks.
+    """
     have = stored.groupBy("version_id").agg(F.count(F.lit(1)).alias("stored_chunks"))
-    want = expected.groupBy("version_id").agg(F.count(F.lit(1)).alias("expected_chunks"))
     stored_chunks = F.coalesce("stored_chunks", F.lit(0)).cast("long")
-    return want.join(have, "version_id", "left").select(
+    return expected.join(have, "version_id", "left").select(
         "version_id",
         stored_chunks.alias("stored_chunks"),
         "expected_chunks",

@@ -7,13 +7,16 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from proofweave import constants as K
+from proofweave.functions import text as tx
 from proofweave.functions.embedding import with_embedding
 from proofweave.functions.identity import uuid_from_text
-from proofweave.operators import chunking, lexical, scope, versions
+from proofweave.operators import chunking, lexical, versions
 from proofweave.operators.sizing import materialize, spread
+from proofweave.operators.traces import days_later
+from proofweave.plans.answering import answer_questions
 
 EPOCH = dt.datetime(2024, 1, 1, tzinfo=dt.timezone.utc)
 PUBLISHED_DAYS = 900
@@ -21,6 +24,7 @@ REVISION_DELAY_DAYS = 30
 TENANTS = 20
 
 _built: dict[tuple[str, str], tuple[DataFrame, DataFrame]] = {}
+_evidence: dict[tuple[str, str], tuple[DataFrame, DataFrame]] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -126,7 +130,11 @@ def active_corpus_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """User turns, plus one known-item question per document (its title)."""
+    """User turns, plus one known-item question per document.
+
+    A labelled document is asked for by its title; any other is asked for the
+    sum or mean of the values in it.
+    """
     turns = (
         table(spark, sf_dir, "conversations")
         .filter(F.col("role") == "user")
@@ -142,15 +150,200 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.col("text").alias("query_text"),
         )
     )
-    titles = table(spark, sf_dir, "documents").select(
-        F.concat_ws("-", F.lit("title"), "doc_id").alias("question_id"),
+    documents = table(spark, sf_dir, "documents").join(
+        table(spark, sf_dir, "labels"), "doc_id", "left"
+    )
+    title = title_of(F.col("text"))
+    wanted = F.when(F.col("lang") == "en", "total").otherwise("average")
+    numeric = F.concat(F.lit("What is the "), wanted, F.lit(" of the values in "), title, F.lit("?"))
+    labelled = F.col("quality").isNotNull()
+    known_items = documents.select(
+        F.concat_ws("-", F.when(labelled, "title").otherwise("values"), "doc_id").alias(
+            "question_id"
+        ),
         tenant_uuid(F.col("source")).alias("enterprise_id"),
         F.concat(F.lit("reader-"), F.col("lang")).alias("actor_id"),
         F.array(F.concat(F.lit("group:"), F.col("lang"))).alias("principals"),
-        title_of(F.col("text")).alias("query_text"),
+        F.when(labelled, title).otherwise(numeric).alias("query_text"),
     )
-    return turns.unionByName(titles)
+    return turns.unionByName(known_items)
 
 
 def embedded_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_embedding(questions(spark, sf_dir), "query_text")
+
+
+def evidence(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Routed questions and their written evidence, once per session and folder."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _evidence:
+        chunks, index = corpus(spark, sf_dir)
+        _evidence[key] = answer_questions(
+            questions(spark, sf_dir), chunks, index, spell=False, claims_for=mixed_claims
+        )
+    return _evidence[key]
+
+
+def mixed_claims(retrieved: DataFrame) -> DataFrame:
+    """Proposals of every kind: verbatim, padded, altered, misattributed, blank."""
+    line = tx.first_line(F.col("content"))
+    kinds = F.array(
+        *[
+            F.struct(F.lit(kind).alias("kind"), chunk.alias("cited"), text.alias("text"))
+            for kind, chunk, text in (
+                (0, F.col("chunk_id"), F.concat(F.lit("  "), line, F.lit(" "))),
+                (1, F.col("chunk_id"), F.upper(line)),
+                (2, F.sha2(F.col("chunk_id"), 256), line),
+                (3, F.col("chunk_id"), F.lit("   ")),
+            )
+        ]
+    )
+    leading = retrieved.filter(F.col("result_rank") <= K.CITED_CHUNKS)
+    return leading.withColumn("claim", F.explode(kinds)).select(
+        "question_id",
+        ((F.col("result_rank") - 1) * 4 + F.col("claim.kind") + 1).alias("pos"),
+        F.col("claim.cited").alias("chunk_id"),
+        F.col("claim.text").alias("text"),
+    )
+
+
+def compute_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Delivery times of orders, and sums or means over event values."""
+    shipped = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(
+        F.max("l_shipdate").alias("shipped")
+    )
+
+    def day(column: str) -> Column:
+        return F.date_format(column, "yyyy-MM-dd")
+
+    delivery = table(spark, sf_dir, "orders").join(
+        shipped, F.col("o_orderkey") == F.col("l_orderkey")
+    ).select(
+        F.concat_ws("-", F.lit("order"), "o_orderkey").alias("question_id"),
+        F.concat(
+            F.lit("How many days between "), day("o_orderdate"), F.lit(" and "), day("shipped"), F.lit("?")
+        ).alias("query_text"),
+    )
+    word = F.when(F.col("event_type").isin("purchase", "click"), "total").otherwise("average")
+    amounts = table(spark, sf_dir, "events").select(
+        F.concat_ws("-", F.lit("event"), "event_id").alias("question_id"),
+        F.format_string(
+            "What is the %s of %.2f and -%s?",
+            word,
+            F.col("value"),
+            F.get_json_object("props", "$.k"),
+        ).alias("query_text"),
+    )
+    return delivery.unionByName(amounts)
+
+
+def routing_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked = questions(spark, sf_dir).select("question_id", "query_text")
+    return asked.unionByName(compute_questions(spark, sf_dir))
+
+
+def ingest_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as ingest requests; some break a bound."""
+    documents = spread(table(spark, sf_dir, "documents"), "doc_id").join(
+        table(spark, sf_dir, "labels"), "doc_id", "left"
+    )
+    group = F.concat(F.lit("group:"), F.col("lang"))
+    toxic = F.coalesce(F.col("toxic") == 1, F.lit(False))
+    published = F.lit(EPOCH) + F.make_dt_interval(days=F.col("doc_id") % PUBLISHED_DAYS)
+    return documents.select(
+        tenant_uuid(F.col("source")).alias("enterprise_id"),
+        uuid_from_text(F.concat(F.lit("doc:"), F.col("doc_id").cast("string"))).alias("document_id"),
+        F.regexp_extract("text", r"\A[^.\n]*", 0).alias("title"),
+        F.concat(F.lit("corpus://documents/"), F.col("doc_id").cast("string")).alias("source_uri"),
+        F.lit("v1").alias("version_label"),
+        F.col("text").alias("content"),
+        F.when(toxic, F.array().cast("array<string>")).otherwise(
+            F.array(group, F.concat(F.lit(" "), group))
+        ).alias("principals"),
+        (F.length("text") % 9000 + 64).alias("chunk_size"),
+        (F.length("text") % 2500).alias("chunk_overlap"),
+        F.coalesce(F.lit(0.70) + F.col("quality") * 0.35, F.lit(K.DEFAULT_AUTHORITY)).alias(
+            "source_authority"
+        ),
+        F.lit(K.DEFAULT_QUALITY).alias("extraction_quality"),
+        F.when(F.col("lang") == "es", "soon")
+        .otherwise(F.date_format(published, "yyyy-MM-dd'T'HH:mm:ss'Z'"))
+        .alias("published_at"),
+        F.create_map(F.lit("source"), F.col("source"), F.lit("lang"), F.col("lang")).alias(
+            "metadata"
+        ),
+    )
+
+
+def event_traces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as traces of past questions."""
+    payload = F.struct(
+        F.lit("rag").alias("route"),
+        F.col("event_type").alias("evidence_status"),
+        F.struct(F.col("props").alias("raw_query")).alias("model_inputs"),
+        F.array("props").alias("retrieved_text"),
+    )
+    return table(spark, sf_dir, "events").select(
+        uuid_from_text(F.concat(F.lit("event:"), F.col("event_id").cast("string"))).alias("trace_id"),
+        uuid_from_text(F.concat(F.lit("tenant:"), (F.col("user_id") % 10).cast("string"))).alias(
+            "enterprise_id"
+        ),
+        F.concat(F.lit("user-"), F.col("user_id").cast("string")).alias("actor_id"),
+        F.concat_ws(" ", "event_type", "props").alias("raw_query"),
+        F.format_string("%.2f", F.col("value")).alias("raw_response"),
+        payload.alias("payload"),
+        F.col("ts").alias("created_at"),
+        days_later("ts", K.RAW_CONTENT_DAYS).alias("raw_content_expires_at"),
+        days_later("ts", K.TRACE_DAYS).alias("expires_at"),
+    )
+
+
+def graph_definitions(
+    spark: SparkSession, sf_dir: str
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Orders as component graphs: line items are nodes, linked in line order."""
+    lines = table(spark, sf_dir, "lineitem")
+    orders = table(spark, sf_dir, "orders")
+    in_order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
+    numbered = lines.withColumns(
+        {
+            "position": F.row_number().over(in_order),
+            "following": F.lead("l_linenumber").over(in_order),
+            "opening": F.first("l_linenumber").over(in_order),
+        }
+    )
+
+    def node(number: Column) -> Column:
+        return F.concat(F.lit("n"), number.cast("string"))
+
+    by_flag = F.when(F.col("l_returnflag") == "A", "authorization").when(
+        F.col("l_returnflag") == "N", "provenance"
+    ).otherwise("audit")
+    by_status = F.when(F.col("l_linestatus") == "O", "claim-validation").otherwise("retrieval")
+    nodes = numbered.select(
+        F.col("l_orderkey").alias("definition_id"),
+        node(F.col("l_linenumber")).alias("node_id"),
+        "position",
+        F.concat(F.lit("part-"), F.col("l_partkey").cast("string")).alias("component_type"),
+        F.lit("1.0.0").alias("component_version"),
+        F.array(by_flag, by_status).alias("capabilities"),
+        F.lit("rows").alias("input_schema"),
+        F.lit("rows").alias("output_schema"),
+    )
+    target = (
+        F.when((F.col("l_returnflag") == "R") & (F.col("l_discount") > 0.05), node(F.col("opening")))
+        .when(F.col("l_tax") > 0.075, F.lit("n0"))
+        .when(F.col("following") != F.col("l_linenumber"), node(F.col("following")))
+    )
+    edges = numbered.select(
+        F.col("l_orderkey").alias("definition_id"),
+        node(F.col("l_linenumber")).alias("source_node_id"),
+        target.alias("target_node_id"),
+        "position",
+    ).filter(F.col("target_node_id").isNotNull())
+    definitions = orders.select(
+        F.col("o_orderkey").alias("definition_id"),
+        F.concat(F.lit("order "), F.col("o_orderkey").cast("string")).alias("name"),
+        (F.col("o_custkey") % 25 + 28).cast("int").alias("rerank_top_k"),
+    )
+    return definitions, nodes, edges

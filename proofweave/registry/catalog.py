@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from proofweave.functions import identity as ids
 from proofweave.functions.embedding import with_embedding
-from proofweave.operators import chunking, lexical, rerank, vector
+from proofweave.operators import answers, chunking, lexical, rerank, routing, vector
 from proofweave.operators.sizing import spread
 from proofweave.plans import retrieval
 from proofweave.registry import bindings as B
@@ -186,3 +186,84 @@ def hybrid_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
         )
         .withColumns(rounded("rrf_score", "rerank_score", "source_score", "support_score"))
     )
+
+
+# --- routing and answers -----------------------------------------------------
+@query
+def spelling_correction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    corrected = routing.correct(B.routing_questions(spark, sf_dir))
+    return corrected.filter(F.col("corrected_query").isNotNull()).select(
+        "question_id", "query_text", "corrected_query"
+    )
+
+
+def _routed_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return routing.route(B.routing_questions(spark, sf_dir), "query_text")
+
+
+@query
+def route_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _routed_all(spark, sf_dir).select(
+        "question_id",
+        "route",
+        "function_name",
+        F.size("numbers").alias("n_numbers"),
+        "start_date",
+        "end_date",
+    )
+
+
+@query
+def compute_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    answered, _ = answers.compute_answers(_routed_all(spark, sf_dir))
+    return answered.select(
+        "question_id",
+        "function_name",
+        F.round("value", 6).alias("value"),
+        "answer",
+        "evidence_status",
+        "confidence",
+    )
+
+
+def _cited_chunks() -> F.Column:
+    cited = F.array_join(F.transform("citations", lambda c: c["chunk_id"]), ",")
+    return F.nullif(cited, F.lit("")).alias("cited_chunks")
+
+
+@query
+def retrieve_then_compute(spark: SparkSession, sf_dir: str) -> DataFrame:
+    answered, _ = B.evidence(spark, sf_dir)
+    return answered.filter(F.col("route") == routing.RETRIEVE_THEN_COMPUTE).select(
+        "question_id",
+        "function_name",
+        "n_values",
+        F.round("value", 4).alias("value"),
+        "evidence_status",
+        "answer",
+        _cited_chunks(),
+    )
+
+
+@query
+def evidence_block(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return answers.evidence_blocks(B.evidence(spark, sf_dir)[1])
+
+
+@query
+def validate_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    retrieved = B.evidence(spark, sf_dir)[1]
+    return answers.validate_claims(retrieved, B.mixed_claims(retrieved))
+
+
+@query
+def answer_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    answered, _ = B.evidence(spark, sf_dir)
+    return answered.select(
+        "question_id",
+        "route",
+        "evidence_status",
+        "answer",
+        F.size(F.coalesce("claims", F.array())).alias("n_claims"),
+        _cited_chunks(),
+    )

@@ -170,9 +170,12 @@ cte(
       text AS query_text
     FROM conversations WHERE role = 'user'
     UNION ALL
-    SELECT 'title-' || doc_id, {text_uuid('source')}, 'reader-' || lang, ['group:' || lang],
-      {title('text')}
-    FROM documents""",
+    SELECT CASE WHEN quality IS NULL THEN 'values-' ELSE 'title-' END || doc_id,
+      {text_uuid('source')}, 'reader-' || lang, ['group:' || lang],
+      CASE WHEN quality IS NULL THEN 'What is the ' || CASE WHEN lang = 'en' THEN 'total'
+          ELSE 'average' END || ' of the values in ' || {title('text')} || '?'
+        ELSE {title('text')} END
+    FROM documents LEFT JOIN labels USING (doc_id)""",
 )
 
 
@@ -431,3 +434,206 @@ ORACLE["hybrid_retrieval"] = build(
          result_rank::INT AS result_rank FROM retrieved""",
     "retrieved",
 )
+
+
+# --- routing and computed answers --------------------------------------------
+cte(
+    "compute_questions",
+    (),
+    """
+    SELECT 'order-' || o_orderkey AS question_id,
+      'How many days between ' || strftime(o_orderdate, '%Y-%m-%d') || ' and '
+        || strftime(max(l_shipdate), '%Y-%m-%d') || '?' AS query_text
+    FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey, o_orderdate
+    UNION ALL
+    SELECT 'event-' || event_id,
+      'What is the ' || CASE WHEN event_type IN ('purchase', 'click') THEN 'total'
+        ELSE 'average' END || ' of ' || printf('%.2f', value) || ' and -'
+        || regexp_extract(props, '[0-9]+') || '?'
+    FROM events""",
+)
+
+
+def routed(name: str, source: str, *columns: str) -> None:
+    kept = "".join(f"{c}, " for c in columns)
+    days = r"days between (\d{4}-\d{2}-\d{2}) and (\d{4}-\d{2}-\d{2})"
+    cte(
+        name,
+        tuple(c for c in (source,) if c in CTES),
+        f"""
+        SELECT question_id, {kept}query_text, numbers, start_date, end_date,
+          CASE WHEN start_date IS NOT NULL THEN 'compute'
+               WHEN len(numbers) > 0 AND (s OR m) THEN 'compute'
+               WHEN hint AND (s OR m) THEN 'retrieve-then-compute' ELSE 'rag' END AS route,
+          CASE WHEN start_date IS NOT NULL THEN 'dateDifference'
+               WHEN len(numbers) > 0 AND s THEN 'sum' WHEN len(numbers) > 0 AND m THEN 'mean'
+               WHEN hint AND m THEN 'mean' WHEN hint AND s THEN 'sum' END AS function_name
+        FROM (
+          SELECT *, regexp_matches(query_text, '(?i)\\b(sum|total)\\b') AS s,
+            regexp_matches(query_text, '(?i)\\b(mean|average)\\b') AS m,
+            regexp_matches(lower(query_text), 'worksheet|spreadsheet|table|values') AS hint,
+            nullif(regexp_extract(query_text, '(?i){days}', 1), '') AS start_date,
+            nullif(regexp_extract(query_text, '(?i){days}', 2), '') AS end_date,
+            list_transform(regexp_extract_all(query_text, '-?\\d+(?:\\.\\d+)?'),
+                           lambda n: n::DOUBLE) AS numbers
+          FROM {source})""",
+    )
+
+
+cte(
+    "all_questions",
+    ("questions", "compute_questions"),
+    """SELECT question_id, query_text FROM questions
+       UNION ALL SELECT question_id, query_text FROM compute_questions""",
+)
+routed("routed_all", "all_questions")
+routed("routed", "questions", "enterprise_id", "actor_id", "principals")
+cte(
+    "computed",
+    ("routed_all",),
+    """
+    SELECT *, function_name || ' = ' || CASE WHEN function_name = 'dateDifference'
+        THEN value::BIGINT::VARCHAR ELSE format('{:g}', value) END AS answer
+    FROM (
+      SELECT question_id, function_name, CASE function_name
+        WHEN 'sum' THEN list_reduce(numbers, lambda a, b: a + b)
+        WHEN 'mean' THEN list_reduce(numbers, lambda a, b: a + b) / len(numbers)
+        ELSE date_diff('day', start_date::DATE, end_date::DATE)::DOUBLE END AS value
+      FROM routed_all WHERE route = 'compute')""",
+)
+ORACLE["route_queries"] = build(
+    """SELECT question_id, route, function_name, len(numbers)::INT AS n_numbers, start_date,
+         end_date FROM routed_all""",
+    "routed_all",
+)
+ORACLE["compute_answers"] = build(
+    """SELECT question_id, function_name, round(value, 6) AS value, answer,
+         'sufficient' AS evidence_status, 1.0::DOUBLE AS confidence FROM computed""",
+    "computed",
+)
+
+# --- answers -------------------------------------------------------------------
+cte(
+    "searched",
+    ("retrieved", "routed"),
+    "SELECT r.* FROM retrieved r JOIN routed q USING (question_id) WHERE q.route <> 'compute'",
+)
+cte(
+    "proposed",
+    ("searched",),
+    f"""
+    SELECT question_id, (result_rank - 1) * 4 + kind + 1 AS pos,
+      CASE WHEN kind = 2 THEN sha256(chunk_id) ELSE chunk_id END AS chunk_id,
+      CASE kind WHEN 0 THEN '  ' || line || ' ' WHEN 1 THEN upper(line) WHEN 2 THEN line
+                ELSE '   ' END AS text
+    FROM (SELECT question_id, result_rank, chunk_id, split_part(content, E'\\n', 1) AS line,
+            unnest([0, 1, 2, 3]) AS kind
+          FROM searched WHERE result_rank <= {K.CITED_CHUNKS})""",
+)
+cte(
+    "accepted",
+    ("proposed", "searched"),
+    f"""
+    SELECT p.question_id, p.pos, 'claim-' || p.pos AS claim_id, {strip('p.text')} AS claim_text,
+      'C' || row_number() OVER (PARTITION BY p.question_id ORDER BY p.pos) AS citation_id,
+      p.chunk_id, r.title, r.version_label, r.locator, round(r.support_score, 4) AS support_score
+    FROM proposed p JOIN searched r ON r.question_id = p.question_id AND r.chunk_id = p.chunk_id
+    WHERE {strip('p.text')} <> '' AND contains(r.content, {strip('p.text')})""",
+)
+NUM = r"'-?\d+(?:\.\d+)?'"
+cte(
+    "answered",
+    ("searched", "routed", "accepted"),
+    f"""
+    WITH lead_chunks AS (
+      SELECT question_id, count(*) AS n_retrieved,
+        max(CASE WHEN result_rank = 1 THEN content END) AS c1,
+        max(CASE WHEN result_rank = 2 THEN content END) AS c2,
+        max(CASE WHEN result_rank = 1 THEN support_score END) AS s1,
+        max(CASE WHEN result_rank = 2 THEN support_score END) AS s2,
+        max(CASE WHEN result_rank = 1 THEN chunk_id END) AS id1,
+        max(CASE WHEN result_rank = 2 THEN chunk_id END) AS id2,
+        flatten(list(regexp_extract_all(content, {NUM}) ORDER BY result_rank)
+          FILTER (WHERE result_rank <= {K.NUMERIC_CHUNKS})) AS found
+      FROM searched GROUP BY question_id),
+    told AS (
+      SELECT question_id, string_agg(claim_text, ' ' ORDER BY pos) AS text, count(*) AS n,
+        string_agg(chunk_id, ',' ORDER BY pos) AS cited FROM accepted GROUP BY question_id),
+    judged AS (
+      SELECT q.*, coalesce(n_retrieved, 0) AS n_retrieved, c1, c2, s1, s2, id1, id2, text, n, cited,
+        list_transform(found, lambda x: x::DOUBLE) AS vals,
+        CASE WHEN route = 'retrieve-then-compute'
+               THEN CASE WHEN len(found) > 0 THEN 'computed' ELSE 'no-numbers' END
+             WHEN n > 0 THEN 'claims'
+             WHEN s1 >= {K.FALLBACK_CLAIM_THRESHOLD} THEN 'fallback'
+             WHEN s2 IS NOT NULL AND abs(s1 - s2) <= {K.CONFLICT_GAP}
+               AND len(regexp_extract_all(c1, {NUM})) > 0 AND len(regexp_extract_all(c2, {NUM})) > 0
+               AND list_sort(list_distinct(regexp_extract_all(c1, {NUM})))
+                 <> list_sort(list_distinct(regexp_extract_all(c2, {NUM}))) THEN 'conflict'
+             ELSE 'insufficient' END AS outcome
+      FROM routed q LEFT JOIN lead_chunks USING (question_id) LEFT JOIN told USING (question_id)
+      WHERE route <> 'compute'),
+    valued AS (
+      SELECT *, CASE WHEN outcome = 'computed' THEN
+          CASE WHEN function_name = 'sum' THEN list_reduce(vals, lambda a, b: a + b)
+               ELSE list_reduce(vals, lambda a, b: a + b) / len(vals) END END AS value
+      FROM judged)
+    SELECT question_id, enterprise_id, actor_id, principals, query_text, route, function_name,
+      n_retrieved, value, CASE WHEN outcome = 'computed' THEN len(vals) ELSE 0 END AS n_values,
+      CASE WHEN outcome IN ('claims', 'fallback', 'computed') THEN 'sufficient'
+           WHEN outcome = 'conflict' THEN 'conflict' ELSE 'insufficient' END AS evidence_status,
+      CASE outcome WHEN 'claims' THEN text WHEN 'fallback' THEN c1
+        WHEN 'computed' THEN function_name || ' = ' || format('{{:g}}', value)
+        WHEN 'no-numbers' THEN '{K.TEXT_NO_NUMBERS}' WHEN 'conflict' THEN '{K.TEXT_CONFLICT}'
+        ELSE '{K.TEXT_INSUFFICIENT}' END AS answer,
+      CASE outcome WHEN 'claims' THEN n WHEN 'fallback' THEN 1 WHEN 'computed' THEN 1 ELSE 0 END
+        AS n_claims,
+      CASE WHEN outcome = 'claims' THEN cited WHEN outcome = 'fallback' THEN id1
+        WHEN outcome IN ('conflict', 'computed') THEN concat_ws(',', id1, id2) END AS cited_chunks
+    FROM valued""",
+)
+cte(
+    "computed_rows",
+    ("routed",),
+    """
+    SELECT question_id, enterprise_id, actor_id, principals, query_text, route, function_name,
+      0 AS n_retrieved, value, len(numbers) AS n_values, 'sufficient' AS evidence_status,
+      function_name || ' = ' || CASE WHEN function_name = 'dateDifference'
+        THEN value::BIGINT::VARCHAR ELSE format('{:g}', value) END AS answer,
+      1 AS n_claims, NULL AS cited_chunks
+    FROM (
+      SELECT *, CASE function_name
+        WHEN 'sum' THEN list_reduce(numbers, lambda a, b: a + b)
+        WHEN 'mean' THEN list_reduce(numbers, lambda a, b: a + b) / len(numbers)
+        ELSE date_diff('day', start_date::DATE, end_date::DATE)::DOUBLE END AS value
+      FROM routed WHERE route = 'compute')""",
+)
+cte(
+    "answers",
+    ("answered", "computed_rows"),
+    "SELECT * FROM answered UNION ALL SELECT * FROM computed_rows",
+)
+ORACLE["retrieve_then_compute"] = build(
+    """SELECT question_id, function_name, n_values::INT AS n_values, round(value, 4) AS value,
+         evidence_status, answer, cited_chunks
+       FROM answered WHERE route = 'retrieve-then-compute'""",
+    "answered",
+)
+ORACLE["evidence_block"] = build(
+    f"""SELECT question_id, count(*) AS n_blocks,
+          string_agg('chunk_id: ' || chunk_id || E'\ntitle: ' || title || E'\nversion: '
+            || version_label || E'\nsupport_score: ' || printf('%.3f', support_score)
+            || E'\ncontent: ' || content, E'\n\n' ORDER BY result_rank) AS evidence_block
+        FROM searched WHERE result_rank <= {K.EVIDENCE_CHUNKS} GROUP BY question_id""",
+    "searched",
+)
+ORACLE["validate_claims"] = build(
+    """SELECT question_id, pos::INT AS pos, claim_id, claim_text, citation_id, chunk_id, title,
+         version_label, locator, support_score FROM accepted""",
+    "accepted",
+)
+ORACLE["answer_assembly"] = build(
+    """SELECT question_id, route, evidence_status, answer, n_claims::INT AS n_claims, cited_chunks
+       FROM answers""",
+    "answers",
+)
