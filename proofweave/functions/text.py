@@ -77,11 +77,9 @@ def extract_numbers(text: Column) -> Column:
 
 def focused_query(text: Column) -> Column:
     """The first long, non-noise tokens; null when that adds nothing."""
-    noise = F.array(*[F.lit(word) for word in K.NOISE_WORDS])
     kept = F.filter(
         tokenize(text),
-        lambda token: ~F.array_contains(noise, token)
-        & (F.length(token) >= K.MIN_FOCUS_LENGTH),
+        lambda token: ~token.isin(*K.NOISE_WORDS) & (F.length(token) >= K.MIN_FOCUS_LENGTH),
     )
     focused = F.array_join(F.slice(kept, 1, K.FOCUS_TERMS), " ")
     return F.when((F.size(kept) > 0) & (focused != F.lower(text)), focused)

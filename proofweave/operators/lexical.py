@@ -22,7 +22,7 @@ ATTEMPT = ("question_id", "form")
 
 
 def _is_kept(term: Column) -> Column:
-    return ~F.array_contains(F.array(*[F.lit(w) for w in K.ENGLISH_STOP_WORDS]), term)
+    return ~term.isin(*K.ENGLISH_STOP_WORDS)
 
 
 def query_terms(text: Column) -> Column:

@@ -13,6 +13,7 @@ from proofweave.operators.lexical import ATTEMPT
 # Scores are compared for order after rounding, so summation noise never
 # decides between two equal candidates.
 ORDER_DECIMALS = 9
+PROVENANCE = ("content", "locator", "title", "version_label")
 
 
 def token_recall(query: Column, content: Column) -> Column:
@@ -38,23 +39,33 @@ def source_score(authority: Column, quality: Column, fresh: Column) -> Column:
     return F.least(F.lit(1.0), authority * 0.45 + quality * 0.25 + fresh * 0.30)
 
 
+def with_token_sets(chunks: DataFrame) -> DataFrame:
+    """Distinct content and title tokens, kept with the chunk when ingested."""
+    if {"content_tokens", "title_tokens"} <= set(chunks.columns):
+        return chunks
+    return chunks.withColumns(
+        {
+            "content_tokens": tx.token_set(F.col("content")),
+            "title_tokens": tx.token_set(F.col("title")),
+        }
+    )
+
+
 def score_candidates(
     fused: DataFrame, attempts: DataFrame, chunks: DataFrame, as_of: dt.datetime = K.AS_OF
 ) -> DataFrame:
-    """Attach chunk provenance and the rerank, source and support scores."""
+    """Attach the rerank, source and support scores."""
     query = attempts.select(*ATTEMPT, tx.token_set(F.col("query_text")).alias("query_tokens"))
-    payload = chunks.select(
+    payload = with_token_sets(chunks).select(
         "chunk_id",
-        "content",
-        "locator",
-        "title",
-        "version_label",
+        "content_tokens",
+        "title_tokens",
         "source_authority",
         "extraction_quality",
         "published_at",
     )
-    recall = token_recall(F.col("query_tokens"), tx.token_set(F.col("content")))
-    boost = title_boost(F.col("query_tokens"), tx.token_set(F.col("title")))
+    recall = token_recall(F.col("query_tokens"), F.col("content_tokens"))
+    boost = title_boost(F.col("query_tokens"), F.col("title_tokens"))
     return (
         fused.join(query, list(ATTEMPT))
         .join(payload, "chunk_id")
@@ -76,7 +87,14 @@ def score_candidates(
                 + F.col("rrf_score") * 0.20,
             ),
         )
-        .drop("query_tokens", "source_authority", "extraction_quality", "published_at")
+        .drop(
+            "query_tokens",
+            "content_tokens",
+            "title_tokens",
+            "source_authority",
+            "extraction_quality",
+            "published_at",
+        )
     )
 
 
@@ -96,3 +114,8 @@ def confident(scored: DataFrame, threshold: float = K.CONFIDENCE_THRESHOLD) -> D
     )
     fallback = ~F.col("any_passes") & F.col("any_lexical") & (F.col("result_rank") == 1)
     return ranked.filter(passes | fallback).drop("any_passes", "any_lexical")
+
+
+def with_provenance(kept: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Add content and provenance to the rows that survived the filter."""
+    return kept.join(chunks.select("chunk_id", *PROVENANCE), "chunk_id")

@@ -70,10 +70,24 @@ def retrieve(
     """
     tried = attempts(questions)
     fused = candidates(tried, questions, chunks, index, **limits)
-    scored = rerank.score_candidates(fused, tried, chunks, as_of)
+    scored = rerank.score_candidates(without_idle_retries(fused), tried, chunks, as_of)
     # One shuffle by question serves the windows per attempt and per question.
     kept = rerank.confident(scored.repartition("question_id"), threshold)
-    return first_answering_form(kept)
+    return rerank.with_provenance(first_answering_form(kept), chunks)
+
+
+def without_idle_retries(fused: DataFrame) -> DataFrame:
+    """Drop retries that cannot count: a lexical match always returns a row.
+
+    The fused rows are already partitioned by question, so this adds no shuffle.
+    """
+    question = Window.partitionBy("question_id")
+    settled = F.max((F.col("form") == FULL) & F.col("lex_rank").isNotNull()).over(question)
+    return (
+        fused.withColumn("settled", settled)
+        .filter((F.col("form") == FULL) | ~F.col("settled"))
+        .drop("settled")
+    )
 
 
 def first_answering_form(kept: DataFrame) -> DataFrame:

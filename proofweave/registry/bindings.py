@@ -14,6 +14,7 @@ from proofweave.functions import text as tx
 from proofweave.functions.embedding import with_embedding
 from proofweave.functions.identity import uuid_from_text
 from proofweave.operators import chunking, lexical, versions
+from proofweave.operators.rerank import with_token_sets
 from proofweave.operators.sizing import materialize, spread
 from proofweave.operators.traces import days_later
 from proofweave.plans.answering import answer_questions
@@ -98,7 +99,7 @@ def corpus(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _built:
-        chunks = with_embedding(active_corpus_chunks(spark, sf_dir), "content")
+        chunks = with_token_sets(with_embedding(active_corpus_chunks(spark, sf_dir), "content"))
         stored = materialize(chunks, "chunks")
         _built[key] = (stored, materialize(lexical.index_chunks(stored), "index"))
     return _built[key]
@@ -150,7 +151,7 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.col("text").alias("query_text"),
         )
     )
-    documents = table(spark, sf_dir, "documents").join(
+    documents = spread(table(spark, sf_dir, "documents"), "doc_id").join(
         table(spark, sf_dir, "labels"), "doc_id", "left"
     )
     title = title_of(F.col("text"))

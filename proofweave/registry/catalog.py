@@ -238,7 +238,7 @@ def retrieve_then_compute(spark: SparkSession, sf_dir: str) -> DataFrame:
         "question_id",
         "function_name",
         "n_values",
-        F.round("value", 4).alias("value"),
+        "value",
         "evidence_status",
         "answer",
         _cited_chunks(),

@@ -614,7 +614,7 @@ cte(
     "SELECT * FROM answered UNION ALL SELECT * FROM computed_rows",
 )
 ORACLE["retrieve_then_compute"] = build(
-    """SELECT question_id, function_name, n_values::INT AS n_values, round(value, 4) AS value,
+    """SELECT question_id, function_name, n_values::INT AS n_values, value,
          evidence_status, answer, cited_chunks
        FROM answered WHERE route = 'retrieve-then-compute'""",
     "answered",

@@ -28,6 +28,8 @@ def build_session(
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.sql.execution.arrow.maxRecordsPerBatch": "4096",
+        # Few bytes can mean much work here (token sets, covers): split finely.
+        "spark.sql.adaptive.coalescePartitions.minPartitionSize": "128k",
     }
     if shuffle_partitions:
         settings["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
