@@ -113,9 +113,18 @@ def covers(occurrences: Column, terms: Column) -> Column:
 
 
 def _term_density(occurrences: Column, terms: Column) -> Column:
-    """A one-term question scores its occurrence count; others use covers."""
-    single = F.size(occurrences).cast("double")
-    return F.when(F.size(terms) == 1, single).otherwise(covers(occurrences, terms))
+    """Cover density, with the two common cases solved without a search.
+
+    One term: every occurrence is a cover of its own. Each term once: the only
+    cover runs from the first occurrence to the last.
+    """
+    found = F.size(occurrences)
+    spread = F.element_at(occurrences, -1)["pos"] - F.element_at(occurrences, 1)["pos"]
+    return (
+        F.when(F.size(terms) == 1, found.cast("double"))
+        .when(found == F.size(terms), F.lit(1.0) / (F.lit(2) + spread - found))
+        .otherwise(covers(occurrences, terms))
+    )
 
 
 def _anchored(questions: DataFrame, posting_rows: DataFrame) -> DataFrame:

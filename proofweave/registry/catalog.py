@@ -2,16 +2,38 @@
 
 from __future__ import annotations
 
+import datetime as dt
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from proofweave.functions import identity as ids
 from proofweave.functions.embedding import with_embedding
-from proofweave.operators import answers, chunking, lexical, rerank, routing, vector
-from proofweave.operators.sizing import spread
-from proofweave.plans import retrieval
+from proofweave import constants as K
+from proofweave.functions import text as tx
+from proofweave.operators import (
+    answers,
+    chunking,
+    definitions,
+    evaluation,
+    lexical,
+    rerank,
+    retention,
+    routing,
+    scope,
+    traces,
+    vector,
+    versions,
+)
+from proofweave.operators.sizing import materialize, spread
+from proofweave.plans import ingestion, retrieval
 from proofweave.registry import bindings as B
+from proofweave.session import ensure_checkpoint_dir
+from proofweave.sources import requests as requests_source
+from proofweave.sources.tables import TableLayout
+from proofweave.sources.text_files import read_text_files
+from proofweave.streaming import ingest as streaming
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -267,3 +289,316 @@ def answer_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.size(F.coalesce("claims", F.array())).alias("n_claims"),
         _cited_chunks(),
     )
+
+
+# --- ingestion and lifecycle ---------------------------------------------------
+@query
+def validate_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    checked = B.ingest_requests(spark, sf_dir).withColumn(
+        "problems", requests_source.request_problems()
+    )
+    valid = F.size("problems") == 0
+    published = F.unix_micros(tx.iso_timestamp(F.col("published_at")))
+    return checked.select(
+        "document_id",
+        valid.alias("is_valid"),
+        F.array_join("problems", "; ").alias("reason"),
+        F.when(valid, published).alias("published_micros"),
+    )
+
+
+def _identified_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    accepted, _ = requests_source.split_valid(B.ingest_requests(spark, sf_dir))
+    return ingestion.identify(accepted)
+
+
+@query
+def ingest_result(spark: SparkSession, sf_dir: str) -> DataFrame:
+    identified = _identified_requests(spark, sf_dir)
+    chunks = chunking.with_chunk_identity(chunking.split_documents(identified))
+    return ingestion.ingest_results(identified, chunks).select(
+        "document_id",
+        "version_id",
+        "version_hash",
+        "chunk_count",
+        F.array_join("chunk_ids", ",").alias("chunk_ids"),
+        F.array_join("metadata_keys", ",").alias("metadata_keys"),
+        "status",
+    )
+
+
+@query
+def activate_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Some second editions lost chunks, and some first editions came back."""
+    editions = materialize(
+        B.identified_editions(spark, sf_dir).select(
+            "enterprise_id", "document_id", "version_id", "version_hash", "version_label",
+            "source_authority", "extraction_quality", "normalized",
+        ),
+        "editions",
+    )
+    wanted = chunking.with_chunk_identity(chunking.split_documents(editions))
+    lost = (F.col("version_label") == "v2") & (F.col("source_authority") < 0.8) & (F.col("ordinal") >= 2)
+    other = ids.ChunkerConfig(size=700, overlap=100)
+    leftovers = chunking.with_chunk_identity(chunking.split_documents(editions, other), other)
+    key = ["version_id", "chunk_id"]
+    stored = wanted.filter(~lost).select(*key).unionByName(leftovers.select(*key))
+    reconciled = versions.reconcile_chunks(stored, wanted.select(*key))
+    complete = versions.completeness(reconciled, chunking.expected_counts(editions))
+    first_try = B.activation_requests(editions)
+    came_back = (F.col("version_label") == "v1") & (F.col("extraction_quality") < 0.9)
+    rollback = B.activation_requests(editions.filter(came_back)).withColumn(
+        "activation_seq", F.lit(3)
+    )
+    return versions.activate(first_try.unionByName(rollback), complete).join(
+        complete.select("version_id", "stored_chunks", "expected_chunks"), "version_id"
+    )
+
+
+@query
+def tenant_purge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tenants holding a toxic document leave, with everything below them."""
+    editions = B.identified_editions(spark, sf_dir)
+    chunks = chunking.with_chunk_identity(chunking.split_documents(editions))
+    tenants = editions.groupBy("enterprise_id").agg(
+        F.min("extraction_quality").alias("worst_quality")
+    )
+    staying = tenants.filter(F.col("worst_quality") >= 0.9)
+    kept_versions = versions.purge_children(staying, editions, "enterprise_id")
+    kept_chunks = versions.purge_children(kept_versions, chunks, "version_id")
+    acl = scope.acl_rows(chunks)
+    return versions.purge_children(kept_chunks, acl, "chunk_id")
+
+
+# --- access ----------------------------------------------------------------------
+@query
+def acl_scope_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    editions = B.identified_editions(spark, sf_dir)
+    status = versions.activate(
+        B.activation_requests(editions),
+        editions.select("version_id", F.lit(True).alias("is_complete")),
+    )
+    chunks = chunking.with_chunk_identity(chunking.split_documents(editions))
+    known = editions.drop("principals", "normalized").join(
+        status.select("version_id", "status"), "version_id"
+    )
+    shown = scope.active_chunks(
+        chunks.select("version_id", "chunk_id", "enterprise_id", "principals"), known
+    )
+    usable, _ = scope.validated_scopes(B.questions(spark, sf_dir))
+    scopes = usable.select(
+        F.concat_ws("|", "enterprise_id", F.array_join("principals", ",")).alias("scope_id"),
+        "enterprise_id",
+        "principals",
+    ).distinct()
+    return scope.authorized_chunks(scopes, shown, scope.acl_rows(shown)).select(
+        "scope_id", "chunk_id", "version_label"
+    )
+
+
+@query
+def acl_replace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    editions = B.identified_editions(spark, sf_dir)
+    chunks = chunking.with_chunk_identity(chunking.split_documents(editions))
+    current = scope.acl_rows(chunks)
+    again = chunks.filter(F.col("version_label") == "v2").withColumn(
+        "principals",
+        F.concat("principals", F.array(F.lit(" role:auditor "), F.lit("role:auditor"))),
+    )
+    return scope.replace_acl(current, again)
+
+
+# --- traces, audit, retention ------------------------------------------------------
+def _stamped_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers with a creation time that differs between questions."""
+    answered, _ = B.evidence(spark, sf_dir)
+    age = F.make_dt_interval(secs=F.length("query_text"))
+    return answered.withColumn("created_at", F.lit(K.AS_OF) - age)
+
+
+def _stamp(name: str) -> F.Column:
+    return F.date_format(name, "yyyy-MM-dd HH:mm:ss").alias(name)
+
+
+def _traces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return traces.trace_rows(_stamped_answers(spark, sf_dir), B.evidence(spark, sf_dir)[1])
+
+
+@query
+def trace_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    details = F.array_join(F.transform("payload.stage_events", lambda e: e["detail"]), "|")
+    return _traces(spark, sf_dir).select(
+        "trace_id",
+        "enterprise_id",
+        "actor_id",
+        "raw_query",
+        "raw_response",
+        F.col("payload.route").alias("route"),
+        details.alias("details"),
+        F.size(F.coalesce("payload.retrieved_chunks", F.array())).alias("n_chunks"),
+        _stamp("created_at"),
+        _stamp("raw_content_expires_at"),
+        _stamp("expires_at"),
+    )
+
+
+@query
+def latest_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    audit = traces.audit_rows(_stamped_answers(spark, sf_dir))
+    return traces.latest_traces(traces.trace_summaries(_traces(spark, sf_dir), audit)).withColumn(
+        "created_at", _stamp("created_at")
+    )
+
+
+@query
+def audit_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return traces.audit_rows(_stamped_answers(spark, sf_dir)).withColumns(
+        {"created_at": _stamp("created_at"), "expires_at": _stamp("expires_at")}
+    )
+
+
+@query
+def stage_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return traces.replay_stages(_traces(spark, sf_dir))
+
+
+REDACTED_AT = dt.datetime(2024, 2, 15, tzinfo=dt.timezone.utc)
+PURGED_AT = dt.datetime(2024, 4, 15, tzinfo=dt.timezone.utc)
+
+
+@query
+def redact_expired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return retention.redact(B.event_traces(spark, sf_dir), REDACTED_AT).select(
+        "trace_id",
+        "raw_query",
+        "raw_response",
+        F.col("payload.evidence_status").alias("evidence_status"),
+        F.col("payload.model_inputs.raw_query").alias("model_input"),
+        F.element_at("payload.retrieved_text", 1).alias("first_text"),
+        "was_redacted",
+    )
+
+
+@query
+def purge_traces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Audit rows after the purge: all of them, some without a pointer."""
+    all_traces = B.event_traces(spark, sf_dir)
+    audit = all_traces.select(
+        F.col("trace_id").alias("trace_memory_id"),
+        ids.trace_identifier_hash(F.col("trace_id")).alias("trace_identifier_hash"),
+        "enterprise_id",
+        F.col("payload.evidence_status").alias("outcome"),
+    )
+    return retention.unlink_audit(audit, retention.purge(all_traces, PURGED_AT))
+
+
+# --- evaluation ----------------------------------------------------------------------
+@query
+def promotion_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One evaluation run per tenant over the known-item questions."""
+    answered, retrieved = B.evidence(spark, sf_dir)
+    chunks, _ = B.corpus(spark, sf_dir)
+    owners = chunks.select("chunk_id", "document_id", F.col("enterprise_id").alias("owner"))
+    run = F.col("enterprise_id").alias("run_id")
+    known = answered.filter(F.col("question_id").rlike("^(title|values)-"))
+    gold = known.select(
+        run,
+        "question_id",
+        ids.uuid_from_text(F.regexp_replace("question_id", "^[a-z]+-", "doc:")).alias("document_id"),
+    )
+    recall = evaluation.recall_at(
+        retrieved.select("question_id", "chunk_id", "result_rank").join(owners, "chunk_id"), gold
+    )
+    leaks = scope.leaked_rows(retrieved, answered, chunks)
+    leak_counts = leaks.join(answered.select("question_id", run), "question_id").groupBy("run_id").agg(
+        F.count(F.lit(1)).alias("scope_leak_count")
+    )
+    proposed = B.mixed_claims(retrieved)
+    accepted = answers.validate_claims(retrieved, proposed)
+    tried = proposed.groupBy("question_id").agg(F.count(F.lit(1)).alias("n_proposed"))
+    passed = accepted.groupBy("question_id").agg(F.count(F.lit(1)).alias("n_accepted"))
+    claims = F.coalesce("claims", F.array())
+    cited = F.filter(claims, lambda c: F.size(c["citation_ids"]) > 0)
+    cites = F.coalesce("citations", F.array())
+    no_evidence = F.col("n_retrieved") == 0
+    abstained = F.col("evidence_status").isin("insufficient", "conflict")
+    searched = F.col("route") != routing.COMPUTE
+    rates = (
+        answered.join(tried, "question_id", "left")
+        .join(passed, "question_id", "left")
+        .groupBy(run)
+        .agg(
+            evaluation.ratio(F.sum(F.size(cites)), F.sum(F.size(cites)), 1.0).alias(
+                "citation_precision"
+            ),
+            evaluation.ratio(
+                F.sum(F.when(searched, F.size(cited))), F.sum(F.when(searched, F.size(claims))), 1.0
+            ).alias("citation_completeness"),
+            evaluation.ratio(
+                F.sum(F.coalesce("n_proposed", F.lit(0)) - F.coalesce("n_accepted", F.lit(0))),
+                F.sum("n_proposed"),
+                0.0,
+            ).alias("unsupported_claim_rate"),
+            evaluation.ratio(
+                F.count_if(searched & no_evidence & abstained), F.count_if(searched & no_evidence), 1.0
+            ).alias("abstention_recall"),
+        )
+    )
+    metrics = (
+        rates.join(recall, "run_id", "left")
+        .join(leak_counts, "run_id", "left")
+        .withColumn("scope_leak_count", F.coalesce("scope_leak_count", F.lit(0)).cast("long"))
+        .withColumn("recall_at_10", F.coalesce("recall_at_10", F.lit(0.0)))
+    )
+    judged = evaluation.promotion_gates(metrics)
+    return judged.withColumns(rounded(*evaluation.RATES)).withColumn(
+        "failed_gates", F.array_join("failed_gates", ",")
+    )
+
+
+# --- definitions -----------------------------------------------------------------------
+@query
+def definition_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    problems = definitions.validate_definitions(*B.graph_definitions(spark, sf_dir))
+    return problems.withColumn("missing", F.array_join("missing", ","))
+
+
+@query
+def definition_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return definitions.definition_hashes(*B.graph_definitions(spark, sf_dir))
+
+
+# --- files and streams --------------------------------------------------------------------
+@query
+def text_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document written as a text file by Spark and read back whole."""
+    path = f"{ensure_checkpoint_dir(spark)}/proofweave/texts-{uuid.uuid4().hex}"
+    documents = spread(B.table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+    documents.write.partitionBy("doc_id").text(path)
+    parsed, _ = read_text_files(spark, path)
+    number = F.regexp_extract("source_uri", "doc_id=([0-9]+)", 1).cast("long")
+    return parsed.select(
+        number.alias("doc_id"),
+        tx.normalize_content(F.col("text")).alias("normalized"),
+        "parser_name",
+        "parser_version",
+    )
+
+
+@query
+def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents streamed as request files, in micro-batches, with repeats."""
+    root = f"{ensure_checkpoint_dir(spark)}/proofweave/stream-{uuid.uuid4().hex}"
+    requests = B.ingest_requests(spark, sf_dir)
+    requests.write.json(f"{root}/requests")
+    requests.write.mode("append").json(f"{root}/requests")
+    layout = TableLayout(f"{root}/tables")
+    stream = streaming.request_stream(spark, f"{root}/requests", max_files=10)
+    streaming.run_to_completion(
+        streaming.start_ingestion(stream, layout, f"{root}/stream-checkpoint")
+    )
+    return (
+        layout.active_chunks(spark)
+        .groupBy("document_id", "version_id")
+        .agg(F.count(F.lit(1)).alias("chunk_count"), F.min("chunk_id").alias("least_chunk_id"))
+    )

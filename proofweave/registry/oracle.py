@@ -637,3 +637,328 @@ ORACLE["answer_assembly"] = build(
        FROM answers""",
     "answers",
 )
+
+
+# --- ingestion and lifecycle ----------------------------------------------------
+cte(
+    "requests",
+    (),
+    f"""
+    SELECT *, CASE WHEN title_bad THEN 'title length' END AS p1,
+      CASE WHEN no_principals THEN 'no principals' END AS p2,
+      CASE WHEN chunk_size NOT BETWEEN 64 AND 8000 THEN 'chunk size' END AS p3,
+      CASE WHEN chunk_overlap > 2000 THEN 'chunk overlap' END AS p4,
+      CASE WHEN chunk_overlap >= chunk_size THEN 'overlap not below size' END AS p5,
+      CASE WHEN source_authority > 1 THEN 'authority' END AS p6,
+      CASE WHEN lang = 'es' THEN 'published date' END AS p7,
+      CASE WHEN {strip('text')} = '' THEN 'blank content' END AS p0
+    FROM (
+      SELECT doc_id, text, lang, {text_uuid('source')} AS enterprise_id,
+        {text_uuid("'doc:' || doc_id")} AS document_id,
+        length(regexp_extract(text, '^[^.\\n]*')) NOT BETWEEN 1 AND 255 AS title_bad,
+        coalesce(toxic = 1, false) AS no_principals,
+        length(text) % 9000 + 64 AS chunk_size, length(text) % 2500 AS chunk_overlap,
+        coalesce(0.70::DOUBLE + quality * 0.35::DOUBLE, 0.85::DOUBLE) AS source_authority,
+        TIMESTAMP '2024-01-01' + to_days((doc_id % 900)::INT) AS published_at
+      FROM documents LEFT JOIN labels USING (doc_id))""",
+)
+cte(
+    "judged_requests",
+    ("requests",),
+    "SELECT *, concat_ws('; ', p1, p0, p2, p3, p4, p5, p6, p7) AS reason FROM requests",
+)
+ORACLE["validate_requests"] = build(
+    """SELECT document_id, reason = '' AS is_valid, reason,
+         CASE WHEN reason = '' THEN epoch_us(published_at) END AS published_micros
+       FROM judged_requests""",
+    "judged_requests",
+)
+CONFIG_HASH = (
+    """sha256('{"implementationVersion":"1.0.0","name":"paragraph-window","normalization":"""
+    """"nfkc-whitespace-v1","overlap":' || chunk_overlap || ',"separators":["\\n\\n","\\n",". "," "],"""
+    """"size":' || chunk_size || ',"tokenizer":"unicode-codepoint"}')"""
+)
+cte(
+    "request_versions",
+    ("judged_requests",),
+    f"""
+    SELECT *, {uuid5("enterprise_id || ':' || document_id || ':' || version_hash")} AS version_id,
+      {CONFIG_HASH} AS config_hash
+    FROM (SELECT *, sha256({framed(raw_uuid('document_id'), "encode('v1')",
+                                   'encode(normalized)')}) AS version_hash
+          FROM (SELECT * EXCLUDE (text), {normalize('text')} AS normalized
+                FROM judged_requests WHERE reason = ''))""",
+)
+cte(
+    "request_chunks",
+    ("request_versions",),
+    f"""
+    SELECT document_id, version_id, version_hash, ordinal, sha256({framed(
+        raw_uuid('enterprise_id'), 'unhex(version_hash)',
+        "encode('char:' || start_offset || '-' || end_offset || ':ordinal:' || ordinal)",
+        'encode(content)', 'unhex(config_hash)')}) AS chunk_id
+    FROM (
+      SELECT *, row_number() OVER (PARTITION BY version_id ORDER BY start_offset) - 1 AS ordinal
+      FROM (
+        SELECT *, least(start_offset + chunk_size, length(normalized)) AS end_offset,
+          {strip('substr(normalized, start_offset + 1, chunk_size)')} AS content
+        FROM (SELECT *, unnest(range(0, length(normalized), chunk_size - chunk_overlap))
+                AS start_offset FROM request_versions))
+      WHERE content <> '')""",
+)
+ORACLE["ingest_result"] = build(
+    """SELECT document_id, version_id, version_hash, count(*) AS chunk_count,
+         string_agg(chunk_id, ',' ORDER BY ordinal) AS chunk_ids, 'lang,source' AS metadata_keys,
+         'active' AS status
+       FROM request_chunks GROUP BY document_id, version_id, version_hash""",
+    "request_chunks",
+)
+ORACLE["stream_ingest"] = build(
+    """SELECT document_id, version_id, count(*) AS chunk_count, min(chunk_id) AS least_chunk_id
+       FROM request_chunks GROUP BY document_id, version_id""",
+    "request_chunks",
+)
+ORACLE["activate_versions"] = build(
+    """
+    SELECT enterprise_id, document_id, version_id, activation_seq::INT AS activation_seq,
+      CASE WHEN NOT whole THEN 'processing'
+           WHEN row_number() OVER (PARTITION BY document_id ORDER BY whole DESC,
+                activation_seq DESC) = 1 THEN 'active' ELSE 'superseded' END AS status,
+      stored AS stored_chunks, expected AS expected_chunks
+    FROM (
+      SELECT i.enterprise_id, i.document_id, i.version_id,
+        CASE WHEN version_label = 'v2' THEN 2 WHEN extraction_quality < 0.9 THEN 3 ELSE 1 END
+          AS activation_seq, stored, expected, stored = expected AS whole
+      FROM identified i JOIN (
+        SELECT version_id, count(*) AS expected, count(*) FILTER (WHERE NOT (
+            version_label = 'v2' AND source_authority < 0.8 AND ordinal >= 2)) AS stored
+        FROM all_chunks GROUP BY version_id) USING (version_id))""",
+    "identified",
+    "all_chunks",
+)
+ORACLE["tenant_purge"] = build(
+    """SELECT chunk_id, enterprise_id, unnest(principals) AS principal_id FROM all_chunks
+       WHERE enterprise_id NOT IN (SELECT enterprise_id FROM identified
+                                   WHERE extraction_quality < 0.9)""",
+    "all_chunks",
+    "identified",
+)
+ORACLE["acl_scope_filter"] = build(
+    """SELECT scope_id, chunk_id, version_label
+       FROM (SELECT DISTINCT enterprise_id || '|' || array_to_string(principals, ',') AS scope_id,
+               enterprise_id, principals FROM questions) s
+       JOIN chunks c ON c.enterprise_id = s.enterprise_id
+         AND list_has_any(c.principals, s.principals)""",
+    "questions",
+    "chunks",
+)
+ORACLE["acl_replace"] = build(
+    """SELECT chunk_id, enterprise_id, unnest(CASE WHEN version_label = 'v2'
+         THEN list_append(principals, 'role:auditor') ELSE principals END) AS principal_id
+       FROM all_chunks""",
+    "all_chunks",
+)
+
+# --- traces, audit, retention ------------------------------------------------------
+cte(
+    "stamped",
+    ("answers",),
+    f"""
+    SELECT *, {uuid5("'trace:' || name")} AS trace_id, {uuid5("'audit:' || name")} AS audit_id
+    FROM (SELECT *, enterprise_id || ':' || question_id || ':'
+            || strftime(created_at, '%Y-%m-%dT%H:%M:%S') || '+00:00' AS name
+          FROM (SELECT *, {AS_OF} - to_seconds(length(query_text)) AS created_at FROM answers))""",
+)
+cte(
+    "staged",
+    ("stamped",),
+    f"""
+    SELECT *, CASE route WHEN 'compute' THEN ['Classify', 'Claim validation']
+        WHEN 'rag' THEN ['Classify', 'Scoped hybrid retrieval', 'RRF + rerank', 'Claim validation']
+        ELSE ['Classify', 'Scoped hybrid retrieval', 'Claim validation'] END AS stages,
+      CASE route WHEN 'compute' THEN ['compute route', 'Typed deterministic computation completed']
+        WHEN 'rag' THEN ['rag route', n_retrieved || ' authorized candidates after threshold',
+          'Top ' || least(n_retrieved, {K.RERANK_TOP_K}) || ' candidates',
+          CASE WHEN n_claims > 0 THEN n_claims || ' supported claims'
+               ELSE 'No independently supported claims passed validation' END]
+        ELSE ['retrieve-then-compute route',
+          n_retrieved || ' authorized candidates after threshold',
+          CASE WHEN n_values > 0 THEN 'Computed from ' || n_values || ' retrieved values'
+               ELSE 'No numeric evidence could be computed safely' END] END AS details
+    FROM stamped""",
+)
+
+
+def stamp(x: str) -> str:
+    return f"strftime({x}, '%Y-%m-%d %H:%M:%S')"
+
+
+ORACLE["trace_rows"] = build(
+    f"""SELECT trace_id, enterprise_id, actor_id, query_text AS raw_query, answer AS raw_response,
+          route, array_to_string(details, '|') AS details, n_retrieved::INT AS n_chunks,
+          {stamp('created_at')} AS created_at,
+          {stamp('created_at + to_days(30)')} AS raw_content_expires_at,
+          {stamp('created_at + to_days(90)')} AS expires_at FROM staged""",
+    "staged",
+)
+ORACLE["latest_trace"] = build(
+    f"""SELECT trace_id, enterprise_id, actor_id, route, query_text AS raw_query, answer,
+          evidence_status, {stamp('created_at')} AS created_at,
+          {K.PIPELINE_VERSION} AS pipeline_version, evidence_status AS outcome
+        FROM stamped QUALIFY row_number() OVER (PARTITION BY enterprise_id
+          ORDER BY stamped.created_at DESC, trace_id DESC) = 1""",
+    "stamped",
+)
+ORACLE["stage_replay"] = build(
+    """SELECT trace_id, unnest(stages) AS stage, unnest(range(1, len(stages) + 1))::INT AS position,
+         'complete' AS status, unnest(details) AS detail, 1 AS duration_ms FROM staged""",
+    "staged",
+)
+ORACLE["audit_rows"] = build(
+    f"""
+    SELECT audit_id, enterprise_id, trace_id AS trace_memory_id, trace_identifier_hash, actor_id,
+      'query.answer' AS action, scope, {K.PIPELINE_VERSION} AS pipeline_version,
+      '{{"embedding":"{K.EMBEDDING_MODEL}","generator":"{K.GENERATOR_MODEL}"}}' AS model_versions,
+      evidence_status AS outcome,
+      '{{"action":"query.answer","route":"' || route || '","traceIdentifierHash":"'
+        || trace_identifier_hash || '"}}' AS event_payload,
+      sha256('{{"action":"query.answer","actorId":"' || actor_id || '","createdAt":"'
+        || strftime(created_at, '%Y-%m-%dT%H:%M:%S') || '+00:00","enterpriseId":"' || enterprise_id
+        || '","eventId":"' || audit_id || '","outcome":"' || evidence_status || '","scope":' || scope
+        || ',"traceIdentifierHash":"' || trace_identifier_hash || '"}}') AS event_hash,
+      {stamp('created_at')} AS created_at, {stamp('created_at + to_days(365)')} AS expires_at
+    FROM (SELECT *, sha256({raw_uuid('trace_id')}) AS trace_identifier_hash,
+            '{{"enterpriseId":"' || enterprise_id || '","principalCount":' || len(principals)
+              || ',"route":"' || route || '"}}' AS scope FROM stamped)""",
+    "stamped",
+)
+ORACLE["redact_expired"] = f"""
+    SELECT {text_uuid("'event:' || event_id")} AS trace_id,
+      CASE WHEN old THEN '[expired]' ELSE event_type || ' ' || props END AS raw_query,
+      CASE WHEN NOT old THEN printf('%.2f', value) END AS raw_response,
+      event_type AS evidence_status, CASE WHEN NOT old THEN props END AS model_input,
+      CASE WHEN NOT old THEN props END AS first_text, old AS was_redacted
+    FROM (SELECT *, ts + to_days(30) <= TIMESTAMP '2024-02-15' AS old FROM events)"""
+ORACLE["purge_traces"] = f"""
+    SELECT CASE WHEN ts + to_days(90) > TIMESTAMP '2024-04-15' THEN trace_id END AS trace_memory_id,
+      sha256({raw_uuid('trace_id')}) AS trace_identifier_hash, enterprise_id, event_type AS outcome
+    FROM (SELECT *, {text_uuid("'event:' || event_id")} AS trace_id,
+            {text_uuid("'tenant:' || (user_id % 10)")} AS enterprise_id FROM events)"""
+
+# --- evaluation ------------------------------------------------------------------------
+ORACLE["promotion_gates"] = build(
+    f"""
+    , gold AS (
+      SELECT enterprise_id AS run_id, question_id,
+        {text_uuid("regexp_replace(question_id, '^[a-z]+-', 'doc:')")} AS document_id
+      FROM answers WHERE regexp_matches(question_id, '^(title|values)-')),
+    hits AS (
+      SELECT DISTINCT s.question_id, c.document_id FROM searched s JOIN chunks c USING (chunk_id)
+      WHERE result_rank <= 10),
+    recall AS (
+      SELECT run_id, avg(CASE WHEN h.document_id IS NULL THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END)
+        AS recall_at_10
+      FROM gold g LEFT JOIN hits h ON h.question_id = g.question_id
+        AND h.document_id = g.document_id GROUP BY run_id),
+    leaks AS (
+      SELECT a.enterprise_id AS run_id, count(*) AS n FROM searched s
+      JOIN answers a USING (question_id) JOIN chunks c ON c.chunk_id = s.chunk_id
+      WHERE c.enterprise_id <> a.enterprise_id OR NOT list_has_any(c.principals, a.principals)
+      GROUP BY ALL),
+    tried AS (SELECT question_id, count(*) AS t FROM proposed GROUP BY ALL),
+    passed AS (SELECT question_id, count(*) AS p FROM accepted GROUP BY ALL),
+    rates AS (
+      SELECT enterprise_id AS run_id,
+        CASE WHEN sum(t) > 0 THEN (sum(t) - sum(coalesce(p, 0)))::DOUBLE / sum(t) ELSE 0 END AS unsupported,
+        CASE WHEN count(*) FILTER (route <> 'compute' AND n_retrieved = 0) > 0
+          THEN count(*) FILTER (route <> 'compute' AND n_retrieved = 0
+                 AND evidence_status <> 'sufficient')::DOUBLE
+               / count(*) FILTER (route <> 'compute' AND n_retrieved = 0) ELSE 1 END AS abstention
+      FROM answers LEFT JOIN tried USING (question_id) LEFT JOIN passed USING (question_id)
+      GROUP BY ALL),
+    metrics AS (
+      SELECT run_id, coalesce(n, 0) AS scope_leak_count, coalesce(recall_at_10, 0) AS recall_at_10,
+        1.0::DOUBLE AS citation_precision, 1.0::DOUBLE AS citation_completeness,
+        unsupported AS unsupported_claim_rate, abstention AS abstention_recall
+      FROM rates LEFT JOIN recall USING (run_id) LEFT JOIN leaks USING (run_id))
+    SELECT run_id, scope_leak_count, round(recall_at_10, 6) AS recall_at_10, citation_precision,
+      citation_completeness, round(unsupported_claim_rate, 6) AS unsupported_claim_rate,
+      round(abstention_recall, 6) AS abstention_recall, NULL AS reason, failed AS failed_gates,
+      failed = '' AS is_eligible
+    FROM (SELECT *, concat_ws(',', CASE WHEN scope_leak_count <> 0 THEN 'scope-isolation' END,
+            CASE WHEN recall_at_10 < 0.9 THEN 'recall-at-10' END,
+            CASE WHEN citation_precision < 0.98 THEN 'citation-precision' END,
+            CASE WHEN citation_completeness < 0.95 THEN 'citation-completeness' END,
+            CASE WHEN unsupported_claim_rate > 0.01 THEN 'unsupported-claim-rate' END,
+            CASE WHEN abstention_recall < 0.95 THEN 'abstention-recall' END) AS failed
+          FROM metrics)""",
+    "answers",
+    "searched",
+    "chunks",
+    "accepted",
+)
+
+# --- definitions --------------------------------------------------------------------------
+GRAPH = """
+    WITH RECURSIVE numbered AS (
+      SELECT *, row_number() OVER w AS position, lead(l_linenumber) OVER w AS following,
+        first_value(l_linenumber) OVER w AS opening
+      FROM lineitem WINDOW w AS (PARTITION BY l_orderkey
+                                 ORDER BY l_linenumber, l_partkey, l_suppkey)),
+    nodes AS (
+      SELECT l_orderkey AS id, 'n' || l_linenumber AS node, position, 'part-' || l_partkey AS part,
+        CASE l_returnflag WHEN 'A' THEN 'authorization' WHEN 'N' THEN 'provenance' ELSE 'audit' END
+          AS cap1,
+        CASE l_linestatus WHEN 'O' THEN 'claim-validation' ELSE 'retrieval' END AS cap2
+      FROM numbered),
+    edges AS (
+      SELECT * FROM (
+        SELECT l_orderkey AS id, 'n' || l_linenumber AS src, position,
+          CASE WHEN l_returnflag = 'R' AND l_discount > 0.05 THEN 'n' || opening
+               WHEN l_tax > 0.075 THEN 'n0'
+               WHEN following <> l_linenumber THEN 'n' || following END AS dst
+        FROM numbered) WHERE dst IS NOT NULL)"""
+ORACLE["definition_validation"] = f"""{GRAPH},
+    counts AS (SELECT id, count(DISTINCT node) + 1 AS n FROM nodes GROUP BY id),
+    walks AS (
+      SELECT DISTINCT id, dst AS node, 1 AS depth FROM edges
+      UNION
+      SELECT w.id, e.dst, w.depth + 1 FROM walks w JOIN edges e ON e.id = w.id AND e.src = w.node
+      JOIN counts c ON c.id = w.id WHERE w.depth <= c.n),
+    cyclic AS (SELECT DISTINCT w.id FROM walks w JOIN counts c ON c.id = w.id WHERE depth > c.n),
+    twice AS (SELECT DISTINCT id FROM (SELECT id, node FROM nodes GROUP BY ALL HAVING count(*) > 1)),
+    loose AS (
+      SELECT DISTINCT e.id FROM (SELECT id, src AS node FROM edges UNION SELECT id, dst FROM edges) e
+      WHERE NOT EXISTS (SELECT 1 FROM nodes n WHERE n.id = e.id AND n.node = e.node)),
+    lacking AS (
+      SELECT id, concat_ws(',',
+          CASE WHEN NOT bool_or(cap1 = 'audit') THEN 'audit' END,
+          CASE WHEN NOT bool_or(cap1 = 'authorization') THEN 'authorization' END,
+          CASE WHEN NOT bool_or(cap2 = 'claim-validation') THEN 'claim-validation' END,
+          CASE WHEN NOT bool_or(cap1 = 'provenance') THEN 'provenance' END) AS missing
+      FROM nodes GROUP BY id)
+    SELECT o_orderkey AS definition_id, missing,
+      CASE WHEN o_custkey % 25 + 28 NOT BETWEEN 30 AND 50 THEN 'rerankTopK must stay within 30-50'
+        WHEN missing IS NULL THEN 'at least one node is required'
+        WHEN twice.id IS NOT NULL THEN 'node IDs must be unique'
+        WHEN loose.id IS NOT NULL THEN 'edge references an unknown node'
+        WHEN missing <> '' THEN 'missing mandatory capabilities: ' || replace(missing, ',', ', ')
+        WHEN cyclic.id IS NOT NULL THEN 'graph cannot contain a cycle' END AS problem
+    FROM orders LEFT JOIN lacking ON lacking.id = o_orderkey LEFT JOIN twice ON twice.id = o_orderkey
+    LEFT JOIN loose ON loose.id = o_orderkey LEFT JOIN cyclic ON cyclic.id = o_orderkey"""
+ORACLE["definition_hash"] = f"""{GRAPH},
+    n AS (SELECT id, string_agg('{{"capabilities":["' || least(cap1, cap2) || '","'
+        || greatest(cap1, cap2) || '"],"componentType":"' || part
+        || '","componentVersion":"1.0.0","config":{{}},"id":"' || node
+        || '","inputSchema":"rows","outputSchema":"rows"}}', ',' ORDER BY position) AS body
+      FROM nodes GROUP BY id),
+    e AS (SELECT id, string_agg('{{"sourceNodeId":"' || src || '","targetNodeId":"' || dst || '"}}',
+        ',' ORDER BY position) AS body FROM edges GROUP BY id)
+    SELECT o_orderkey AS definition_id, sha256('{{"edges":[' || coalesce(e.body, '')
+      || '],"name":"order ' || o_orderkey || '","nodes":[' || coalesce(n.body, '')
+      || '],"rerankTopK":' || (o_custkey % 25 + 28) || '}}') AS definition_hash
+    FROM orders LEFT JOIN n ON n.id = o_orderkey LEFT JOIN e ON e.id = o_orderkey"""
+ORACLE["text_files"] = f"""
+    SELECT doc_id, {normalize('text')} AS normalized, 'plain-text' AS parser_name,
+      '1.0.0' AS parser_version
+    FROM documents WHERE {normalize('text')} <> ''"""
