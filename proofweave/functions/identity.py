@@ -159,18 +159,17 @@ def json_string(text: Column) -> Column:
 
 def _escape_code_units(text: Column) -> Column:
     """Escape the UTF-16 code units outside printable ASCII."""
-    units = F.hex(F.encode(text, "UTF-16BE"))
-    parts = F.transform(
-        F.sequence(F.lit(1), F.length(units), F.lit(4)),
-        lambda at: units.substr(at, F.lit(4)),
-    )
+    runs = F.regexp_extract_all(text, F.lit(r"[\x20-\x7E]+|[^\x20-\x7E]"), F.lit(0))
+
+    def escaped(character: Column) -> Column:
+        units = F.lower(F.hex(F.encode(character, "UTF-16BE")))
+        first = F.concat(F.lit("\\u"), F.substring(units, 1, 4))
+        pair = F.concat(first, F.lit("\\u"), F.substring(units, 5, 4))
+        return F.when(F.length(units) > 4, pair).otherwise(first)
+
     return F.array_join(
         F.transform(
-            parts,
-            lambda unit: F.when(
-                (unit >= "0020") & (unit <= "007E"),
-                F.decode(F.unhex(F.substring(unit, 3, 2)), "US-ASCII"),
-            ).otherwise(F.concat(F.lit("\\u"), F.lower(unit))),
+            runs, lambda run: F.when(run.rlike(r"^[\x20-\x7E]"), run).otherwise(escaped(run))
         ),
         "",
     )
