@@ -19,6 +19,7 @@ from proofweave.operators.scope import may_see
 SCORE_DECIMALS = 8
 # A question may be tried in several forms (whole text, focused terms).
 ATTEMPT = ("question_id", "form")
+FULL, FOCUSED = "full", "focused"
 
 
 def _is_kept(term: Column) -> Column:
@@ -48,19 +49,24 @@ def lexemes(content: Column, title: Column) -> Column:
 
 
 def index_chunks(chunks: DataFrame) -> DataFrame:
-    """Search index rows: one per chunk with its positioned terms and access."""
-    return chunks.select(
+    """Search index rows: one per chunk with its terms, positions and access.
+
+    ``terms`` repeats the distinct terms without positions, so that building
+    postings reads that column alone.
+    """
+    placed = chunks.select(
         "chunk_id",
         "enterprise_id",
         "principals",
         lexemes(F.col("content"), F.col("title")).alias("lexemes"),
     )
+    distinct = F.array_distinct(F.transform("lexemes", lambda item: item["term"]))
+    return placed.withColumn("terms", distinct)
 
 
 def postings(index: DataFrame) -> DataFrame:
     """Distinct (tenant, term, chunk) rows."""
-    terms = F.array_distinct(F.transform("lexemes", lambda item: item["term"]))
-    return index.select("enterprise_id", "chunk_id", F.explode(terms).alias("term"))
+    return index.select("enterprise_id", "chunk_id", F.explode("terms").alias("term"))
 
 
 def covers(occurrences: Column, terms: Column) -> Column:
@@ -175,7 +181,7 @@ def lexical_matches(questions: DataFrame, index: DataFrame) -> DataFrame:
         *ATTEMPT, "chunk_id", "terms", F.col("principals").alias("asked_principals")
     )
     found = (
-        candidates.join(index.drop("enterprise_id"), "chunk_id")
+        candidates.join(index.drop("enterprise_id", "terms"), "chunk_id")
         .filter(may_see(F.col("asked_principals"), F.col("principals")))
         .select(
             *ATTEMPT,

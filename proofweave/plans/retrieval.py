@@ -9,8 +9,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from proofweave import constants as K
 from proofweave.functions import text as tx
 from proofweave.operators import fusion, lexical, rerank, vector
-
-FULL, FOCUSED = "full", "focused"
+from proofweave.operators.lexical import FOCUSED, FULL
 
 
 def attempts(questions: DataFrame) -> DataFrame:
@@ -46,13 +45,13 @@ def candidates(
     top_k: int = K.RERANK_TOP_K,
     rank_constant: int = K.RANK_CONSTANT,
     dimension: int = K.EMBEDDING_DIMENSION,
+    skip_settled: bool = False,
 ) -> DataFrame:
     """Fused candidates per attempt; the vector list serves both forms."""
     fusion.check_limits(top_k, rank_constant, candidate_limit)
     by_vector = vector.vector_top(questions, chunks, candidate_limit, dimension)
     by_terms = lexical.lexical_top(tried, index, candidate_limit)
-    shared = by_vector.join(tried.select("question_id", "form"), "question_id")
-    return fusion.fuse(by_terms, shared, top_k, rank_constant)
+    return fusion.fuse(by_terms, by_vector, tried, top_k, rank_constant, skip_settled)
 
 
 def retrieve(
@@ -69,27 +68,13 @@ def retrieve(
     ``chunks``/``index``: active chunks and their search index.
     """
     tried = attempts(questions)
-    fused = candidates(tried, questions, chunks, index, **limits)
-    scored = rerank.score_candidates(without_idle_retries(fused), tried, chunks, as_of)
+    fused = candidates(tried, questions, chunks, index, skip_settled=True, **limits)
+    scored = rerank.score_candidates(fused, tried, chunks, as_of)
     # One shuffle by question serves the windows per attempt and per question.
     kept = rerank.confident(scored.repartition("question_id"), threshold)
     return rerank.with_provenance(first_answering_form(kept), chunks)
 
 
-def without_idle_retries(fused: DataFrame) -> DataFrame:
-    """Drop retries that cannot count: a lexical match always returns a row.
-
-    The fused rows are already partitioned by question, so this adds no shuffle.
-    """
-    question = Window.partitionBy("question_id")
-    settled = F.max((F.col("form") == FULL) & F.col("lex_rank").isNotNull()).over(question)
-    return (
-        fused.withColumn("settled", settled)
-        .filter((F.col("form") == FULL) | ~F.col("settled"))
-        .drop("settled")
-    )
-
-
 def first_answering_form(kept: DataFrame) -> DataFrame:
     """Rows of the full question, or of its retry when it returned nothing."""
     has_full = F.max(F.col("form") == FULL).over(Window.partitionBy("question_id"))

@@ -217,7 +217,7 @@ def compute_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     def day(column: str) -> Column:
         return F.date_format(column, "yyyy-MM-dd")
 
-    delivery = table(spark, sf_dir, "orders").join(
+    delivery = spread(table(spark, sf_dir, "orders"), "o_orderkey").join(
         shipped, F.col("o_orderkey") == F.col("l_orderkey")
     ).select(
         F.concat_ws("-", F.lit("order"), "o_orderkey").alias("question_id"),
@@ -226,7 +226,7 @@ def compute_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
         ).alias("query_text"),
     )
     word = F.when(F.col("event_type").isin("purchase", "click"), "total").otherwise("average")
-    amounts = table(spark, sf_dir, "events").select(
+    amounts = spread(table(spark, sf_dir, "events"), "event_id").select(
         F.concat_ws("-", F.lit("event"), "event_id").alias("question_id"),
         F.format_string(
             "What is the %s of %.2f and -%s?",

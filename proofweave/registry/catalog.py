@@ -179,7 +179,7 @@ def evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def focused_retry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    retried = evidence(spark, sf_dir).filter(F.col("form") == retrieval.FOCUSED)
+    retried = evidence(spark, sf_dir).filter(F.col("form") == lexical.FOCUSED)
     return retried.select(
         "question_id",
         "chunk_id",

@@ -102,7 +102,8 @@ def ranked(spark, start, name):
 
 
 def test_fusion_keeps_the_best_forty(spark):
-    lists = ranked(spark, 0, "lex_rank"), ranked(spark, 50, "vec_rank")
+    tried = spark.createDataFrame([("q", "full")], "question_id string, form string")
+    lists = ranked(spark, 0, "lex_rank"), ranked(spark, 50, "vec_rank"), tried
     rows = fusion.fuse(*lists).orderBy("fused_rank").collect()
     assert len(rows) == 40 and rows[0].chunk_id == "c050"
     assert rows[0].rrf_score == pytest.approx(1 / 111 + 1 / 61)
@@ -111,6 +112,27 @@ def test_fusion_keeps_the_best_forty(spark):
             fusion.fuse(*lists, **bad)
 
 
+def test_settled_questions_drop_their_retry(spark):
+    tried = spark.createDataFrame(
+        [(q, f) for q in ("hit", "miss") for f in ("full", "focused")],
+        "question_id string, form string",
+    )
+    by_terms = spark.createDataFrame(
+        [("hit", "full", "a", 1), ("hit", "focused", "b", 1), ("miss", "focused", "b", 1)],
+        "question_id string, form string, chunk_id string, lex_rank int",
+    )
+    by_vector = spark.createDataFrame(
+        [("hit", "a", 1), ("miss", "c", 1)], "question_id string, chunk_id string, vec_rank int"
+    )
+    rows = fusion.fuse(by_terms, by_vector, tried, skip_settled=True).collect()
+    assert {(r.question_id, r.form, r.chunk_id) for r in rows} == {
+        ("hit", "full", "a"),
+        ("miss", "full", "c"),
+        ("miss", "focused", "b"),
+        ("miss", "focused", "c"),
+    }
+
+
 def test_confidence_fallback(spark):
     rows = [
         ("passes", "full", "a", 1, 1, 0.7),
