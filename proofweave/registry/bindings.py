@@ -156,7 +156,7 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     title = title_of(F.col("text"))
     wanted = F.when(F.col("lang") == "en", "total").otherwise("average")
-    numeric = F.concat(F.lit("What is the "), wanted, F.lit(" of the values in "), title, F.lit("?"))
+    numeric = F.concat(title, F.lit(": what is the "), wanted, F.lit(" of the values?"))
     labelled = F.col("quality").isNotNull()
     known_items = documents.select(
         F.concat_ws("-", F.when(labelled, "title").otherwise("values"), "doc_id").alias(

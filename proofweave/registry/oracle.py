@@ -172,8 +172,8 @@ cte(
     UNION ALL
     SELECT CASE WHEN quality IS NULL THEN 'values-' ELSE 'title-' END || doc_id,
       {text_uuid('source')}, 'reader-' || lang, ['group:' || lang],
-      CASE WHEN quality IS NULL THEN 'What is the ' || CASE WHEN lang = 'en' THEN 'total'
-          ELSE 'average' END || ' of the values in ' || {title('text')} || '?'
+      CASE WHEN quality IS NULL THEN {title('text')} || ': what is the '
+          || CASE WHEN lang = 'en' THEN 'total' ELSE 'average' END || ' of the values?'
         ELSE {title('text')} END
     FROM documents LEFT JOIN labels USING (doc_id)""",
 )
