@@ -519,7 +519,15 @@ def promotion_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
     passed = accepted.groupBy("question_id").agg(F.count(F.lit(1)).alias("n_accepted"))
     claims = F.coalesce("claims", F.array())
     cited = F.filter(claims, lambda c: F.size(c["citation_ids"]) > 0)
-    cites = F.coalesce("citations", F.array())
+    spans = answered.select(run, F.explode("citations").alias("cited")).select(
+        "run_id", "cited.chunk_id", "cited.exact_span"
+    )
+    exact = F.coalesce(F.contains("content", "exact_span"), F.lit(False))
+    precision = (
+        spans.join(chunks.select("chunk_id", "content"), "chunk_id", "left")
+        .groupBy("run_id")
+        .agg((F.count_if(exact) / F.count(F.lit(1))).alias("citation_precision"))
+    )
     no_evidence = F.col("n_retrieved") == 0
     abstained = F.col("evidence_status").isin("insufficient", "conflict")
     searched = F.col("route") != routing.COMPUTE
@@ -528,9 +536,6 @@ def promotion_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
         .join(passed, "question_id", "left")
         .groupBy(run)
         .agg(
-            evaluation.ratio(F.sum(F.size(cites)), F.sum(F.size(cites)), 1.0).alias(
-                "citation_precision"
-            ),
             evaluation.ratio(
                 F.sum(F.when(searched, F.size(cited))), F.sum(F.when(searched, F.size(claims))), 1.0
             ).alias("citation_completeness"),
@@ -546,9 +551,11 @@ def promotion_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     metrics = (
         rates.join(recall, "run_id", "left")
+        .join(precision, "run_id", "left")
         .join(leak_counts, "run_id", "left")
         .withColumn("scope_leak_count", F.coalesce("scope_leak_count", F.lit(0)).cast("long"))
         .withColumn("recall_at_10", F.coalesce("recall_at_10", F.lit(0.0)))
+        .withColumn("citation_precision", F.coalesce("citation_precision", F.lit(1.0)))
     )
     judged = evaluation.promotion_gates(metrics)
     return judged.withColumns(rounded(*evaluation.RATES)).withColumn(
