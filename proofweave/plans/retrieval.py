@@ -10,6 +10,9 @@ from proofweave import constants as K
 from proofweave.functions import text as tx
 from proofweave.operators import fusion, lexical, rerank, vector
 from proofweave.operators.lexical import FOCUSED, FULL
+from proofweave.operators.sizing import materialize
+
+QUESTION_COLUMNS = ("question_id", "enterprise_id", "principals", "query_text", "embedding")
 
 
 def attempts(questions: DataFrame) -> DataFrame:
@@ -67,6 +70,8 @@ def retrieve(
     ``questions``: question_id, enterprise_id, principals, query_text, embedding.
     ``chunks``/``index``: active chunks and their search index.
     """
+    # Several branches read the questions; embedding them happens once.
+    questions = materialize(questions.select(*QUESTION_COLUMNS), "questions")
     tried = attempts(questions)
     fused = candidates(tried, questions, chunks, index, skip_settled=True, **limits)
     scored = rerank.score_candidates(fused, tried, chunks, as_of)

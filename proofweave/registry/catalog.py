@@ -133,7 +133,7 @@ def lexical_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _fused(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     chunks, index = B.corpus(spark, sf_dir)
-    asked = B.embedded_questions(spark, sf_dir)
+    asked = materialize(B.embedded_questions(spark, sf_dir), "questions")
     tried = retrieval.attempts(asked)
     return retrieval.candidates(tried, asked, chunks, index), tried, chunks
 
