@@ -9,8 +9,12 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from proofweave.llm import (
     decontaminate,
     exact_dedup,
+    language,
+    line_templates,
+    link_trust,
     packing,
     personal_data,
+    quotes,
     simhash,
     toxicity,
 )
@@ -49,6 +53,22 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(docs, toxicity.fit(docs, labels))
 
 
+def op4_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    return line_templates.drop_recurring_lines(docs).select(
+        "doc_id",
+        F.col("n_lines").cast("long").alias("n_lines"),
+        F.col("n_dropped").cast("long").alias("n_dropped"),
+        F.sha2("text", 256).alias("text_sha256"),
+    )
+
+
+def op5_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quotes.reply_order(
+        table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
+    )
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = exact_dedup.duplicate_groups(table(spark, sf_dir, "documents", "doc_id", "text"))
     return found.select(
@@ -56,6 +76,18 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_link_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages", "page_id", "url", "html")
+    return link_trust.verdicts(pages).select("page_id", "host", "path", "rule", "verdict")
+
+
+def op8_language_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.page_languages(
+        table(spark, sf_dir, "pages", "page_id", "url", "html"),
+        table(spark, sf_dir, "documents", "doc_id", "text", "lang"),
+    )
+
+
 def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contaminated(
         table(spark, sf_dir, "documents", "doc_id", "text"),
@@ -76,7 +108,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_neardup": op1_simhash_neardup,
     "op2_pii": op2_pii,
     "op3_toxicity": op3_toxicity,
+    "op4_line_templates": op4_line_templates,
+    "op5_quotation_linking": op5_quotation_linking,
     "op6_exact_dedup": op6_exact_dedup,
+    "op7_link_trust": op7_link_trust,
+    "op8_language_fusion": op8_language_fusion,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
     "op10_bestfit_packing": op10_bestfit_packing,
 }
@@ -134,4 +170,66 @@ ORACLE: dict[str, str] = {
         SELECT doc_id, item_id, st::INT AS window_start, round(sim, 9) AS similarity
         FROM alike WHERE sim >= 0.8
         QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY sim DESC, st) = 1""",
+    "op7_link_trust": link_trust.oracle_sql(),
+    "op4_line_templates": r"""
+        WITH lines AS (
+            SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+        masked AS (
+            SELECT doc_id, lines, list_transform(lines, lambda l: list_transform(
+                       list_filter(regexp_split_to_array(l, '[ \t\r\f\x0B]+'), lambda t: t <> ''),
+                       lambda t: CASE WHEN regexp_matches(t, '[0-9]') THEN '<*>' ELSE t END)) AS toks
+            FROM lines),
+        leafed AS (
+            SELECT DISTINCT doc_id, toks, len(toks) AS n, toks[1:3] AS lead
+            FROM (SELECT doc_id, unnest(toks) AS toks FROM masked) WHERE len(toks) >= 4),
+        tokens AS (
+            SELECT n, lead, toks, doc_id, unnest(range(1, n + 1)) AS pos, unnest(toks) AS tok FROM leafed),
+        support AS (
+            SELECT n, lead, pos, tok FROM tokens WHERE tok <> '<*>'
+            GROUP BY ALL HAVING count(*) >= 10),
+        templates AS (
+            SELECT doc_id, toks, list(coalesce(s.tok, '<*>') ORDER BY pos) AS template, count(s.tok) AS fixed
+            FROM tokens LEFT JOIN support s USING (n, lead, pos, tok) GROUP BY doc_id, toks, n),
+        often AS (
+            SELECT template FROM templates WHERE fixed * 2 >= len(template)
+            GROUP BY template HAVING count(DISTINCT doc_id) >= 10),
+        gone AS (
+            SELECT DISTINCT toks FROM templates JOIN often USING (template) WHERE fixed * 2 >= len(template)),
+        flagged AS (
+            SELECT doc_id, i, line, toks IN (SELECT toks FROM gone) AS drop
+            FROM (SELECT doc_id, unnest(lines) AS line, unnest(toks) AS toks, unnest(range(len(lines))) AS i
+                  FROM masked))
+        SELECT doc_id, count(*) AS n_lines, count(*) FILTER (drop) AS n_dropped,
+               sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT drop), '')) AS text_sha256
+        FROM flagged GROUP BY doc_id""",
+    "op5_quotation_linking": r"""
+        WITH raw AS (
+            SELECT conv_id, turn, role, string_split(coalesce(text, ''), chr(10)) AS lines FROM conversations),
+        parsed AS (
+            SELECT conv_id, turn, role, i, len(regexp_replace(regexp_extract(line, '^[ \t]*>(?:[ \t]{0,3}>)*[ \t]*'), '[^>]', '', 'g')) AS level,
+                   regexp_replace(line, '^[ \t]*>(?:[ \t]{0,3}>)*[ \t]*', '') AS body
+            FROM (SELECT conv_id, turn, role, unnest(lines) AS line, unnest(range(len(lines))) AS i FROM raw)),
+        lines AS (
+            SELECT *, trim(regexp_replace(lower(body), '[ \t\r]+', ' ', 'g')) AS norm,
+                   coalesce(lead(level) OVER (PARTITION BY conv_id, turn ORDER BY i), 0) > 0
+                   AND regexp_matches(body, '(?:wrote|a écrit|schrieb|escribió)[ ]?:[ \t]*$') AS intro
+            FROM parsed),
+        originals AS (
+            SELECT conv_id, norm, min(turn) AS original FROM lines WHERE level = 0 AND norm <> '' GROUP BY ALL),
+        links AS (
+            SELECT conv_id, turn, count(*) AS n_quoted, count(o) AS n_linked, max(o) FILTER (level = 1) AS answers
+            FROM (SELECT l.conv_id, turn, level, CASE WHEN original < turn THEN original END AS o
+                  FROM lines l LEFT JOIN originals USING (conv_id, norm) WHERE level > 0 AND norm <> '')
+            GROUP BY ALL),
+        own AS (
+            SELECT conv_id, turn, role, trim(coalesce(string_agg(body, chr(10) ORDER BY i)
+                   FILTER (level = 0 AND NOT intro), '')) AS content
+            FROM lines GROUP BY ALL),
+        placed AS (
+            SELECT *, coalesce(answers, lag(turn) OVER (PARTITION BY conv_id ORDER BY turn)) AS reply_to,
+                   max(CASE WHEN answers IS NOT NULL THEN turn END) OVER (PARTITION BY conv_id ORDER BY turn) AS branch_turn
+            FROM own LEFT JOIN links USING (conv_id, turn))
+        SELECT p.conv_id, p.turn, p.role, p.content, p.reply_to, p.branch_turn, s.answers AS anchor_turn,
+               coalesce(p.n_quoted, 0) AS n_quoted, coalesce(p.n_linked, 0) AS n_linked
+        FROM placed p LEFT JOIN links s ON s.conv_id = p.conv_id AND s.turn = p.branch_turn""",
 }
