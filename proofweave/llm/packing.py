@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -25,11 +26,12 @@ END_ID = 1
 #: Pieces that one task packs; a piece is five numbers.
 PER_PARTITION = 100_000
 #: Words whose ids a worker keeps.
-CACHED_WORDS = 400_000
+CACHED_WORDS = 1_000_000
 
 
 class CachedTokenizer:
-    """Ids of a tokenizer that never merges across a space or line feed.
+    """Ids of a tokenizer that never merges across a space or line feed, ignores
+    case, and keeps letters apart from a full stop or comma after them.
 
     Each distinct word is encoded once per worker, so most of the work is a
     lookup. The cache is emptied when it is full, which only costs time.
@@ -39,33 +41,64 @@ class CachedTokenizer:
         from tokenizers import Tokenizer
 
         self.encoder = Tokenizer.from_file(path)
-        self.number: dict[str, int] = {}
+        self.number: dict[bytes, int] = {}
         self.reset()
 
     def reset(self) -> None:
         self.number.clear()
-        self.number[""] = 0
-        self.ids: list[np.ndarray] = [np.empty(0, dtype=np.uint32)]
-        self.flat = None
-
-    def learn(self, words: set[str]) -> None:
-        new = [w for w in words if w not in self.number]
-        if len(self.number) + len(new) > CACHED_WORDS:
+        self.number[b""] = 0
+        self.at = np.zeros(1024, dtype=np.int64)
+        self.sizes = np.zeros(1024, dtype=np.int64)
+        self.flat = np.zeros(4096, dtype=np.uint32)
+        self.used = 0
+
+    def _keep(self, words: list[bytes], ids: list[list[int]]) -> None:
+        sizes = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
+        first, total = len(self.number), int(sizes.sum())
+        while first + len(ids) > len(self.at):
+            self.at, self.sizes = np.append(self.at, self.at), np.append(self.sizes, self.sizes)
+        while self.used + total > len(self.flat):
+            self.flat = np.append(self.flat, self.flat)
+        self.sizes[first : first + len(ids)] = sizes
+        self.at[first : first + len(ids)] = self.used + np.cumsum(sizes) - sizes
+        self.flat[self.used : self.used + total] = np.fromiter(chain.from_iterable(ids), dtype=np.uint32, count=total)
+        self.used += total
+        self.number.update(zip(words, range(first, first + len(ids))))
+
+    def _ids(self, word: bytes) -> list[int]:
+        n = self.number[word]
+        return self.flat[self.at[n] : self.at[n] + self.sizes[n]].tolist()
+
+    def _encode(self, words: list[bytes]) -> None:
+        for at in range(0, len(words), 4096):
+            part = words[at : at + 4096]
+            coded = self.encoder.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)
+            self._keep(part, [c.ids for c in coded])
+
+    def learn(self, words: set[bytes]) -> None:
+        new = {w for w in words if w not in self.number}
+        if len(self.number) + 2 * len(new) > CACHED_WORDS:
             self.reset()
-            new = [w for w in words if w]
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            for word, code in zip(part, self.encoder.encode_batch(part, add_special_tokens=False)):
-                self.number[word] = len(self.ids)
-                self.ids.append(np.array(code.ids, dtype=np.uint32))
-        if new or self.flat is None:
-            self.sizes = np.array([len(i) for i in self.ids], dtype=np.int64)
-            self.at = np.cumsum(self.sizes) - self.sizes
-            self.flat = np.concatenate(self.ids)
+            new = words - {b""}
+        # A word and a mark after it are coded apart, so that the word serves with any mark.
+        marked = [w for w in new if w[-1:] in (b".", b",") and w[:-1].isalpha()]
+        plain = new.difference(marked)
+        plain.update(w[:-1] for w in marked)
+        if marked:
+            plain.update((b".", b","))
+        self._encode([w for w in plain if w not in self.number])
+        if marked:
+            mark = {m: self._ids(m) for m in (b".", b",")}
+            self._keep(marked, [self._ids(w[:-1]) + mark[w[-1:]] for w in marked])
 
     def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        self.learn({w for words in split for w in words})
+        split = []
+        for text in texts:
+            data = text.encode()
+            # In a text with marks of special tokens, case decides what is one.
+            data = data if b"<|" in data else data.lower()
+            split.append(data.replace(b"\n", b" ").split(b" "))
+        self.learn(set(chain.from_iterable(split)))
         for words in split:
             index = np.fromiter(map(self.number.__getitem__, words), dtype=np.int64, count=len(words))
             sizes = self.sizes[index]
