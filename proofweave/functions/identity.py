@@ -187,6 +187,19 @@ def json_array(items: Column) -> Column:
     return F.concat(F.lit("["), F.array_join(F.transform(items, json_string), ","), F.lit("]"))
 
 
+def json_map(entries: Column) -> Column:
+    """Canonical JSON object of a map of strings; null values are kept, a null map is empty."""
+    rendered = F.transform(
+        F.array_sort(F.map_entries(entries)),
+        lambda item: F.concat(
+            json_string(item["key"]),
+            F.lit(":"),
+            F.coalesce(json_string(item["value"]), F.lit("null")),
+        ),
+    )
+    return F.concat(F.lit("{"), F.coalesce(F.array_join(rendered, ","), F.lit("")), F.lit("}"))
+
+
 def config_hash(size: Column, overlap: Column, config: ChunkerConfig) -> Column:
     """Chunker configuration digest when sizes vary per row."""
     constants = {

@@ -109,6 +109,8 @@ def definition_hashes(
 ) -> DataFrame:
     """Canonical digest per definition; capabilities are hashed in sorted order.
 
+    A node's optional ``config`` (map of strings) is hashed with sorted keys.
+
     ``position`` orders nodes and edges. A definition is one hashed document, so
     its parts are brought together per definition.
     """
@@ -118,7 +120,7 @@ def definition_hashes(
         componentType=text(F.col("component_type")),
         componentVersion=text(F.col("component_version")),
         capabilities=ids.json_array(F.array_sort("capabilities")),
-        config=F.lit("{}"),
+        config=ids.json_map(F.col("config")) if "config" in nodes.columns else F.lit("{}"),
         inputSchema=text(F.col("input_schema")),
         outputSchema=text(F.col("output_schema")),
     )

@@ -16,6 +16,7 @@ from proofweave.functions.identity import uuid_from_text
 from proofweave.operators import chunking, lexical, versions
 from proofweave.operators.rerank import with_token_sets
 from proofweave.operators.sizing import materialize, spread
+from proofweave.sources.questions import split_questions
 from proofweave.operators.traces import days_later
 from proofweave.plans.answering import answer_questions
 
@@ -38,7 +39,7 @@ def tenant_uuid(source: Column) -> Column:
 
 def document_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document as ``v1``; every labelled document again as ``v2``."""
-    documents = spread(table(spark, sf_dir, "documents"), "doc_id").join(
+    documents = table(spark, sf_dir, "documents").join(
         table(spark, sf_dir, "labels"), "doc_id", "left"
     )
     published = F.lit(EPOCH) + F.make_dt_interval(days=F.col("doc_id") % PUBLISHED_DAYS)
@@ -80,8 +81,8 @@ def document_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def title_of(text: Column) -> Column:
-    """First sentence, shortened to the title bound of an ingest request."""
-    return F.substring(F.regexp_extract(text, r"\A[^.\n]*", 0), 1, K.MAX_TITLE)
+    """The whole first sentence."""
+    return F.regexp_extract(text, r"\A[^.\n]*", 0)
 
 
 def document_principals() -> Column:
@@ -131,6 +132,11 @@ def active_corpus_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The asked questions within the bounds of a question."""
+    return split_questions(asked_questions(spark, sf_dir))[0]
+
+
+def asked_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """User turns, plus one known-item question per document.
 
     A labelled document is asked for by its title; any other is asked for the
@@ -151,7 +157,7 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.col("text").alias("query_text"),
         )
     )
-    documents = spread(table(spark, sf_dir, "documents"), "doc_id").join(
+    documents = table(spark, sf_dir, "documents").join(
         table(spark, sf_dir, "labels"), "doc_id", "left"
     )
     title = title_of(F.col("text"))
@@ -328,6 +334,10 @@ def graph_definitions(
         F.concat(F.lit("part-"), F.col("l_partkey").cast("string")).alias("component_type"),
         F.lit("1.0.0").alias("component_version"),
         F.array(by_flag, by_status).alias("capabilities"),
+        F.when(F.col("l_discount") > 0.02, F.create_map(
+            F.lit("flag"), F.col("l_returnflag"),
+            F.lit("at"), F.col("l_suppkey").cast("string"),
+        )).alias("config"),
         F.lit("rows").alias("input_schema"),
         F.lit("rows").alias("output_schema"),
     )

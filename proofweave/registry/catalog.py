@@ -31,7 +31,8 @@ from proofweave.plans import ingestion, retrieval
 from proofweave.registry import bindings as B
 from proofweave.session import ensure_checkpoint_dir
 from proofweave.sources import requests as requests_source
-from proofweave.sources.tables import TableLayout
+from proofweave.sources.questions import question_problems
+from proofweave.sources.tables import VERSIONS, TableLayout
 from proofweave.sources.text_files import read_text_files
 from proofweave.streaming import ingest as streaming
 
@@ -592,20 +593,53 @@ def text_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query
-def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents streamed as request files, in micro-batches, with repeats."""
+def _streamed(spark: SparkSession, requests: DataFrame, times: int = 1) -> TableLayout:
+    """Tables after streaming ``requests`` as files, written ``times`` times."""
     root = f"{ensure_checkpoint_dir(spark)}/proofweave/stream-{uuid.uuid4().hex}"
-    requests = B.ingest_requests(spark, sf_dir)
-    requests.write.json(f"{root}/requests")
-    requests.write.mode("append").json(f"{root}/requests")
+    for _ in range(times):
+        requests.write.mode("append").json(f"{root}/requests")
     layout = TableLayout(f"{root}/tables")
     stream = streaming.request_stream(spark, f"{root}/requests", max_files=10)
     streaming.run_to_completion(
         streaming.start_ingestion(stream, layout, f"{root}/stream-checkpoint")
     )
+    return layout
+
+
+@query
+def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents streamed as request files, in micro-batches, with repeats."""
+    layout = _streamed(spark, B.ingest_requests(spark, sf_dir), 2)
     return (
         layout.active_chunks(spark)
         .groupBy("document_id", "version_id")
         .agg(F.count(F.lit(1)).alias("chunk_count"), F.min("chunk_id").alias("least_chunk_id"))
     )
+
+
+@query
+def stream_editions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two editions of each document in one stream: the later request is active."""
+    requests = B.ingest_requests(spark, sf_dir)
+    swapped = F.length("content") % 2 == 1
+    editions = requests.withColumn("version_label", F.explode(F.array(F.lit("1.3"), F.lit("1.4"))))
+    newer = (F.col("version_label") == "1.4") != swapped
+    layout = _streamed(
+        spark, editions.withColumn("activation_seq", F.when(newer, 2).otherwise(1).cast("long"))
+    )
+    written = layout.read(spark, VERSIONS).select("batch_id", "version_id", "version_label")
+    active = layout.active_versions(spark)
+    return (
+        active.join(written, ["batch_id", "version_id"])
+        .select("document_id", "version_label")
+        .distinct()
+    )
+
+
+@query
+def validate_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every asked question with the rules that it violates."""
+    reason = question_problems(F.col("query_text"))
+    return B.asked_questions(spark, sf_dir).select(
+        "question_id", (reason == "").alias("is_valid"), reason.alias("reason")
+    )

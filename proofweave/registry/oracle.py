@@ -58,7 +58,7 @@ def tokens(x: str) -> str:
 
 
 def title(x: str) -> str:
-    return rf"substr(regexp_extract({x}, '^[^.\n]*'), 1, {K.MAX_TITLE})"
+    return rf"regexp_extract({x}, '^[^.\n]*')"
 
 
 def focused(x: str) -> str:
@@ -159,7 +159,7 @@ cte(
 )
 cte("chunks", ("active",), chunked("active"))
 cte(
-    "questions",
+    "asked_questions",
     (),
     f"""
     SELECT 'turn-' || conv_id || '-' || turn AS question_id,
@@ -177,6 +177,20 @@ cte(
         ELSE {title('text')} END
     FROM documents LEFT JOIN labels USING (doc_id)""",
 )
+cte(
+    "judged_questions",
+    ("asked_questions",),
+    f"""
+    SELECT *, concat_ws('; ',
+        CASE WHEN length(query_text) NOT BETWEEN {K.MIN_QUERY} AND {K.MAX_QUERY} THEN 'query length' END,
+        CASE WHEN {strip('query_text')} = '' THEN 'blank query' END) AS reason
+    FROM asked_questions""",
+)
+cte(
+    "questions",
+    ("judged_questions",),
+    "SELECT * EXCLUDE (reason) FROM judged_questions WHERE reason = ''",
+)
 
 
 def hashed(name: str, source: str, key: str, text: str) -> None:
@@ -367,6 +381,10 @@ cte(
 )
 
 ORACLE: dict[str, str] = {}
+ORACLE["validate_questions"] = build(
+    "SELECT question_id, reason = '' AS is_valid, reason FROM judged_questions",
+    "judged_questions",
+)
 ORACLE["normalize_documents"] = f"""
     SELECT doc_id, {text_uuid('source')} AS enterprise_id, {normalize('text')} AS normalized,
       length({normalize('text')}) AS n_normalized
@@ -718,6 +736,11 @@ ORACLE["stream_ingest"] = build(
        FROM request_chunks GROUP BY document_id, version_id""",
     "request_chunks",
 )
+ORACLE["stream_editions"] = build(
+    """SELECT document_id, CASE WHEN length(text) % 2 = 1 THEN '1.3' ELSE '1.4' END AS version_label
+       FROM judged_requests WHERE reason = ''""",
+    "judged_requests",
+)
 ORACLE["activate_versions"] = build(
     """
     SELECT enterprise_id, document_id, version_id, activation_seq::INT AS activation_seq,
@@ -909,7 +932,9 @@ GRAPH = """
       SELECT l_orderkey AS id, 'n' || l_linenumber AS node, position, 'part-' || l_partkey AS part,
         CASE l_returnflag WHEN 'A' THEN 'authorization' WHEN 'N' THEN 'provenance' ELSE 'audit' END
           AS cap1,
-        CASE l_linestatus WHEN 'O' THEN 'claim-validation' ELSE 'retrieval' END AS cap2
+        CASE l_linestatus WHEN 'O' THEN 'claim-validation' ELSE 'retrieval' END AS cap2,
+        CASE WHEN l_discount > 0.02 THEN '"at":"' || l_suppkey || '","flag":"' || l_returnflag || '"'
+             ELSE '' END AS config
       FROM numbered),
     edges AS (
       SELECT * FROM (
@@ -949,7 +974,7 @@ ORACLE["definition_validation"] = f"""{GRAPH},
 ORACLE["definition_hash"] = f"""{GRAPH},
     n AS (SELECT id, string_agg('{{"capabilities":["' || least(cap1, cap2) || '","'
         || greatest(cap1, cap2) || '"],"componentType":"' || part
-        || '","componentVersion":"1.0.0","config":{{}},"id":"' || node
+        || '","componentVersion":"1.0.0","config":{{' || config || '}},"id":"' || node
         || '","inputSchema":"rows","outputSchema":"rows"}}', ',' ORDER BY position) AS body
       FROM nodes GROUP BY id),
     e AS (SELECT id, string_agg('{{"sourceNodeId":"' || src || '","targetNodeId":"' || dst || '"}}',
