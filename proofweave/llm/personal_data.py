@@ -78,6 +78,9 @@ _BARE_DOT = re.compile(rf"(?<=[A-Za-z0-9]) (?:{_DOTS}) (?=[A-Za-z0-9])", re.I)
 _PLUS = re.compile(r"\bplus (?=[0-9])", re.I)
 _HINT = re.compile(rf" (?:{_DOTS}) |[\[({{<] {{0,2}}(?:{_ATS}|{_DOTS}|[.@]) {{0,2}}[\])}}>]|\b{_NAME}\b[ \-]{_NAME}\b|[0-9][ \-]{_NAME}\b|\b{_NAME}[ \-][0-9]|plus [0-9]", re.I)
 
+_LETTERS = re.compile(r"[^\W\d_]+")
+_HINT_WORDS = {*_NAMED, *DOT_NAMES, "plus"}
+
 _EMAIL_LOCAL = re.compile(r"[A-Za-z0-9._%+-]")
 _EMAIL_DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
@@ -130,6 +133,12 @@ def detect(text: str) -> list[tuple[str, int, int]]:
     return found
 
 
+def _hinted(text: str) -> bool:
+    """Whether _HINT is found, asked only of texts with a bracket or one of its words."""
+    boxed = any(c in text for c in "[({<")
+    return (boxed or not _HINT_WORDS.isdisjoint(_LETTERS.findall(text.lower()))) and bool(_HINT.search(text))
+
+
 class Rewritten:
     """A text with some slices replaced, and the way back to its source."""
 
@@ -212,7 +221,7 @@ def find(text: str) -> list[tuple[str, int, int, bool]]:
     spans = [(*s, False) for s in plain]
     odd = not text.isascii() and _ODD.search(text)
     hidden = not text.isascii() and _HIDDEN.search(text)
-    if odd or hidden or _HINT.search(text):
+    if odd or hidden or _hinted(text):
         stages, now = [], text.translate(SAME_LENGTH) if odd else text
         for rule in (lambda t: [(*m.span(), "") for m in _HIDDEN.finditer(t)], _disguises, _digits, _dots):
             stages.append(Rewritten(now, rule(now)))
