@@ -66,7 +66,7 @@ SAME_LENGTH = _same_length_map()
 _NAMED = {name: str(d) for d, names in enumerate(DIGIT_NAMES) for name in names}
 _NAME = "(?:" + "|".join(sorted(_NAMED, key=len, reverse=True)) + ")"
 _ATS, _DOTS = "|".join(AT_NAMES), "|".join(DOT_NAMES)
-_ODD = re.compile("[" + "".join(map(re.escape, map(chr, sorted(SAME_LENGTH)))) + "]")
+_ODD = frozenset(map(chr, SAME_LENGTH))
 _HIDDEN = re.compile(f"[{INVISIBLE}]+")
 #: Three or more digit names, or one beside a digit, with a space or hyphen between.
 _SPELLED = re.compile(rf"\b{_NAME}(?:[ \-]{_NAME})*\b", re.I)
@@ -219,8 +219,8 @@ def find(text: str) -> list[tuple[str, int, int, bool]]:
     """
     plain = detect(text)
     spans = [(*s, False) for s in plain]
-    odd = not text.isascii() and _ODD.search(text)
-    hidden = not text.isascii() and _HIDDEN.search(text)
+    rare = frozenset() if text.isascii() else frozenset(text)  # one look at each distinct character
+    odd, hidden = not rare.isdisjoint(_ODD), not rare.isdisjoint(INVISIBLE)
     if odd or hidden or _hinted(text):
         stages, now = [], text.translate(SAME_LENGTH) if odd else text
         for rule in (lambda t: [(*m.span(), "") for m in _HIDDEN.finditer(t)], _disguises, _digits, _dots):
