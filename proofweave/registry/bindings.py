@@ -186,7 +186,7 @@ def evidence(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     if key not in _evidence:
         chunks, index = corpus(spark, sf_dir)
         _evidence[key] = answer_questions(
-            questions(spark, sf_dir), chunks, index, spell=False, claims_for=mixed_claims
+            questions(spark, sf_dir), chunks, index, claims_for=mixed_claims
         )
     return _evidence[key]
 

@@ -221,7 +221,7 @@ def spelling_correction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _routed_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return routing.route(B.routing_questions(spark, sf_dir), "query_text")
+    return routing.route(routing.correct(B.routing_questions(spark, sf_dir)))
 
 
 @query
