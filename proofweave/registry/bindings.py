@@ -13,7 +13,7 @@ from proofweave import constants as K
 from proofweave.functions import text as tx
 from proofweave.functions.embedding import with_embedding
 from proofweave.functions.identity import uuid_from_text
-from proofweave.operators import chunking, lexical, versions
+from proofweave.operators import chunking, lexical, routing, versions
 from proofweave.operators.rerank import with_token_sets
 from proofweave.operators.sizing import materialize, spread
 from proofweave.sources.questions import split_questions
@@ -177,7 +177,16 @@ def asked_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def embedded_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return with_embedding(questions(spark, sf_dir), "query_text")
+    """Questions to retrieve for: vectors of the asked text, terms of the corrected one."""
+    return corrected(with_embedding(questions(spark, sf_dir), "query_text"))
+
+
+def corrected_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corrected(questions(spark, sf_dir))
+
+
+def corrected(asked: DataFrame) -> DataFrame:
+    return routing.correct(asked).withColumn("query_text", F.col("effective_text"))
 
 
 def evidence(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -186,13 +195,16 @@ def evidence(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     if key not in _evidence:
         chunks, index = corpus(spark, sf_dir)
         _evidence[key] = answer_questions(
-            questions(spark, sf_dir), chunks, index, spell=False, claims_for=mixed_claims
+            questions(spark, sf_dir), chunks, index, claims_for=mixed_claims
         )
     return _evidence[key]
 
 
 def mixed_claims(retrieved: DataFrame) -> DataFrame:
-    """Proposals of every kind: verbatim, padded, altered, misattributed, blank."""
+    """Proposals of every kind: verbatim, padded, altered, misattributed, blank.
+
+    A quarter of the questions get no verbatim proposal, and a quarter none.
+    """
     line = tx.first_line(F.col("content"))
     kinds = F.array(
         *[
@@ -205,8 +217,10 @@ def mixed_claims(retrieved: DataFrame) -> DataFrame:
             )
         ]
     )
+    share = F.conv(F.substring(F.md5("question_id"), 1, 2), 16, 10).cast("int") % 4
+    offered = F.filter(kinds, lambda k: (share < 2) | ((share == 2) & (k["kind"] > 0)))
     leading = retrieved.filter(F.col("result_rank") <= K.CITED_CHUNKS)
-    return leading.withColumn("claim", F.explode(kinds)).select(
+    return leading.withColumn("claim", F.explode(offered)).select(
         "question_id",
         ((F.col("result_rank") - 1) * 4 + F.col("claim.kind") + 1).alias("pos"),
         F.col("claim.cited").alias("chunk_id"),

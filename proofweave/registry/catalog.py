@@ -128,7 +128,7 @@ def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def lexical_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, index = B.corpus(spark, sf_dir)
-    tried = retrieval.attempts(B.questions(spark, sf_dir))
+    tried = retrieval.attempts(B.corrected_questions(spark, sf_dir))
     return lexical.lexical_top(tried, index)
 
 

@@ -193,6 +193,105 @@ cte(
 )
 
 
+cte(
+    "compute_questions",
+    (),
+    """
+    SELECT 'order-' || o_orderkey AS question_id,
+      'How many days between ' || strftime(o_orderdate, '%Y-%m-%d') || ' and '
+        || strftime(max(l_shipdate), '%Y-%m-%d') || '?' AS query_text
+    FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey, o_orderdate
+    UNION ALL
+    SELECT 'event-' || event_id,
+      'What is the ' || CASE WHEN event_type IN ('purchase', 'click') THEN 'total'
+        ELSE 'average' END || ' of ' || printf('%.2f', value) || ' and -'
+        || regexp_extract(props, '[0-9]+') || '?'
+    FROM events""",
+)
+cte(
+    "all_questions",
+    ("questions", "compute_questions"),
+    """SELECT question_id, query_text FROM questions
+       UNION ALL SELECT question_id, query_text FROM compute_questions""",
+)
+cte(
+    "question_words",
+    ("all_questions",),
+    rf"""
+    SELECT question_id, pos, word, lower(regexp_replace(word, '[^a-zA-Z]', '', 'g')) AS bare FROM (
+      SELECT question_id, unnest(w) AS word, unnest(range(len(w))) AS pos FROM (
+        SELECT question_id, list_filter(regexp_split_to_array(query_text, '[{ANY}]+'),
+            lambda x: x <> '') AS w FROM all_questions))""",
+)
+
+
+def longest_block(alo: str, ahi: str, blo: str, bhi: str) -> str:
+    """Longest common block of entry[alo:ahi] and bare[blo:bhi], the first of
+    equals: its length, 99 - start in entry and 99 - start in bare in two digits each."""
+    return f"""list_max(flatten(list_transform(range({alo}, {ahi}), lambda i: flatten(
+      list_transform(range({blo}, {bhi}), lambda j: list_transform(
+        range(1, least({ahi} - i, {bhi} - j) + 1), lambda k: CASE
+          WHEN substr(entry, (i + 1)::BIGINT, k::BIGINT) = substr(bare, (j + 1)::BIGINT, k::BIGINT)
+          THEN k * 10000 + (99 - i) * 100 + 99 - j END))))))"""
+
+
+cte(
+    "nearest_words",
+    ("question_words",),
+    f"""
+    WITH RECURSIVE near AS (
+      SELECT bare, entry FROM (SELECT DISTINCT bare FROM question_words
+                               WHERE length(bare) >= {K.MIN_SPELLED_LENGTH}),
+        (SELECT unnest([{words(K.SPELLING_LEXICON)}]) AS entry)
+      -- letters in common, in any order, bound the ratio from above
+      WHERE 2.0::DOUBLE * least(length(bare), length(entry)) >= {K.SPELLING_CUTOFF} * (length(bare) + length(entry))
+        AND 2.0::DOUBLE * list_sum(list_transform(list_distinct(string_split(entry, '')), lambda c: least(
+              length(entry) - length(replace(entry, c, '')), length(bare) - length(replace(bare, c, '')))))
+            >= {K.SPELLING_CUTOFF} * (length(bare) + length(entry))),
+    blocks AS (
+      SELECT *, {longest_block('alo', 'ahi', 'blo', 'bhi')} AS best
+      FROM (SELECT bare, entry, 0::BIGINT AS alo, length(entry) AS ahi, 0::BIGINT AS blo, length(bare) AS bhi FROM near)
+      UNION ALL
+      SELECT *, {longest_block('alo', 'ahi', 'blo', 'bhi')} AS best
+      FROM (
+        SELECT bare, entry, CASE WHEN side = 0 THEN alo ELSE a + k END AS alo,
+          CASE WHEN side = 0 THEN a ELSE ahi END AS ahi, CASE WHEN side = 0 THEN blo ELSE b + k END AS blo,
+          CASE WHEN side = 0 THEN b ELSE bhi END AS bhi
+        FROM (SELECT *, best // 10000 AS k, 99 - (best // 100) % 100 AS a, 99 - best % 100 AS b,
+                unnest([0, 1]) AS side FROM blocks WHERE best IS NOT NULL))
+      WHERE alo < ahi AND blo < bhi),
+    ratios AS (
+      SELECT bare, entry, 2.0::DOUBLE * sum(best // 10000) / (length(bare) + length(entry)) AS ratio
+      FROM blocks WHERE best IS NOT NULL GROUP BY bare, entry)
+    SELECT bare, entry FROM (
+      SELECT *, row_number() OVER (PARTITION BY bare ORDER BY ratio DESC, entry DESC) AS place
+      FROM ratios WHERE ratio >= {K.SPELLING_CUTOFF})
+    WHERE place = 1 AND entry <> bare""",
+)
+cte(
+    "corrections",
+    ("question_words", "nearest_words"),
+    """
+    SELECT question_id, string_agg(CASE WHEN entry IS NULL THEN word
+        ELSE replace(lower(word), bare, entry) END, ' ' ORDER BY pos) AS corrected_query
+    FROM question_words LEFT JOIN nearest_words USING (bare)
+    GROUP BY question_id HAVING count(entry) > 0""",
+)
+cte(
+    "spelled_questions",
+    ("questions", "corrections"),
+    """SELECT question_id, enterprise_id, actor_id, principals, query_text,
+         coalesce(corrected_query, query_text) AS effective_text
+       FROM questions LEFT JOIN corrections USING (question_id)""",
+)
+cte(
+    "spelled_all",
+    ("all_questions", "corrections"),
+    """SELECT question_id, query_text, coalesce(corrected_query, query_text) AS effective_text
+       FROM all_questions LEFT JOIN corrections USING (question_id)""",
+)
+
+
 def hashed(name: str, source: str, key: str, text: str) -> None:
     """Sparse unit vectors of ``source``: (key, idx, val)."""
     cte(
@@ -251,12 +350,13 @@ cte(
 )
 cte(
     "attempts",
-    ("questions",),
+    ("spelled_questions",),
     f"""
-    SELECT question_id, 'full' AS form, enterprise_id, principals, query_text FROM questions
+    SELECT question_id, 'full' AS form, enterprise_id, principals, effective_text AS query_text
+    FROM spelled_questions
     UNION ALL
     SELECT * FROM (SELECT question_id, 'focused', enterprise_id, principals,
-                     {focused('query_text')} AS query_text FROM questions)
+                     {focused('effective_text')} AS query_text FROM spelled_questions)
     WHERE query_text IS NOT NULL""",
 )
 cte(
@@ -455,23 +555,6 @@ ORACLE["hybrid_retrieval"] = build(
 
 
 # --- routing and computed answers --------------------------------------------
-cte(
-    "compute_questions",
-    (),
-    """
-    SELECT 'order-' || o_orderkey AS question_id,
-      'How many days between ' || strftime(o_orderdate, '%Y-%m-%d') || ' and '
-        || strftime(max(l_shipdate), '%Y-%m-%d') || '?' AS query_text
-    FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey, o_orderdate
-    UNION ALL
-    SELECT 'event-' || event_id,
-      'What is the ' || CASE WHEN event_type IN ('purchase', 'click') THEN 'total'
-        ELSE 'average' END || ' of ' || printf('%.2f', value) || ' and -'
-        || regexp_extract(props, '[0-9]+') || '?'
-    FROM events""",
-)
-
-
 def routed(name: str, source: str, *columns: str) -> None:
     kept = "".join(f"{c}, " for c in columns)
     days = r"days between (\d{4}-\d{2}-\d{2}) and (\d{4}-\d{2}-\d{2})"
@@ -487,25 +570,19 @@ def routed(name: str, source: str, *columns: str) -> None:
                WHEN len(numbers) > 0 AND s THEN 'sum' WHEN len(numbers) > 0 AND m THEN 'mean'
                WHEN hint AND m THEN 'mean' WHEN hint AND s THEN 'sum' END AS function_name
         FROM (
-          SELECT *, regexp_matches(query_text, '(?i)\\b(sum|total)\\b') AS s,
-            regexp_matches(query_text, '(?i)\\b(mean|average)\\b') AS m,
-            regexp_matches(lower(query_text), 'worksheet|spreadsheet|table|values') AS hint,
-            nullif(regexp_extract(query_text, '(?i){days}', 1), '') AS start_date,
-            nullif(regexp_extract(query_text, '(?i){days}', 2), '') AS end_date,
-            list_transform(regexp_extract_all(query_text, '-?\\d+(?:\\.\\d+)?'),
+          SELECT *, regexp_matches(effective_text, '(?i)\\b(sum|total)\\b') AS s,
+            regexp_matches(effective_text, '(?i)\\b(mean|average)\\b') AS m,
+            regexp_matches(lower(effective_text), 'worksheet|spreadsheet|table|values') AS hint,
+            nullif(regexp_extract(effective_text, '(?i){days}', 1), '') AS start_date,
+            nullif(regexp_extract(effective_text, '(?i){days}', 2), '') AS end_date,
+            list_transform(regexp_extract_all(effective_text, '-?\\d+(?:\\.\\d+)?'),
                            lambda n: n::DOUBLE) AS numbers
           FROM {source})""",
     )
 
 
-cte(
-    "all_questions",
-    ("questions", "compute_questions"),
-    """SELECT question_id, query_text FROM questions
-       UNION ALL SELECT question_id, query_text FROM compute_questions""",
-)
-routed("routed_all", "all_questions")
-routed("routed", "questions", "enterprise_id", "actor_id", "principals")
+routed("routed_all", "spelled_all")
+routed("routed", "spelled_questions", "enterprise_id", "actor_id", "principals")
 cte(
     "computed",
     ("routed_all",),
@@ -519,6 +596,12 @@ cte(
         ELSE date_diff('day', start_date::DATE, end_date::DATE)::DOUBLE END AS value
       FROM routed_all WHERE route = 'compute')""",
 )
+ORACLE["spelling_correction"] = build(
+    """SELECT question_id, query_text, corrected_query
+       FROM all_questions JOIN corrections USING (question_id)""",
+    "all_questions",
+    "corrections",
+)
 ORACLE["route_queries"] = build(
     """SELECT question_id, route, function_name, len(numbers)::INT AS n_numbers, start_date,
          end_date FROM routed_all""",
@@ -545,7 +628,8 @@ cte(
       CASE kind WHEN 0 THEN '  ' || line || ' ' WHEN 1 THEN upper(line) WHEN 2 THEN line
                 ELSE '   ' END AS text
     FROM (SELECT question_id, result_rank, chunk_id, split_part(content, E'\\n', 1) AS line,
-            unnest([0, 1, 2, 3]) AS kind
+            unnest(CASE ('0x' || substr(md5(question_id), 1, 2))::INT % 4
+              WHEN 2 THEN [1, 2, 3] WHEN 3 THEN [] ELSE [0, 1, 2, 3] END) AS kind
           FROM searched WHERE result_rank <= {K.CITED_CHUNKS})""",
 )
 cte(
