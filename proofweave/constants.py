@@ -61,6 +61,8 @@ CITED_CHUNKS = 2
 
 # --- patterns ---------------------------------------------------------------
 TOKEN_PATTERN = "[a-z0-9]+"
+# Words of lexical search keep accents and every script.
+WORD_PATTERN = r"[\p{L}\p{N}]+"
 NUMBER_PATTERN = r"-?\d+(?:\.\d+)?"
 DAYS_BETWEEN_PATTERN = r"(?i)days between (\d{4}-\d{2}-\d{2}) and (\d{4}-\d{2}-\d{2})"
 SUM_PATTERN = r"(?i)\b(sum|total)\b"

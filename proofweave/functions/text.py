@@ -66,6 +66,11 @@ def tokenize(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(K.TOKEN_PATTERN), F.lit(0))
 
 
+def search_words(text: Column) -> Column:
+    """Lower-case runs of letters and digits of any script, in order, with repeats."""
+    return F.regexp_extract_all(F.lower(text), F.lit(K.WORD_PATTERN), F.lit(0))
+
+
 def token_set(text: Column) -> Column:
     return F.array_distinct(tokenize(text))
 

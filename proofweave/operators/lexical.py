@@ -28,12 +28,12 @@ def _is_kept(term: Column) -> Column:
 
 def query_terms(text: Column) -> Column:
     """Distinct search terms of a question text."""
-    return F.filter(tx.token_set(text), _is_kept)
+    return F.filter(F.array_distinct(tx.search_words(text)), _is_kept)
 
 
 def _positioned(text: Column, offset: Column) -> Column:
     numbered = F.transform(
-        tx.tokenize(text),
+        tx.search_words(text),
         lambda token, at: F.struct((offset + at + 1).alias("pos"), token.alias("term")),
     )
     return F.filter(numbered, lambda item: _is_kept(item["term"]))
@@ -65,8 +65,20 @@ def index_chunks(chunks: DataFrame) -> DataFrame:
 
 
 def postings(index: DataFrame) -> DataFrame:
-    """Distinct (tenant, term, chunk) rows."""
-    return index.select("enterprise_id", "chunk_id", F.explode("terms").alias("term"))
+    """Distinct (tenant, term, chunk) rows, with who may see the chunk."""
+    return index.select(
+        "enterprise_id", "chunk_id", "principals", F.explode("terms").alias("term")
+    )
+
+
+def term_counts(index: DataFrame) -> DataFrame:
+    """Chunks per tenant and term. Counted before the shuffle, so that a frequent
+    term costs its task one row per input partition."""
+    return (
+        index.select("enterprise_id", F.explode("terms").alias("term"))
+        .groupBy("enterprise_id", "term")
+        .agg(F.count(F.lit(1)).alias("chunk_count"))
+    )
 
 
 def covers(occurrences: Column, terms: Column) -> Column:
@@ -133,22 +145,13 @@ def _term_density(occurrences: Column, terms: Column) -> Column:
     )
 
 
-def _anchored(questions: DataFrame, posting_rows: DataFrame) -> DataFrame:
+def _anchored(questions: DataFrame, counts: DataFrame) -> DataFrame:
     """Questions with their rarest term.
 
     A question holding a term that no chunk of the tenant holds cannot match
     and drops out here.
     """
     wanted = questions.select("enterprise_id", *ATTEMPT, F.explode("terms").alias("term"))
-    counts = (
-        posting_rows.join(
-            wanted.select("enterprise_id", "term").distinct(),
-            ["enterprise_id", "term"],
-            "left_semi",
-        )
-        .groupBy("enterprise_id", "term")
-        .agg(F.count(F.lit(1)).alias("chunk_count"))
-    )
     rarest = (
         wanted.join(counts, ["enterprise_id", "term"], "left")
         .groupBy(*ATTEMPT)
@@ -171,18 +174,21 @@ def lexical_matches(questions: DataFrame, index: DataFrame) -> DataFrame:
     asked = questions.select(
         *ATTEMPT, "enterprise_id", "principals", query_terms(F.col("query_text")).alias("terms")
     ).filter(F.size("terms") > 0)
-    posting_rows = postings(index)
-    anchored = _anchored(asked, posting_rows)
+    anchored = _anchored(asked, term_counts(index)).withColumnRenamed("principals", "asked_principals")
 
     # One tenant's frequent term can hold a large share of the postings. The
     # join is a plain equi join followed by another shuffle, so adaptive skew
-    # handling splits such a partition at run time.
-    candidates = anchored.join(posting_rows, ["enterprise_id", "term"]).select(
-        *ATTEMPT, "chunk_id", "terms", F.col("principals").alias("asked_principals")
+    # handling splits such a partition at run time. Access is decided on the
+    # posting: rows that may not be seen never meet content or positions.
+    candidates = (
+        anchored.join(postings(index), ["enterprise_id", "term"])
+        .filter(may_see(F.col("asked_principals"), F.col("principals")))
+        .select(*ATTEMPT, "chunk_id", "terms")
     )
+    indexed = index.select("chunk_id", F.col("terms").alias("held"), "lexemes")
     found = (
-        candidates.join(index.drop("enterprise_id", "terms"), "chunk_id")
-        .filter(may_see(F.col("asked_principals"), F.col("principals")))
+        candidates.join(indexed, "chunk_id")
+        .filter(F.size(F.array_except("terms", "held")) == 0)
         .select(
             *ATTEMPT,
             "chunk_id",
@@ -191,10 +197,6 @@ def lexical_matches(questions: DataFrame, index: DataFrame) -> DataFrame:
                 "lexemes", lambda item: F.array_contains(F.col("terms"), item["term"])
             ).alias("occurrences"),
         )
-        .filter(
-            F.size(F.array_distinct(F.transform("occurrences", lambda item: item["term"])))
-            == F.size("terms")
-        )
     )
     return found.select(
         *ATTEMPT,

@@ -57,6 +57,10 @@ def tokens(x: str) -> str:
     return f"regexp_extract_all(lower({x}), '{K.TOKEN_PATTERN}')"
 
 
+def search_words(x: str) -> str:
+    return f"regexp_extract_all(lower({x}), '{K.WORD_PATTERN}')"
+
+
 def title(x: str) -> str:
     return rf"regexp_extract({x}, '^[^.\n]*')"
 
@@ -365,22 +369,22 @@ cte(
     f"""
     WITH terms AS (
       SELECT DISTINCT question_id, form, enterprise_id, principals, term FROM (
-        SELECT *, unnest({tokens('query_text')}) AS term FROM attempts)
+        SELECT *, unnest({search_words('query_text')}) AS term FROM attempts)
       WHERE NOT list_contains({STOP}, term)),
     wanted AS (SELECT question_id, form, count(*) AS n FROM terms GROUP BY ALL),
     body AS (
       SELECT chunk_id, enterprise_id, principals, title, term, pos FROM (
         SELECT chunk_id, enterprise_id, principals, title,
-          unnest({tokens('content')}) AS term,
-          unnest(range(1, len({tokens('content')}) + 1)) AS pos FROM chunks)
+          unnest({search_words('content')}) AS term,
+          unnest(range(1, len({search_words('content')}) + 1)) AS pos FROM chunks)
       WHERE NOT list_contains({STOP}, term)),
     shifts AS (
       SELECT c.chunk_id, c.enterprise_id, c.principals, c.title, coalesce(max(b.pos), 0) AS shift
       FROM chunks c LEFT JOIN body b USING (chunk_id) GROUP BY ALL),
     heads AS (
       SELECT chunk_id, enterprise_id, principals, term, pos + shift AS pos FROM (
-        SELECT *, unnest({tokens('title')}) AS term,
-          unnest(range(1, len({tokens('title')}) + 1)) AS pos FROM shifts)
+        SELECT *, unnest({search_words('title')}) AS term,
+          unnest(range(1, len({search_words('title')}) + 1)) AS pos FROM shifts)
       WHERE NOT list_contains({STOP}, term)),
     placed AS (
       SELECT chunk_id, enterprise_id, principals, term, pos FROM body
