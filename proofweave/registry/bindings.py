@@ -228,6 +228,48 @@ def mixed_claims(retrieved: DataFrame) -> DataFrame:
     )
 
 
+def line_evidence(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Orders as questions, line items as their evidence, and proposed claims.
+
+    Returned lines state no number; a quarter of the orders asks for a total,
+    and for another quarter the leading line is proposed as a claim.
+    """
+    named = F.concat(F.lit("order-"), F.col("l_orderkey").cast("string"))
+    place = Window.partitionBy("l_orderkey").orderBy(
+        F.desc("support_score"), "l_linenumber", "l_partkey", "l_suppkey"
+    )
+    stated = F.concat(
+        F.lit("Quantity "), F.col("l_quantity").cast("int").cast("string"),
+        F.lit(" of part "), F.col("l_partkey").cast("string"), F.lit("."),
+    )
+    lines = (
+        table(spark, sf_dir, "lineitem")
+        .withColumn("support_score", F.round(F.lit(0.58) + F.col("l_discount") + F.col("l_tax"), 4))
+        .withColumn("result_rank", F.row_number().over(place))
+        .select(
+            named.alias("question_id"),
+            F.concat_ws("-", "l_orderkey", "result_rank").alias("chunk_id"),
+            F.lit("Lines").alias("title"),
+            F.lit("v1").alias("version_label"),
+            F.lit("row").alias("locator"),
+            F.when(F.col("l_returnflag") == "R", "The part came back.").otherwise(stated).alias("content"),
+            "support_score",
+            "result_rank",
+            F.col("l_orderkey").alias("order"),
+        )
+    )
+    asked = table(spark, sf_dir, "orders").select(
+        F.concat(F.lit("order-"), F.col("o_orderkey").cast("string")).alias("question_id"),
+        F.when(F.col("o_orderkey") % 4 == 1, "What is the total of the values?")
+        .otherwise("Which parts were ordered?")
+        .alias("query_text"),
+    )
+    proposed = lines.filter((F.col("order") % 4 == 2) & (F.col("result_rank") == 1)).select(
+        "question_id", F.lit(1).alias("pos"), "chunk_id", F.col("content").alias("text")
+    )
+    return asked, lines.drop("order"), proposed
+
+
 def compute_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Delivery times of orders, and sums or means over event values."""
     shipped = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(

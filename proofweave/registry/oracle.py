@@ -647,10 +647,12 @@ cte(
     WHERE {strip('p.text')} <> '' AND contains(r.content, {strip('p.text')})""",
 )
 NUM = r"'-?\d+(?:\.\d+)?'"
-cte(
-    "answered",
-    ("searched", "routed", "accepted"),
-    f"""
+def assembled(name: str, searched: str, routed_: str, accepted: str, *columns: str) -> None:
+    kept = "".join(f"{c}, " for c in columns)
+    cte(
+        name,
+        (searched, routed_, accepted),
+        f"""
     WITH lead_chunks AS (
       SELECT question_id, count(*) AS n_retrieved,
         max(CASE WHEN result_rank = 1 THEN content END) AS c1,
@@ -661,10 +663,10 @@ cte(
         max(CASE WHEN result_rank = 2 THEN chunk_id END) AS id2,
         flatten(list(regexp_extract_all(content, {NUM}) ORDER BY result_rank)
           FILTER (WHERE result_rank <= {K.NUMERIC_CHUNKS})) AS found
-      FROM searched GROUP BY question_id),
+      FROM {searched} GROUP BY question_id),
     told AS (
       SELECT question_id, string_agg(claim_text, ' ' ORDER BY pos) AS text, count(*) AS n,
-        string_agg(chunk_id, ',' ORDER BY pos) AS cited FROM accepted GROUP BY question_id),
+        string_agg(chunk_id, ',' ORDER BY pos) AS cited FROM {accepted} GROUP BY question_id),
     judged AS (
       SELECT q.*, coalesce(n_retrieved, 0) AS n_retrieved, c1, c2, s1, s2, id1, id2, text, n, cited,
         list_transform(found, lambda x: x::DOUBLE) AS vals,
@@ -677,14 +679,14 @@ cte(
                AND list_sort(list_distinct(regexp_extract_all(c1, {NUM})))
                  <> list_sort(list_distinct(regexp_extract_all(c2, {NUM}))) THEN 'conflict'
              ELSE 'insufficient' END AS outcome
-      FROM routed q LEFT JOIN lead_chunks USING (question_id) LEFT JOIN told USING (question_id)
+      FROM {routed_} q LEFT JOIN lead_chunks USING (question_id) LEFT JOIN told USING (question_id)
       WHERE route <> 'compute'),
     valued AS (
       SELECT *, CASE WHEN outcome = 'computed' THEN
           CASE WHEN function_name = 'sum' THEN list_reduce(vals, lambda a, b: a + b)
                ELSE list_reduce(vals, lambda a, b: a + b) / len(vals) END END AS value
       FROM judged)
-    SELECT question_id, enterprise_id, actor_id, principals, query_text, route, function_name,
+    SELECT question_id, {kept}query_text, outcome, route, function_name,
       n_retrieved, value, CASE WHEN outcome = 'computed' THEN len(vals) ELSE 0 END AS n_values,
       CASE WHEN outcome IN ('claims', 'fallback', 'computed') THEN 'sufficient'
            WHEN outcome = 'conflict' THEN 'conflict' ELSE 'insufficient' END AS evidence_status,
@@ -697,13 +699,17 @@ cte(
       CASE WHEN outcome = 'claims' THEN cited WHEN outcome = 'fallback' THEN id1
         WHEN outcome IN ('conflict', 'computed') THEN concat_ws(',', id1, id2) END AS cited_chunks
     FROM valued""",
-)
+    )
+
+
+SCOPE = ("enterprise_id", "actor_id", "principals")
+assembled("answered", "searched", "routed", "accepted", *SCOPE)
 cte(
     "computed_rows",
     ("routed",),
     """
-    SELECT question_id, enterprise_id, actor_id, principals, query_text, route, function_name,
-      0 AS n_retrieved, value, len(numbers) AS n_values, 'sufficient' AS evidence_status,
+    SELECT question_id, enterprise_id, actor_id, principals, query_text, 'compute' AS outcome,
+      route, function_name, 0 AS n_retrieved, value, len(numbers) AS n_values, 'sufficient' AS evidence_status,
       function_name || ' = ' || CASE WHEN function_name = 'dateDifference'
         THEN value::BIGINT::VARCHAR ELSE format('{:g}', value) END AS answer,
       1 AS n_claims, NULL AS cited_chunks
@@ -744,6 +750,38 @@ ORACLE["answer_assembly"] = build(
     "answers",
 )
 
+cte(
+    "lines",
+    (),
+    """
+    SELECT 'order-' || l_orderkey AS question_id, l_orderkey || '-' || result_rank AS chunk_id,
+      result_rank, support_score, l_orderkey AS key, CASE WHEN l_returnflag = 'R' THEN 'The part came back.'
+        ELSE 'Quantity ' || l_quantity::INT || ' of part ' || l_partkey || '.' END AS content
+    FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY support_score DESC,
+            l_linenumber, l_partkey, l_suppkey) AS result_rank
+          FROM (SELECT *, round(0.58::DOUBLE + l_discount + l_tax, 4) AS support_score FROM lineitem))""",
+)
+cte(
+    "line_questions",
+    (),
+    """SELECT 'order-' || o_orderkey AS question_id, CASE WHEN o_orderkey % 4 = 1
+         THEN 'What is the total of the values?' ELSE 'Which parts were ordered?' END AS query_text,
+         query_text AS effective_text FROM orders""",
+)
+routed("line_routed", "line_questions")
+cte(
+    "line_claims",
+    ("lines",),
+    """SELECT question_id, 1 AS pos, content AS claim_text, chunk_id FROM lines
+       WHERE key % 4 = 2 AND result_rank = 1""",
+)
+assembled("line_answers", "lines", "line_routed", "line_claims")
+ORACLE["answer_outcomes"] = build(
+    """SELECT question_id, route, evidence_status, answer, n_claims::INT AS n_claims, cited_chunks
+       FROM line_answers""",
+    "line_answers",
+)
+
 
 # --- ingestion and lifecycle ----------------------------------------------------
 cte(
@@ -920,6 +958,15 @@ ORACLE["latest_trace"] = build(
           ORDER BY stamped.created_at DESC, trace_id DESC) = 1""",
     "stamped",
 )
+ORACLE["trace_lookup"] = build(
+    """SELECT trace_id, enterprise_id, route, query_text AS raw_query, corrected_query, answer,
+         CASE WHEN cited_chunks IS NULL THEN 0 ELSE len(string_split(cited_chunks, ',')) END::INT AS n_citations,
+         array_to_string(stages, '|') AS stages, evidence_status AS outcome
+       FROM staged LEFT JOIN corrections USING (question_id)
+       WHERE length(query_text) % 2 = 0""",
+    "staged",
+    "corrections",
+)
 ORACLE["stage_replay"] = build(
     """SELECT trace_id, unnest(stages) AS stage, unnest(range(1, len(stages) + 1))::INT AS position,
          'complete' AS status, unnest(details) AS detail, 1 AS duration_ms FROM staged""",
@@ -957,14 +1004,24 @@ ORACLE["purge_traces"] = f"""
             {text_uuid("'tenant:' || (user_id % 10)")} AS enterprise_id FROM events)"""
 
 # --- evaluation ------------------------------------------------------------------------
-ORACLE["promotion_gates"] = build(
-    f"""
+cte(
+    "stale_chunks",
+    ("chunks",),
+    """SELECT * REPLACE (CASE WHEN version_label = 'v2' THEN upper(content) ELSE content END AS content,
+         CASE WHEN version_label = 'v2' THEN ['role:auditor'] ELSE principals END AS principals)
+       FROM chunks""",
+)
+
+
+def gates(judged_by: str) -> str:
+    return build(
+        f"""
     , gold AS (
       SELECT enterprise_id AS run_id, question_id,
         {text_uuid("regexp_replace(question_id, '^[a-z]+-', 'doc:')")} AS document_id
       FROM answers WHERE regexp_matches(question_id, '^(title|values)-')),
     hits AS (
-      SELECT DISTINCT s.question_id, c.document_id FROM searched s JOIN chunks c USING (chunk_id)
+      SELECT DISTINCT s.question_id, c.document_id FROM searched s JOIN {judged_by} c USING (chunk_id)
       WHERE result_rank <= 10),
     recall AS (
       SELECT run_id, avg(CASE WHEN h.document_id IS NULL THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END)
@@ -973,7 +1030,7 @@ ORACLE["promotion_gates"] = build(
         AND h.document_id = g.document_id GROUP BY run_id),
     leaks AS (
       SELECT a.enterprise_id AS run_id, count(*) AS n FROM searched s
-      JOIN answers a USING (question_id) JOIN chunks c ON c.chunk_id = s.chunk_id
+      JOIN answers a USING (question_id) JOIN {judged_by} c ON c.chunk_id = s.chunk_id
       WHERE c.enterprise_id <> a.enterprise_id OR NOT list_has_any(c.principals, a.principals)
       GROUP BY ALL),
     tried AS (SELECT question_id, count(*) AS t FROM proposed GROUP BY ALL),
@@ -987,13 +1044,30 @@ ORACLE["promotion_gates"] = build(
                / count(*) FILTER (route <> 'compute' AND n_retrieved = 0) ELSE 1 END AS abstention
       FROM answers LEFT JOIN tried USING (question_id) LEFT JOIN passed USING (question_id)
       GROUP BY ALL),
+    cited AS (
+      SELECT a.question_id, a.enterprise_id AS run_id, t.chunk_id, t.claim_text AS span
+      FROM accepted t JOIN answered a USING (question_id) WHERE outcome = 'claims'
+      UNION ALL
+      SELECT a.question_id, a.enterprise_id, s.chunk_id, s.content
+      FROM searched s JOIN answered a USING (question_id)
+      WHERE (outcome = 'fallback' AND result_rank = 1)
+         OR (outcome IN ('conflict', 'computed') AND result_rank <= 2)),
+    precision_ AS (
+      SELECT run_id, avg(CASE WHEN contains(content, span) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS p
+      FROM cited LEFT JOIN {judged_by} USING (chunk_id) GROUP BY run_id),
+    completeness AS (
+      SELECT enterprise_id AS run_id, sum(CASE WHEN outcome = 'claims' THEN coalesce(k, 0)
+          ELSE least(coalesce(k, 0), n_claims) END)::DOUBLE / nullif(sum(n_claims), 0) AS c
+      FROM answered LEFT JOIN (SELECT question_id, count(*) AS k FROM cited GROUP BY ALL)
+        USING (question_id) GROUP BY ALL),
     metrics AS (
       SELECT run_id, coalesce(n, 0) AS scope_leak_count, coalesce(recall_at_10, 0) AS recall_at_10,
-        1.0::DOUBLE AS citation_precision, 1.0::DOUBLE AS citation_completeness,
+        coalesce(p, 1.0::DOUBLE) AS citation_precision, coalesce(c, 1.0::DOUBLE) AS citation_completeness,
         unsupported AS unsupported_claim_rate, abstention AS abstention_recall
-      FROM rates LEFT JOIN recall USING (run_id) LEFT JOIN leaks USING (run_id))
-    SELECT run_id, scope_leak_count, round(recall_at_10, 6) AS recall_at_10, citation_precision,
-      citation_completeness, round(unsupported_claim_rate, 6) AS unsupported_claim_rate,
+      FROM rates LEFT JOIN recall USING (run_id) LEFT JOIN leaks USING (run_id)
+      LEFT JOIN precision_ USING (run_id) LEFT JOIN completeness USING (run_id))
+    SELECT run_id, scope_leak_count, round(recall_at_10, 6) AS recall_at_10,
+      round(citation_precision, 6) AS citation_precision, round(citation_completeness, 6) AS citation_completeness, round(unsupported_claim_rate, 6) AS unsupported_claim_rate,
       round(abstention_recall, 6) AS abstention_recall, NULL AS reason, failed AS failed_gates,
       failed = '' AS is_eligible
     FROM (SELECT *, concat_ws(',', CASE WHEN scope_leak_count <> 0 THEN 'scope-isolation' END,
@@ -1003,11 +1077,15 @@ ORACLE["promotion_gates"] = build(
             CASE WHEN unsupported_claim_rate > 0.01 THEN 'unsupported-claim-rate' END,
             CASE WHEN abstention_recall < 0.95 THEN 'abstention-recall' END) AS failed
           FROM metrics)""",
-    "answers",
-    "searched",
-    "chunks",
-    "accepted",
-)
+        "answers",
+        "searched",
+        judged_by,
+        "accepted",
+    )
+
+
+ORACLE["promotion_gates"] = gates("chunks")
+ORACLE["stale_evidence_gates"] = gates("stale_chunks")
 
 # --- definitions --------------------------------------------------------------------------
 GRAPH = """
