@@ -23,16 +23,6 @@ MAX_BROADCAST_TENANTS = 200_000
 SCORE_DECIMALS = 8
 
 
-def cosine(left: Column, right: Column) -> Column:
-    """Cosine similarity of two arrays, for row-wise use."""
-
-    def dot(a: Column, b: Column) -> Column:
-        products = F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double"))
-        return F.aggregate(products, F.lit(0.0), lambda acc, v: acc + v)
-
-    return dot(left, right) / F.sqrt(dot(left, left) * dot(right, right))
-
-
 def _unit_rows(lists: pa.ChunkedArray, dimension: int) -> np.ndarray:
     flat = lists.combine_chunks().flatten().to_numpy(zero_copy_only=False)
     rows = flat.astype(np.float64).reshape(-1, dimension)
@@ -40,23 +30,33 @@ def _unit_rows(lists: pa.ChunkedArray, dimension: int) -> np.ndarray:
     return np.divide(rows, norm, out=np.full_like(rows, np.nan), where=norm > 0)
 
 
+def _principal_sets(lists: pa.ChunkedArray) -> tuple[np.ndarray, list[frozenset]]:
+    """Each row's number among the distinct principal sets, and those sets."""
+    numbers: dict[frozenset, int] = {}
+    rows = [
+        numbers.setdefault(frozenset(names or ()) - {None}, len(numbers))
+        for names in lists.to_pylist()
+    ]
+    return np.array(rows, dtype=int), list(numbers)
+
+
 def _shared_principals(asked: pa.ChunkedArray, owned: pa.ChunkedArray) -> np.ndarray:
-    """Boolean matrix: question i and chunk j have a principal in common."""
-    known: dict[str, int] = {}
-
-    def incidence(lists: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
-        array = lists.combine_chunks()
-        rows = np.repeat(np.arange(len(array)), np.diff(array.offsets.to_numpy()))
-        names = array.flatten().to_pylist()
-        return rows, np.array([known.setdefault(name, len(known)) for name in names], dtype=int)
-
-    asked_rows, asked_names = incidence(asked)
-    owned_rows, owned_names = incidence(owned)
-    left = np.zeros((len(asked), len(known)), dtype=np.float32)
-    right = np.zeros((len(owned), len(known)), dtype=np.float32)
-    left[asked_rows, asked_names] = 1
-    right[owned_rows, owned_names] = 1
-    return (left @ right.T) > 0
+    """Boolean matrix: question i and chunk j have a principal in common.
+
+    Decided once per pair of distinct sets, through the principals that the
+    questions hold; its size does not depend on how many principals there are.
+    """
+    asked_row, asked_sets = _principal_sets(asked)
+    owned_row, owned_sets = _principal_sets(owned)
+    holders: dict[str, list[int]] = {}
+    for number, names in enumerate(asked_sets):
+        for name in names:
+            holders.setdefault(name, []).append(number)
+    shared = np.zeros((len(asked_sets), len(owned_sets)), dtype=bool)
+    for number, names in enumerate(owned_sets):
+        for name in names & holders.keys():
+            shared[holders[name], number] = True
+    return shared[np.ix_(asked_row, owned_row)]
 
 
 def _block_top(limit: int, dimension: int):

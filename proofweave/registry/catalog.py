@@ -114,15 +114,21 @@ def hash_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vectors = B.table(spark, sf_dir, "embeddings").select(
-        F.concat(F.lit("vec-"), F.col("vec_id").cast("string")).alias("chunk_id"),
-        F.col("label").cast("string").alias("enterprise_id"),
-        F.array(F.lit("group:all")).alias("principals"),
-        "embedding",
-    )
-    asked = vectors.toDF("question_id", *vectors.columns[1:])
+    """Every vector asks, in one of three groups; every vector is stored, in one of four."""
+
+    def vectors(name: str, groups: int) -> DataFrame:
+        number = F.col("vec_id").cast("string")
+        group = F.concat(F.lit("group:"), (F.col("vec_id") % groups).cast("string"))
+        return B.table(spark, sf_dir, "embeddings").select(
+            F.concat(F.lit("vec-"), number).alias(name),
+            F.col("label").cast("string").alias("enterprise_id"),
+            F.array(group, F.concat(F.lit("owner:"), number)).alias("principals"),
+            "embedding",
+        )
+
     number = {n: F.substring(n, 5, 20).cast("long") for n in ("question_id", "chunk_id")}
-    return vector.vector_top(asked, vectors, dimension=64).withColumns(number)
+    asked, stored = vectors("question_id", 3), vectors("chunk_id", 4)
+    return vector.vector_top(asked, stored, dimension=64).withColumns(number)
 
 
 @query

@@ -522,6 +522,7 @@ ORACLE["vector_topk"] = f"""
         round(list_cosine_similarity(q.embedding::DOUBLE[], c.embedding::DOUBLE[]), 8) DESC,
         'vec-' || c.vec_id)::INT AS vec_rank
     FROM embeddings q JOIN embeddings c ON c.label = q.label
+      AND (q.vec_id % 3 = c.vec_id % 4 OR q.vec_id = c.vec_id)
     QUALIFY vec_rank <= {K.CANDIDATE_LIMIT}"""
 ORACLE["lexical_topk"] = build(
     """SELECT question_id, form, chunk_id, score, lex_rank::INT AS lex_rank

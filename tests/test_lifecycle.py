@@ -98,6 +98,36 @@ def test_promotion_gates(spark):
     assert got["bad"].reason and not got["bad"].is_eligible
 
 
+def test_run_metrics(spark):
+    answered = spark.createDataFrame(
+        [
+            ("a", "r", "t", ["g"], "rag", "sufficient", 2, [(["C1"],), ([],)], [("c1", "alpha"), ("c2", "gone")]),
+            ("b", "r", "t", ["g"], "rag", "insufficient", 0, None, None),
+            ("c", "r", "t", ["g"], "rag", "sufficient", 0, None, None),
+        ],
+        "question_id string, run_id string, enterprise_id string, principals array<string>, route string,"
+        "evidence_status string, n_retrieved long, claims array<struct<citation_ids:array<string>>>,"
+        "citations array<struct<chunk_id:string,exact_span:string>>",
+    )
+    retrieved = spark.createDataFrame(
+        [("a", "c1", 1), ("a", "c2", 2)], "question_id string, chunk_id string, result_rank int"
+    )
+    chunks = spark.createDataFrame(
+        [("c1", "d1", "t", ["g"], "alpha beta"), ("c2", "d2", "t", ["h"], "other")],
+        "chunk_id string, document_id string, enterprise_id string, principals array<string>, content string",
+    )
+    gold = spark.createDataFrame(
+        [("r", "a", "d1"), ("r", "b", "d1")], "run_id string, question_id string, document_id string"
+    )
+    proposed = spark.createDataFrame([("a",), ("a",), ("b",), ("b",)], "question_id string")
+    row = evaluation.run_metrics(answered, retrieved, chunks, gold, proposed, proposed.limit(1)).first()
+    assert row.scope_leak_count == 1 and row.recall_at_10 == 0.5 and row.citation_precision == 0.5
+    assert row.citation_completeness == 0.5 and row.unsupported_claim_rate == 0.75
+    assert row.abstention_recall == 0.5
+    judged = evaluation.promotion_gates(spark.createDataFrame([row])).first()
+    assert len(judged.failed_gates) == 6 and not judged.is_eligible
+
+
 def test_graph_definitions(spark):
     every = ["authorization", "provenance", "audit", "claim-validation"]
     names = ["ok", "cycle", "self", "loose", "twice", "lacking", "none", "topk"]

@@ -59,6 +59,60 @@ def test_lexical_needs_every_term_and_respects_scope(spark):
     assert [(r.question_id, r.chunk_id) for r in rows] == [("q", "c1"), ("q", "c4")]
 
 
+CHUNK = "chunk_id string, enterprise_id string, principals array<string>, content string, title string"
+ATTEMPT = "question_id string, form string, enterprise_id string, principals array<string>, query_text string"
+
+
+def test_lexical_words_keep_accents_and_scripts(spark):
+    chunks = spark.createDataFrame(
+        [
+            ("c1", "t", ["g"], "Los NIÑOS de la montaña", "t"),
+            ("c2", "t", ["g"], "los ni os de la monta a", "t"),
+            ("c3", "t", ["g"], "правила хранения", "t"),
+        ],
+        CHUNK,
+    )
+    asked = spark.createDataFrame(
+        [("a", "full", "t", ["g"], "niños montaña"), ("b", "full", "t", ["g"], "Правила?"),
+         ("c", "full", "t", ["g"], "ni os")],
+        ATTEMPT,
+    )
+    rows = lexical.lexical_top(asked, lexical.index_chunks(chunks)).collect()
+    assert {(r.question_id, r.chunk_id) for r in rows} == {("a", "c1"), ("b", "c3"), ("c", "c2")}
+
+
+def test_access_is_decided_before_positions_are_read(spark):
+    """In the optimised plan, the access test lies below the join that brings positions."""
+    chunks = spark.createDataFrame([("c", "t", ["g"], "alpha beta", "t")], CHUNK)
+    asked = spark.createDataFrame([("q", "full", "t", ["g"], "alpha beta")], ATTEMPT)
+    index = lexical.index_chunks(chunks)
+    lines = (
+        lexical.lexical_matches(asked, index)._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    )
+    def depth(part):
+        return [len(line) - len(line.lstrip(" :+-")) for line in lines if part in line]
+
+    assert min(depth("arrays_overlap")) > min(depth("Join Inner"))
+
+
+def test_access_with_thousands_of_principals(spark):
+    rng = random.Random(3)
+    stored = [(f"c{n:05}", "t", [f"user:{n}", f"team:{n % 700}"], [1.0, n / 10_000]) for n in range(10_000)]
+    asked = [(f"q{n}", "t", [f"user:{rng.randrange(10_000)}", f"team:{n}"], [1.0, 0.0]) for n in range(20)]
+    columns = "enterprise_id string, principals array<string>, embedding array<float>"
+    rows = vector.vector_top(
+        spark.createDataFrame(asked, f"question_id string, {columns}"),
+        spark.createDataFrame(stored, f"chunk_id string, {columns}"),
+        50,
+        2,
+    ).collect()
+    got = {q[0]: set() for q in asked}
+    for row in rows:
+        got[row.question_id].add(row.chunk_id)
+    for name, _, principals, _ in asked:
+        assert got[name] == {c[0] for c in stored if set(c[2]) & set(principals)}
+
+
 def test_vector_ranking_is_exact_across_blocks(spark, monkeypatch):
     monkeypatch.setattr(vector, "QUESTIONS_PER_BLOCK", 3)
     monkeypatch.setattr(vector, "CHUNKS_PER_BLOCK", 5)
