@@ -12,10 +12,19 @@ from proofweave import constants as K
 from proofweave.functions import text as tx
 
 
+def _may_match(word: str, entry: str) -> bool:
+    """Whether the letters of ``word`` that ``entry`` has could reach the cutoff at all."""
+    needed = K.SPELLING_CUTOFF * (len(word) + len(entry)) / 2
+    if min(len(word), len(entry)) < needed:
+        return False
+    return sum(letter in entry for letter in word) >= needed
+
+
 def _closest(word: str | None) -> str | None:
     if not word or len(word) < K.MIN_SPELLED_LENGTH:
         return None
-    found = difflib.get_close_matches(word, K.SPELLING_LEXICON, n=1, cutoff=K.SPELLING_CUTOFF)
+    possible = [entry for entry in K.SPELLING_LEXICON if _may_match(word, entry)]
+    found = difflib.get_close_matches(word, possible, n=1, cutoff=K.SPELLING_CUTOFF) if possible else None
     return found[0] if found and found[0] != word else None
 
 
