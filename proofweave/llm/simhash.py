@@ -86,12 +86,9 @@ def xxh64_slices(data: bytes, start: np.ndarray, end: np.ndarray, seed: int = 42
         return h ^ (h >> np.uint64(32))
 
 
-def fingerprints_of(texts: list[bytes], words: int = 3, block: int = 1 << 18) -> np.ndarray:
-    """SimHash of each UTF-8 text, over shingles of ``words`` words.
-
-    Texts are lower-cased in A-Z and split at ASCII white space, which is what
-    ``bytes.split`` does. Shingles are hashed and counted ``block`` at a time,
-    so memory does not grow with a text beyond its own bytes.
+def shingle_spans(texts: list[bytes], words: int) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(data, owner, start, end, counts): shingle i of ``words`` words is
+    data[start[i]:end[i]] and belongs to text owner[i], which has counts of them.
     """
     rows = [t.lower().split() for t in texts]
     data = b" ".join(b" ".join(r) for r in rows if r)
@@ -104,10 +101,21 @@ def fingerprints_of(texts: list[bytes], words: int = 3, block: int = 1 << 18) ->
     nth = np.arange(len(owner)) - np.repeat(np.cumsum(shingles) - shingles, shingles)
     begin = first_word[owner] + nth
     finish = begin + np.minimum(counts[owner], words) - 1
-    ones = np.zeros((len(rows), BITS))
+    return data, owner, starts[begin], ends[finish], shingles
+
+
+def fingerprints_of(texts: list[bytes], words: int = 3, block: int = 1 << 18) -> np.ndarray:
+    """SimHash of each UTF-8 text, over shingles of ``words`` words.
+
+    Texts are lower-cased in A-Z and split at ASCII white space, which is what
+    ``bytes.split`` does. Shingles are hashed and counted ``block`` at a time,
+    so memory does not grow with a text beyond its own bytes.
+    """
+    data, owner, start, end, shingles = shingle_spans(texts, words)
+    ones = np.zeros((len(texts), BITS))
     for at in range(0, len(owner), block):
         part = slice(at, at + block)
-        h = xxh64_slices(data, starts[begin[part]], ends[finish[part]])
+        h = xxh64_slices(data, start[part], end[part])
         low = owner[part][0]
         local = owner[part] - low
         size = int(local[-1]) + 1
