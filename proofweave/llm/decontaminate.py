@@ -1,10 +1,9 @@
 """Benchmark passages in documents, in DataFrame operations only.
 
-A window has as many words as the benchmark item it is compared with. Windows
-that could pass the exact check are fingerprinted (SimHash over word shingles);
-distinct fingerprints meet the items' in a multi-index over Hamming blocks,
-which finds every fingerprint within the radius; candidates are then verified
-by the exact similarity of their shingle multisets.
+A window has as many words as the benchmark item it is compared with. An exact
+join of shingles finds every window that could pass; all of these are verified
+by the exact similarity of their shingle multisets. SimHash only adds the
+reported distance: no radius of fingerprints keeps every such window.
 """
 
 from __future__ import annotations
@@ -18,9 +17,8 @@ from proofweave.operators.sizing import broadcast_if_small, materialize
 SHINGLE = 5
 #: Least similarity of a passage.
 SIMILARITY = 0.8
-#: At similarity 0.8 two fingerprints differ in 9.7 of 64 bits on average, with
-#: a deviation of 2.9: so 19 bits miss less than one window in a thousand, and
-#: a passage has several windows.
+#: Reach of ``_within_radius``. At similarity 0.8 two fingerprints differ in 9.7
+#: of 64 bits on average, but in more than 19 for some, mostly short, passages.
 RADIUS = 19
 #: Bit offsets and widths of the blocks; within the radius one block differs in
 #: at most RADIUS // 5 = 3 bits.
@@ -101,8 +99,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     documents or items give no rows. Other columns are not read.
 
     What is skipped cannot pass: a document without enough of an item's
-    shingles, and windows between whose start and the nearest start that a
-    shared shingle implies no similarity can grow.
+    shingles, and windows that no start implied by a shared shingle is near.
+    Before the first implied start of a run a window has no shared shingle, so
+    one that passes begins at most (1 - s) / (1 + s) of its shingles earlier.
     """
     items = materialize(_items(benchmark), "items")
     if items.isEmpty():
@@ -125,9 +124,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         .select("row", "item", "item_id", "size", "k", F.sort_array("starts").alias("starts"))
     )
     pairs = materialize(pairs, "pairs")
+    back = f"cast(ceil((size - k + 1) * {(1 - SIMILARITY) / (1 + SIMILARITY)!r}) as int)"
     placed = texts.join(pairs, "row").select(
         "doc_id", "item", "item_id", "size", "k", "words",
-        F.expr("""array_distinct(transform(flatten(transform(starts, (s, i) -> sequence(s,
+        F.expr(f"""array_distinct(transform(flatten(transform(starts, (s, i) -> sequence(
+            if(i > 0 and s - starts[i - 1] <= 2 * size, s, s - {back}),
             if(i + 1 < size(starts) and starts[i + 1] - s <= 2 * size, starts[i + 1] - 1, s)))),
             s -> greatest(0, least(s, size(words) - size))))""").alias("at"),
     )
@@ -137,13 +138,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         "doc_id", "item", "item_id", "k", "start",
         F.expr("slice(words, start + 1, size)").alias("window"),
     ).filter("size(window) >= k")
-    windows = windows.withColumn("shingles", _shingles("window", "k")).drop("window")
-    windows = materialize(windows.withColumn("fp", _fingerprint("shingles")), "windows")
-    near = _within_radius(windows.select("fp").distinct(), items.select("item", F.col("fp")))
-    own = items.select("item", F.col("shingles").alias("theirs"))
+    windows = materialize(windows.withColumn("shingles", _shingles("window", "k")).drop("window"), "windows")
+    own = items.select("item", F.col("shingles").alias("theirs"), F.col("fp").alias("other"))
+    most = F.expr("size(filter(shingles, y -> array_contains(theirs, y)))")  # repeats beyond theirs count too
     checked = (
-        windows.join(broadcast_if_small(near, 200_000), ["fp", "item"])
-        .join(broadcast_if_small(own, 20_000), "item")
+        windows.join(broadcast_if_small(own, 20_000), "item")
+        .filter(most >= SIMILARITY * (F.size("theirs") + F.size("shingles") - most) - 1e-9)
         .withColumn("shared", F.expr("""aggregate(array_distinct(theirs), 0, (n, x) -> n + least(
             size(filter(theirs, y -> y = x)), size(filter(shingles, y -> y = x))))"""))
         .withColumn(
@@ -151,6 +151,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
             F.col("shared") / (F.size("theirs") + F.size("shingles") - F.col("shared")),
         )
         .filter(F.col("similarity") >= SIMILARITY)
+        .withColumn("fp", _fingerprint("shingles"))
+        .withColumn("distance", F.bit_count(F.col("fp").bitwiseXOR(F.col("other"))))
     )
     best = checked.groupBy("doc_id", "item_id").agg(
         F.max(F.struct("similarity", (-F.col("start")).alias("rank"), (-F.col("distance")).alias("off"))).alias("b")
@@ -165,7 +167,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def _within_radius(fps: DataFrame, items: DataFrame) -> DataFrame:
-    """(fp, item, distance) of all pairs at RADIUS or fewer bits."""
+    """(fp, item, distance) of all pairs at RADIUS or fewer bits.
+
+    A search by fingerprint alone; ``contaminated`` does without it.
+    """
     index = items.select(
         "item", F.col("fp").alias("other"),
         F.explode(F.array(*(

@@ -87,3 +87,24 @@ def test_drop_keeps_columns_and_clean_rows(spark, odd):
     assert kept.columns == odd.columns
     ids = [r["doc_id"] for r in kept.collect()]
     assert sorted(i for i in ids if i is not None) == [1, 2, 3, 7, 8, 9] and ids.count(None) == 2
+
+
+def test_earliest_of_equal_windows(spark):
+    item = [f"i{n}" for n in range(30)]
+    docs = [(1, " ".join(["x1", "x2", *item[:29], "y1", "y2", "y3"]))]
+    docs.append((2, " ".join([f"z{n}" for n in range(90)] + item + [f"v{n}" for n in range(90)] + item[:28] + ["u", "u"])))
+    docs.append((3, " ".join(["q"] * 7 + item[:28] + item[29:])))
+    items = [(7, " ".join(item))]
+    want = plain(docs, items)
+    assert want[0][:3] == (1, 7, 1)
+    assert found(spark.createDataFrame(docs, LONG), spark.createDataFrame(items, ITEM)) == want
+
+
+def test_no_radius_loses_short_passages(spark):
+    """Items of 13 words, 9 shingles, one of them lost: similarity 0.8, the least that passes."""
+    rng = random.Random(12)
+    items = [(i, [f"w{rng.randrange(10**6)}" for _ in range(13)]) for i in range(1500)]
+    docs = [(i, " ".join(words[:12] + ["other"])) for i, words in items]
+    items = [(i, " ".join(words)) for i, words in items]
+    got = found(spark.createDataFrame(docs, LONG), spark.createDataFrame(items, ITEM))
+    assert sorted(r[0] for r in got) == list(range(1500))
