@@ -214,8 +214,8 @@ def _dots(text: str) -> list[tuple[int, int, str]]:
 def find(text: str) -> list[tuple[str, int, int, bool]]:
     """(kind, start, end, disguised) in code points, by kind and start.
 
-    Plain spans are all there; a disguised one is added where it meets no plain
-    span of its kind.
+    Plain spans are all there; a disguised one is added unless a plain span of
+    its kind holds it all, so one that a disguise cut short stays beside the whole.
     """
     plain = detect(text)
     spans = [(*s, False) for s in plain]
@@ -229,7 +229,7 @@ def find(text: str) -> list[tuple[str, int, int, bool]]:
         for kind, start, end in detect(now) if now != text else ():
             for stage in reversed(stages):
                 start, end = stage.back(start, end)
-            if not any(k == kind and s < end and start < e for k, s, e in plain):
+            if not any(k == kind and s <= start and end <= e for k, s, e in plain):
                 spans.append((kind, start, end, True))
         spans.sort(key=lambda s: (KINDS.index(s[0]), s[1], s[2]))
     return spans
@@ -264,14 +264,22 @@ def listed(spans: Column) -> Column:
 def masked(docs: DataFrame) -> DataFrame:
     """``docs`` with each identifier replaced by its kind in brackets.
 
-    Where spans of different kinds overlap, the first and then longest is used.
+    Spans that overlap are replaced together, by the kind of the longest.
     """
 
     @F.pandas_udf("string")
     def mask(text: pd.Series) -> pd.Series:
         def one(t):
-            spans = sorted(find(t), key=lambda s: (s[1], -s[2]))
-            return Rewritten(t, [(s, e, f"[{k.upper()}]") for k, s, e, _ in spans]).text
+            groups = []  # start, end, longest kind, its length
+            for k, s, e, _ in sorted(find(t), key=lambda s: (s[1], -s[2])):
+                if not groups or s >= groups[-1][1]:
+                    groups.append([s, e, k, e - s])
+                    continue
+                last = groups[-1]
+                last[1] = max(last[1], e)
+                if e - s > last[3]:
+                    last[2:] = k, e - s
+            return Rewritten(t, [(s, e, f"[{k.upper()}]") for s, e, k, _ in groups]).text
 
         return text.map(one)
 

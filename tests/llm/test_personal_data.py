@@ -90,3 +90,21 @@ def test_rows(spark, odd, none):
     assert P.personal_data(none).count() == 0
     frame = spark.createDataFrame([(1, "hi a@b.co and bob [at] c [dot] de")], "doc_id long, text string")
     assert P.masked(frame).first()["text"] == "hi [EMAIL] and [EMAIL]"
+
+
+@pytest.mark.parametrize(
+    "text,kind,whole",
+    [
+        ("to jоhn.smith@example.com now", "email", "jоhn.smith@example.com"),
+        ("to john@example.cоm now", "email", "john@example.cоm"),
+        ("to ann@mail.example [dot] org now", "email", "ann@mail.example [dot] org"),
+        ("call +1 310 555 45１０ now", "phone", "+1 310 555 45１０"),
+    ],
+)
+def test_a_disguise_inside_an_identifier(spark, text, kind, whole):
+    """The plain span that the disguise left stays, and the whole is added and masked."""
+    spans = P.find(text)
+    assert [s[:3] for s in spans if not s[3]] == plain(text) != []
+    assert [(k, text[s:e]) for k, s, e, d in spans if d and k == kind] == [(kind, whole)]
+    frame = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    assert P.masked(frame).first()["text"] == text.replace(whole, f"[{kind.upper()}]")
