@@ -83,3 +83,15 @@ def test_odd_rows(spark):
     assert {r["turn"]: r["reply_to"] for r in got if r["conv_id"] == 2} == {0: None, 5: 0, 7: 5}
     assert all(r["reply_to"] is None for r in got if r["conv_id"] is None or r["turn"] is None)
     assert Q.reply_order(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_rewrapped_passage(spark):
+    rows = [
+        (1, 0, "a", "Thanks,\nsee you"),
+        (1, 1, "b", "The long paragraph of this message was wrapped\nat one width and goes on. Thanks,\nBob"),
+        (1, 2, "c", "Something else"),
+        (1, 3, "d", "> the long paragraph of this\n> message was wrapped at one width\n> and goes on.\n> Thanks,\n>\n> nobody said\n> this passage\nAgreed"),
+    ]
+    got = {r["turn"]: r for r in Q.reply_order(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert [got[t]["reply_to"] for t in range(4)] == [None, 0, 1, 1]
+    assert (got[3]["n_quoted"], got[3]["n_linked"], got[3]["anchor_turn"], got[3]["content"]) == (6, 4, 1, "Agreed")
