@@ -20,7 +20,11 @@ RULES = (
     ("com", "/fr/", "allow"),
     ("com", "/de/", "block"),
 )
+#: Rounds of the SQL statement, and of ``propagate`` unless it is told otherwise.
 ROUNDS = 10
+#: ``verdicts`` goes on until no host is newly reached and trust and distrust,
+#: which sum to at most 1 each, change by no more than this in a round.
+TOLERANCE, MOST_ROUNDS = 1e-12, 10_000
 DAMPING = 0.85
 #: Distrust must exceed trust by this factor, so sums in another order agree.
 MARGIN = 1 + 1e-9
@@ -28,6 +32,10 @@ _PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 _HREF = r"""(?i)href\s{0,9}=\s{0,9}["']?[a-z]{1,9}://([^/?#"'\s<>]+)"""
 
 
+#: The same with links that leave the scheme to the page (//host/).
+_LINK = _HREF.replace("[a-z]{1,9}://", "(?:[a-z]{1,9}:)?//")
+
+
 def with_address(pages: DataFrame) -> DataFrame:
     """``pages`` with host and path; both empty without ``://``."""
     url = whole("url")
@@ -51,7 +59,7 @@ def host_edges(pages: DataFrame) -> DataFrame:
     """(src, dst, out_share, in_share): links between hosts, pre-aggregated."""
     edges = (
         pages.filter("host <> ''")
-        .select(F.col("host").alias("src"), F.explode(F.regexp_extract_all(whole("html"), F.lit(_HREF), F.lit(1))).alias("dst"))
+        .select(F.col("host").alias("src"), F.explode(F.regexp_extract_all(whole("html"), F.lit(_LINK), F.lit(1))).alias("dst"))
         .select("src", ascii_lower(F.col("dst")).alias("dst"))
         .filter("src <> dst")
         .groupBy("src", "dst").agg(F.count("*").alias("w"))
@@ -67,9 +75,12 @@ def host_edges(pages: DataFrame) -> DataFrame:
     )
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS, damping: float = DAMPING) -> DataFrame:
+def propagate(edges: DataFrame, seeds: DataFrame, rounds: int | None = ROUNDS, damping: float = DAMPING) -> DataFrame:
     """(host, trust, distrust) after ``rounds`` rounds; each is a written table.
 
+    None goes on until the ranks settle: a round that reaches no new host and
+    changes at most TOLERANCE in all. Raises after MOST_ROUNDS.
+
     ``seeds`` has host, trust, distrust; both are scaled to a sum of 1.
     """
     totals = seeds.agg(F.sum("trust").alias("t"), F.sum("distrust").alias("d")).first()
@@ -78,7 +89,8 @@ def propagate(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS, damping:
         seeds.select("host", (F.col("trust") / t).alias("trust"), (F.col("distrust") / d).alias("distrust")), "seeds"
     )
     now, zero = start, F.lit(0.0)
-    for _ in range(rounds):
+    reached = None
+    for _ in range(MOST_ROUNDS if rounds is None else rounds):
         forth = edges.join(now, edges["src"] == now["host"]).select(
             F.col("dst").alias("host"), (F.col("trust") * F.col("out_share") * damping).alias("trust"), zero.alias("distrust")
         )
@@ -88,13 +100,24 @@ def propagate(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS, damping:
         base = start.select(
             "host", (F.col("trust") * (1 - damping)).alias("trust"), (F.col("distrust") * (1 - damping)).alias("distrust")
         )
+        old = now.select("host", F.col("trust").alias("was"), F.col("distrust").alias("was_not"))
         now = materialize(
-            forth.unionByName(back).unionByName(base).groupBy("host").agg(
-                F.sum("trust").alias("trust"), F.sum("distrust").alias("distrust")
+            forth.unionByName(back).unionByName(base).unionByName(old, allowMissingColumns=True)
+            .groupBy("host").agg(
+                F.coalesce(F.sum("trust"), zero).alias("trust"), F.coalesce(F.sum("distrust"), zero).alias("distrust"),
+                (F.abs(F.coalesce(F.sum("trust"), zero) - F.coalesce(F.sum("was"), zero))
+                 + F.abs(F.coalesce(F.sum("distrust"), zero) - F.coalesce(F.sum("was_not"), zero))).alias("change"),
             ),
             "ranks",
         )
-    return now
+        if rounds is None:
+            seen = now.agg(F.sum("change"), F.count_if(F.col("trust") > 0), F.count_if(F.col("distrust") > 0)).first()
+            if tuple(seen)[1:] == reached and seen[0] <= TOLERANCE or not seen[1] + seen[2]:
+                return now.drop("change")
+            reached = tuple(seen)[1:]
+    if rounds is None:
+        raise RuntimeError(f"ranks did not settle in {MOST_ROUNDS} rounds")
+    return now.drop("change")
 
 
 def verdicts(pages: DataFrame, rules=RULES) -> DataFrame:
@@ -116,7 +139,7 @@ def verdicts(pages: DataFrame, rules=RULES) -> DataFrame:
         ).fillna(0.0, ["trust", "distrust"]),
         "hosts",
     )
-    ranks = propagate(host_edges(parsed), hosts.filter("host <> ''").select("host", "trust", "distrust"))
+    ranks = propagate(host_edges(parsed), hosts.filter("host <> ''").select("host", "trust", "distrust"), None)
     facts = hosts.select("host", "n").join(ranks, "host", "left").fillna(0.0, ["trust", "distrust"])
     judged = attach(parsed.select("page_id", "host", "path", "rule", "ruled"), materialize(facts, "judged"), "host", "n")
     method = F.when(F.col("distrust") > F.col("trust") * MARGIN, "block").otherwise("allow")

@@ -75,3 +75,22 @@ def test_ranks_match_a_matrix(spark):
 
 def test_no_rows(spark):
     assert L.verdicts(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_distrust_and_trust_reach_far_hosts(spark):
+    chain = [(i, f"http://h{i}.net/", link(f"h{i + 1}.net")) for i in range(14)]
+    chain.append((14, "http://h14.net/", link("bad.example.org")))
+    chain.append((50, "http://bad.example.org/es/", None))
+    chain.append((51, "http://aside.net/", '<a href="//h14.net">y</a>'))
+    got = {r["page_id"]: r for r in L.verdicts(spark.createDataFrame(chain, SCHEMA)).collect()}
+    assert {r["verdict"] for r in got.values()} == {"block"} and all(r["distrust"] > 0 for r in got.values())
+
+
+def test_ranks_settle(spark):
+    import numpy as np
+
+    edges = [("a", "b", 1.0, 1.0), ("b", "a", 1.0, 1.0)]
+    frame = spark.createDataFrame(edges, "src string, dst string, out_share double, in_share double")
+    seeds = spark.createDataFrame([("a", 1.0, 0.0), ("b", 0.0, 1.0)], "host string, trust double, distrust double")
+    got = {r["host"]: r["trust"] for r in L.propagate(frame, seeds, None, 0.3).collect()}
+    assert np.allclose([got["a"], got["b"]], np.linalg.solve([[1, -0.3], [-0.3, 1]], [0.7, 0]), rtol=1e-11)
