@@ -204,6 +204,10 @@ def lower_bound(lengths: np.ndarray, capacity: int = CAPACITY) -> int:
     return best
 
 
+#: A sequence_id is the round, then 20 bits for the task, then 28 for the bin.
+ROUND_SHIFT = 48
+
+
 def _pack_partition(frame: pd.DataFrame, round_no: int, capacity: int) -> pd.DataFrame:
     frame = frame.sort_values(["length", "doc_id", "piece", "start"], ascending=[False, True, True, True], kind="stable")
     bins, offsets, fill = best_fit(frame["length"].to_numpy(), capacity)
@@ -215,7 +219,7 @@ def _pack_partition(frame: pd.DataFrame, round_no: int, capacity: int) -> pd.Dat
     release &= fill < capacity
     part = int(frame["part"].iloc[0])
     return frame.assign(
-        sequence_id=(round_no << 56) + (part << 28) + bins,
+        sequence_id=(round_no << ROUND_SHIFT) + (part << 28) + bins,
         offset=offsets,
         open=release[bins],
         first=offsets == 0,
@@ -236,7 +240,7 @@ def _pack_round(rows: DataFrame, round_no: int, parts: int, capacity: int) -> Da
     )
 
 
-def pack(cut: DataFrame, capacity: int = CAPACITY, per_partition: int = PER_PARTITION, rounds: int = 4) -> DataFrame:
+def pack(cut: DataFrame, capacity: int = CAPACITY, per_partition: int = PER_PARTITION) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset) per piece.
 
     ``cut`` comes from ``pieces``. A task gets about ``per_partition`` pieces,
@@ -247,7 +251,7 @@ def pack(cut: DataFrame, capacity: int = CAPACITY, per_partition: int = PER_PART
     total = cut.count()
     done: list[DataFrame] = []
     rows, used = cut, None
-    for round_no in range(rounds):
+    for round_no in range(1 << 63 - ROUND_SHIFT):
         parts = max(1, -(-total // per_partition))
         packed = materialize(_pack_round(rows, round_no, parts, capacity), "packed")
         now = packed.agg(
@@ -265,7 +269,7 @@ def pack(cut: DataFrame, capacity: int = CAPACITY, per_partition: int = PER_PART
             done.append(held)
             break
     else:
-        done.append(held)
+        raise RuntimeError("packing did not settle")
     out = done[0]
     for more in done[1:]:
         out = out.union(more)

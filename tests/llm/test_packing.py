@@ -91,3 +91,19 @@ def test_every_piece_is_placed_once_without_gaps(spark, per_partition):
         assert at <= 4096
     bound = packing.lower_bound(np.array([r[3] for r in rows]))
     assert len(by) <= bound + (3 if per_partition > 900 else 8)
+
+
+def test_exchange_goes_on_while_it_saves(spark, monkeypatch):
+    """Rounds that save one sequence each, up to the sixth."""
+
+    def saving(rows, n, parts, capacity):
+        return rows.selectExpr(
+            "*", f"({n}L << 48) + greatest(doc_id, {min(n, 6)}) as sequence_id", "0L as offset",
+            "true as open", f"doc_id >= {min(n, 6)} as first", "false as certified",
+        )
+
+    monkeypatch.setattr(packing, "_pack_round", saving)
+    rows = [(i, 0, 0, 5, i) for i in range(40)]
+    cut = spark.createDataFrame(rows, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    got = packing.pack(cut, per_partition=10).collect()
+    assert sorted(tuple(r)[:5] for r in got) == rows and len({r["sequence_id"] for r in got}) == 34
