@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from proofweave.llm import (
     decontaminate,
@@ -15,10 +15,11 @@ from proofweave.llm import (
     packing,
     personal_data,
     quotes,
+    repetition,
     simhash,
     toxicity,
 )
-from proofweave.llm.common import table
+from proofweave.llm.common import table, whole
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -104,6 +105,48 @@ def op10_bestfit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    found = repetition.periodic_runs(docs.select("doc_id", _wrapped("doc_id", "text").alias("text")))
+    # Of equally long runs array_max takes the one that negation puts first.
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r["length"], -r["start"], -r["period"])))
+    listed = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    return found.withColumn("best", best).select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        (-F.col("best.col2")).alias("start"),
+        F.col("best.length").alias("length"),
+        (-F.col("best.col3")).alias("period"),
+        F.expr("(1000 * best.length) div (-best.col3)").alias("exponent_milli"),
+        F.sha2(F.array_join(listed, ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def _wrapped(doc_id: str, text: str) -> Column:
+    """The text; where crc32(doc_id) ends in 0, its tail repeats with a period that crc32 sets."""
+    words = F.filter(F.split(whole(text), r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    digest = F.crc32(F.col(doc_id).cast("string"))
+    asked = F.struct(words.alias("w"), F.size(words).cast("long").alias("n"), F.floor(digest / 10).alias("g"))
+    said = F.transform(
+        F.array(asked),
+        lambda s: F.transform(
+            F.sequence(F.lit(0).cast("long"), s["n"] - 1),
+            lambda i: F.when(i < s["g"] % s["n"], F.get(s["w"], i.cast("int"))).otherwise(
+                F.get(
+                    s["w"],
+                    (
+                        s["g"] % s["n"]
+                        + (i - s["g"] % s["n"])
+                        % (1 + F.floor((s["n"] - s["g"] % s["n"]) / (3 + s["g"] % 8)))
+                    ).cast("int"),
+                )
+            ),
+        ),
+    )[0]
+    return F.when((digest % 10 == 0) & (F.size(words) > 0), F.array_join(said, " ")).otherwise(whole(text))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_neardup": op1_simhash_neardup,
     "op2_pii": op2_pii,
@@ -115,6 +158,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_fusion": op8_language_fusion,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
     "op10_bestfit_packing": op10_bestfit_packing,
+    "op11_periodic_runs": op11_periodic_runs,
 }
 
 ORACLE: dict[str, str] = {
