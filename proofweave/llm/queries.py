@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from proofweave.llm import (
     decontaminate,
     exact_dedup,
+    hard_negatives,
     language,
     line_templates,
     link_trust,
@@ -147,6 +148,13 @@ def _wrapped(doc_id: str, text: str) -> Column:
     return F.when((digest % 10 == 0) & (F.size(words) > 0), F.array_join(said, " ")).otherwise(whole(text))
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings", "vec_id", "embedding", "label").withColumn(
+        "label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    )
+    return hard_negatives.hard_negatives(hard_negatives.usable(rows), F.col("vec_id") % 50 == 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_neardup": op1_simhash_neardup,
     "op2_pii": op2_pii,
@@ -159,9 +167,32 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
     "op10_bestfit_packing": op10_bestfit_packing,
     "op11_periodic_runs": op11_periodic_runs,
+    "op12_hard_negatives": op12_hard_negatives,
 }
 
 ORACLE: dict[str, str] = {
+    "op12_hard_negatives": r"""
+        WITH vectors AS (
+            SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                   list_transform(embedding, lambda x: floor(x::DOUBLE * 256)) AS u
+            FROM embeddings
+            WHERE label IS NOT NULL AND embedding IS NOT NULL
+              AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        scores AS (
+            SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same,
+                   list_inner_product(a.u, b.u)::BIGINT AS score
+            FROM vectors a JOIN vectors b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0),
+        positives AS (
+            SELECT anchor_id, id, score FROM scores WHERE same
+            QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5),
+        ranked AS (
+            SELECT p.anchor_id, p.id AS positive_id, s.id AS negative_id, p.score AS positive_score,
+                   s.score AS negative_score,
+                   row_number() OVER (PARTITION BY p.anchor_id, p.id ORDER BY s.score DESC, s.id) AS rank
+            FROM positives p JOIN scores s USING (anchor_id)
+            WHERE NOT s.same AND 50 * p.score <= 100 * s.score AND 100 * s.score <= 95 * p.score)
+        SELECT anchor_id, positive_id, rank::INT AS rank, negative_id, positive_score, negative_score
+        FROM ranked WHERE rank <= 3""",
     "op6_exact_dedup": r"""
         WITH texts AS (
             SELECT doc_id, length(coalesce(text, '')) AS points,
