@@ -15,6 +15,7 @@ from proofweave.llm import (
     link_trust,
     packing,
     personal_data,
+    quality,
     quotes,
     repetition,
     simhash,
@@ -155,6 +156,12 @@ def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.hard_negatives(hard_negatives.usable(rows), F.col("vec_id") % 50 == 0)
 
 
+def op13_quality_discriminant(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = quality.described(table(spark, sf_dir, "documents", "doc_id", "text"))
+    labels = table(spark, sf_dir, "labels", "doc_id", "quality")
+    return quality.quality(vectors, quality.fit(vectors, labels))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_neardup": op1_simhash_neardup,
     "op2_pii": op2_pii,
@@ -168,6 +175,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_bestfit_packing": op10_bestfit_packing,
     "op11_periodic_runs": op11_periodic_runs,
     "op12_hard_negatives": op12_hard_negatives,
+    "op13_quality_discriminant": op13_quality_discriminant,
 }
 
 ORACLE: dict[str, str] = {
