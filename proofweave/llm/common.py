@@ -58,3 +58,13 @@ def attach(rows: DataFrame, facts: DataFrame, key: str, weight: str) -> DataFram
     )
     value = F.coalesce("_held", "_more")
     return out.select(*rows.columns, *(value[n].alias(n) for n in names))
+
+
+def meet(rows: DataFrame, facts: DataFrame, key: str, weight: str, total: int) -> DataFrame:
+    """Inner join on ``key`` (unique in ``facts``); hot keys, at most HOT_SHARE, meet a broadcast."""
+    hot = facts.filter(F.col(weight) * HOT_SHARE > total)
+    if hot.isEmpty():
+        return rows.join(facts, key)
+    names = hot.select(key)
+    cold = rows.join(F.broadcast(names), key, "left_anti").join(facts, key)
+    return cold.unionByName(rows.join(F.broadcast(hot), key))

@@ -16,6 +16,8 @@ from itertools import chain
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from proofweave.llm.common import whole
@@ -25,8 +27,10 @@ CAPACITY = 4096
 END_ID = 1
 #: Pieces that one task packs; a piece is five numbers.
 PER_PARTITION = 100_000
-#: Words whose ids a worker keeps.
-CACHED_WORDS = 1_000_000
+#: Words whose ids a worker keeps: some 50 MB.
+CACHED_WORDS = 300_000
+#: Bytes of text that are tokenised together.
+GROUP_BYTES = 1_000_000
 
 
 class CachedTokenizer:
@@ -91,19 +95,37 @@ class CachedTokenizer:
             mark = {m: self._ids(m) for m in (b".", b",")}
             self._keep(marked, [self._ids(w[:-1]) + mark[w[-1:]] for w in marked])
 
+    def encode_all(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts in a row, each text's followed by END_ID, and how many a text has.
+
+        Arrow lowers, splits and numbers the words; only distinct ones reach Python.
+        """
+        # In a text with marks of special tokens, case decides what is one.
+        special = pc.match_substring(texts, "<|")
+        texts = pc.if_else(special, texts, pc.ascii_lower(texts)) if pc.any(special).as_py() else pc.ascii_lower(texts)
+        split = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        coded = split.flatten().cast(pa.binary()).dictionary_encode()
+        known = coded.dictionary.to_pylist()
+        self.learn(set(known))
+        number = np.fromiter(map(self.number.__getitem__, known), dtype=np.int64, count=len(known))
+        words = pc.list_value_length(split).to_numpy().astype(np.int64)
+        ends = np.cumsum(words)
+        # The end of a text is a word of its own, the one after the known ones.
+        index = np.insert(number[coded.indices.to_numpy()], ends, len(self.number))
+        at = np.append(self.at[: len(self.number)], self.used)
+        sizes = np.append(self.sizes[: len(self.number)], 1)
+        flat = np.append(self.flat[: self.used], np.uint32(END_ID))
+        length = sizes[index]
+        stop = np.cumsum(length)
+        ids = flat[np.repeat(at[index] - (stop - length), length) + np.arange(stop[-1] if len(stop) else 0)]
+        tokens = np.diff(stop[ends + np.arange(len(ends))], prepend=0)
+        return ids.astype("<u4"), tokens
+
     def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
-        split = []
-        for text in texts:
-            data = text.encode()
-            # In a text with marks of special tokens, case decides what is one.
-            data = data if b"<|" in data else data.lower()
-            split.append(data.replace(b"\n", b" ").split(b" "))
-        self.learn(set(chain.from_iterable(split)))
-        for words in split:
-            index = np.fromiter(map(self.number.__getitem__, words), dtype=np.int64, count=len(words))
-            sizes = self.sizes[index]
-            begin = np.cumsum(sizes) - sizes
-            yield self.flat[np.repeat(self.at[index] - begin, sizes) + np.arange(sizes.sum())]
+        """The ids of each text, without END_ID."""
+        ids, tokens = self.encode_all(pa.array(texts, pa.string()))
+        for part in np.split(ids, np.cumsum(tokens)[:-1]):
+            yield part[:-1]
 
 
 _TOKENIZERS: dict[str, CachedTokenizer] = {}
@@ -128,28 +150,36 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, with_ids:
 
     def cut(batches):
         coder = _tokenizer(tokenizer)
-        for frame in batches:
-            texts, keys, at = frame["_text"].tolist(), frame["doc_id"].tolist(), 0
-            while at < len(texts):
-                size, to = 0, at
-                while to < len(texts) and (size < 1_000_000 or to == at):
-                    size += len(texts[to])
-                    to += 1
-                out = []
-                for key, ids in zip(keys[at:to], coder.encode(texts[at:to])):
-                    ids = np.append(ids, np.uint32(END_ID)).astype("<u4")
-                    for n, start in enumerate(range(0, len(ids), capacity)):
-                        part = ids[start : start + capacity]
-                        row = (key, n, start, len(part), zlib.crc32(part.tobytes()))
-                        out.append(row + ((part.tolist(),) if with_ids else ()))
-                names = ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids
-                made = pd.DataFrame(out, columns=names)
-                made["doc_id"] = made["doc_id"].astype("Int64")
-                yield made
-                at = to
-
+        for batch in batches:
+            keys, texts = batch.column(0), batch.column(1)
+            size = pc.binary_length(texts).to_numpy(zero_copy_only=False)
+            # About GROUP_BYTES of text at a time, or one longer text.
+            group = (np.cumsum(size) - size) // GROUP_BYTES
+            edges = np.append(np.flatnonzero(np.diff(group, prepend=-1)), len(texts))
+            for low, high in zip(edges[:-1].tolist(), edges[1:].tolist()):
+                yield placed(keys.slice(low, high - low), *coder.encode_all(texts.slice(low, high - low)))
+
+    def placed(keys: pa.Array, ids: np.ndarray, tokens: np.ndarray) -> pa.RecordBatch:
+        n = -(-tokens // capacity)
+        owner = np.repeat(np.arange(len(tokens)), n)
+        piece = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
+        start = piece * capacity
+        length = np.minimum(tokens[owner] - start, capacity)
+        begin = (np.cumsum(tokens) - tokens)[owner] + start
+        raw = memoryview(ids.tobytes())
+        crc = [zlib.crc32(raw[4 * b : 4 * (b + k)]) for b, k in zip(begin.tolist(), length.tolist())]
+        columns = [
+            keys.take(pa.array(owner)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length),
+            pa.array(crc, pa.int64()),
+        ]
+        if with_ids:  # pieces follow each other without gaps
+            offsets = np.append(begin, len(ids)).astype(np.int32)
+            columns.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids.astype(np.int64))))
+        return pa.RecordBatch.from_arrays(columns, names)
+
+    names = ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids
     kind = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<long>" * with_ids
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole("text").alias("_text")).mapInPandas(cut, kind)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole("text").alias("_text")).mapInArrow(cut, kind)
 
 
 def best_fit(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -204,12 +234,16 @@ def lower_bound(lengths: np.ndarray, capacity: int = CAPACITY) -> int:
     return best
 
 
-#: A sequence_id is the round, then 20 bits for the task, then 28 for the bin.
-ROUND_SHIFT = 48
+#: A sequence_id is the round, then 28 bits for the task, then 20 for the bin.
+ROUND_SHIFT, TASK_SHIFT = 48, 20
+#: Pieces of a task that still have a bin number each.
+MOST_PIECES = 1 << TASK_SHIFT
 
 
 def _pack_partition(frame: pd.DataFrame, round_no: int, capacity: int) -> pd.DataFrame:
-    frame = frame.sort_values(["length", "doc_id", "piece", "start"], ascending=[False, True, True, True], kind="stable")
+    if len(frame) > MOST_PIECES:
+        raise ValueError(f"a task got {len(frame)} pieces; per_partition must stay below {MOST_PIECES // 2}")
+    frame = frame.sort_values(["length", "row"], ascending=[False, True], kind="stable")
     bins, offsets, fill = best_fit(frame["length"].to_numpy(), capacity)
     bound = lower_bound(frame["length"].to_numpy(), capacity)
     certified = len(fill) == bound
@@ -219,7 +253,7 @@ def _pack_partition(frame: pd.DataFrame, round_no: int, capacity: int) -> pd.Dat
     release &= fill < capacity
     part = int(frame["part"].iloc[0])
     return frame.assign(
-        sequence_id=(round_no << ROUND_SHIFT) + (part << 28) + bins,
+        sequence_id=(round_no << ROUND_SHIFT) + (part << TASK_SHIFT) + bins,
         offset=offsets,
         open=release[bins],
         first=offsets == 0,
@@ -227,12 +261,12 @@ def _pack_partition(frame: pd.DataFrame, round_no: int, capacity: int) -> pd.Dat
     )
 
 
-_PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
+_PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long, row long"
 
 
 def _pack_round(rows: DataFrame, round_no: int, parts: int, capacity: int) -> DataFrame:
     dealt = rows.withColumn(
-        "part", F.pmod(F.xxhash64(F.lit(round_no), "doc_id", "piece", "ids_crc32"), F.lit(parts)).cast("int")
+        "part", F.pmod(F.xxhash64(F.lit(round_no), "row"), F.lit(parts)).cast("int")
     )
     return dealt.groupBy("part").applyInPandas(
         lambda frame: _pack_partition(frame, round_no, capacity),
@@ -247,7 +281,11 @@ def pack(cut: DataFrame, capacity: int = CAPACITY, per_partition: int = PER_PART
     whatever the input. A round that saves no sequence is not used, and ends
     the exchange.
     """
-    cut = materialize(cut.select("doc_id", "piece", "start", "length", "ids_crc32"), "pieces")
+    if not 0 < per_partition <= MOST_PIECES // 2:
+        raise ValueError(f"per_partition must be 1 to {MOST_PIECES // 2}")
+    # Row numbers, kept by writing, deal out repeated rows too.
+    cut = cut.select("doc_id", "piece", "start", "length", "ids_crc32", F.monotonically_increasing_id().alias("row"))
+    cut = materialize(cut, "pieces")
     total = cut.count()
     done: list[DataFrame] = []
     rows, used = cut, None

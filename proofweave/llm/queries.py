@@ -277,7 +277,9 @@ ORACLE: dict[str, str] = {
             SELECT template FROM templates WHERE fixed * 2 >= len(template)
             GROUP BY template HAVING count(DISTINCT doc_id) >= 10),
         gone AS (
-            SELECT DISTINCT toks FROM templates JOIN often USING (template) WHERE fixed * 2 >= len(template)),
+            SELECT toks FROM templates JOIN often USING (template) WHERE fixed * 2 >= len(template)
+            UNION
+            SELECT toks FROM leafed WHERE n >= 50 GROUP BY toks HAVING count(*) >= 2),
         flagged AS (
             SELECT doc_id, i, line, toks IN (SELECT toks FROM gone) AS drop
             FROM (SELECT doc_id, unnest(lines) AS line, unnest(toks) AS toks, unnest(range(len(lines))) AS i

@@ -17,7 +17,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from proofweave.llm.common import attach, fresh, whole
+from proofweave.llm.common import attach, whole
 from proofweave.llm.graph import components
 from proofweave.operators.sizing import materialize
 
@@ -127,6 +127,12 @@ def fingerprints_of(texts: list[bytes], words: int = 3, block: int = 1 << 18) ->
     return (bits << np.arange(BITS, dtype=np.uint64)).sum(axis=1, dtype=np.uint64).view(np.int64)
 
 
+def majority(hashes: np.ndarray) -> int:
+    """SimHash of given 64-bit shingle hashes, as a signed long; none give 0."""
+    seen = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(seen * 2 > len(hashes), bitorder="little").view(np.int64)[0])
+
+
 @F.pandas_udf(T.LongType())
 def simhash(text: pd.Series) -> pd.Series:
     """64-bit SimHash of UTF-8 bytes, as a signed long."""
@@ -419,17 +425,3 @@ def near_duplicates(docs: DataFrame, radius: int = 2) -> DataFrame:
         "component_size",
     )
 
-
-def drop_near_duplicates(docs: DataFrame, radius: int = 2) -> DataFrame:
-    """``docs`` with the least doc_id of each component, all columns kept.
-
-    Rows without doc_id stay: nothing names them in favour of another row.
-    """
-    key = fresh(docs, "_gone")
-    gone = (
-        near_duplicates(docs, radius)
-        .filter("doc_id <> component_id")
-        .select(F.col("doc_id").alias(key))
-        .distinct()
-    )
-    return docs.join(gone, docs["doc_id"] == gone[key], "left_anti")

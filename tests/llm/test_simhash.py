@@ -110,12 +110,12 @@ def test_near_duplicates_of_odd_rows(spark, odd, none):
     assert simhash.near_duplicates(none).count() == 0
 
 
-def test_drop_keeps_one_row_a_component(spark, odd):
-    kept = simhash.drop_near_duplicates(odd)
-    assert kept.columns == odd.columns
-    ids = [r["doc_id"] for r in kept.collect()]
-    assert sorted(i for i in ids if i is not None) == [1, 4, 7, 8, 9]
-    assert ids.count(None) == 2
+def test_majority_is_the_fingerprint_of_the_hashes():
+    rng = random.Random(8)
+    for n in (0, 1, 2, 9, 64):
+        hashes = [rng.getrandbits(64) for _ in range(n)]
+        want = sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > n)
+        assert simhash.majority(np.array(hashes, np.uint64)) % (1 << 64) == want
 
 
 def test_large_group_of_near_copies(spark):
