@@ -20,20 +20,17 @@ RULES = (
     ("com", "/fr/", "allow"),
     ("com", "/de/", "block"),
 )
-#: Rounds of the SQL statement, and of ``propagate`` unless it is told otherwise.
-ROUNDS = 10
-#: ``verdicts`` goes on until no host is newly reached and trust and distrust,
-#: which sum to at most 1 each, change by no more than this in a round.
+#: Ranks settle when a round reaches no new host and changes trust and distrust,
+#: which sum to at most 1 each, by no more than this.
 TOLERANCE, MOST_ROUNDS = 1e-12, 10_000
 DAMPING = 0.85
 #: Distrust must exceed trust by this factor, so sums in another order agree.
 MARGIN = 1 + 1e-9
 _PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)"
-_HREF = r"""(?i)href\s{0,9}=\s{0,9}["']?[a-z]{1,9}://([^/?#"'\s<>]+)"""
-
-
-#: The same with links that leave the scheme to the page (//host/).
-_LINK = _HREF.replace("[a-z]{1,9}://", "(?:[a-z]{1,9}:)?//")
+#: Host of a link, also of one that leaves the scheme to the page (//host/).
+_LINK = r"""(?i)href[ \t\n\x0b\f\r]*=[ \t\n\x0b\f\r]*["']?(?:[a-z][a-z0-9+.\-]*:)?//([^/?#"' \t\n\x0b\f\r<>]+)"""
+#: The same for a matcher that backtracks: possessive, so linear.
+_POSSESSIVE = _LINK.replace("]*=", "]*+=").replace("]*[", "]*+[").replace("]*:", "]*+:")
 
 
 def with_address(pages: DataFrame) -> DataFrame:
@@ -56,10 +53,14 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
 
 
 def host_edges(pages: DataFrame) -> DataFrame:
-    """(src, dst, out_share, in_share): links between hosts, pre-aggregated."""
+    """(src, dst, out_share, in_share): links between hosts, pre-aggregated.
+
+    Null html has no links; pages without host and links of a host to itself
+    are left out; a link that a page repeats counts as often.
+    """
     edges = (
         pages.filter("host <> ''")
-        .select(F.col("host").alias("src"), F.explode(F.regexp_extract_all(whole("html"), F.lit(_LINK), F.lit(1))).alias("dst"))
+        .select(F.col("host").alias("src"), F.explode(F.regexp_extract_all(whole("html"), F.lit(_POSSESSIVE), F.lit(1))).alias("dst"))
         .select("src", ascii_lower(F.col("dst")).alias("dst"))
         .filter("src <> dst")
         .groupBy("src", "dst").agg(F.count("*").alias("w"))
@@ -75,11 +76,12 @@ def host_edges(pages: DataFrame) -> DataFrame:
     )
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, rounds: int | None = ROUNDS, damping: float = DAMPING) -> DataFrame:
+def propagate(edges: DataFrame, seeds: DataFrame, rounds: int | None = None, damping: float = DAMPING) -> DataFrame:
     """(host, trust, distrust) after ``rounds`` rounds; each is a written table.
 
     None goes on until the ranks settle: a round that reaches no new host and
-    changes at most TOLERANCE in all. Raises after MOST_ROUNDS.
+    changes at most TOLERANCE in all. Raises after MOST_ROUNDS. A host without
+    out-links passes on nothing.
 
     ``seeds`` has host, trust, distrust; both are scaled to a sum of 1.
     """
@@ -148,8 +150,8 @@ def verdicts(pages: DataFrame, rules=RULES) -> DataFrame:
     )
 
 
-def oracle_sql(rules=RULES, rounds: int = ROUNDS, damping: float = DAMPING) -> str:
-    """The verdicts over ``pages`` as one DuckDB statement, a step per round."""
+def oracle_sql(rules=RULES, damping: float = DAMPING) -> str:
+    """The verdicts over ``pages`` as one DuckDB statement, iterated until ranks settle."""
     fits = [
         (h + p, v, f"((host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}'))")
         for h, p, v in sorted(rules, key=lambda r: (-len(r[0] + r[1]), r))
@@ -157,22 +159,9 @@ def oracle_sql(rules=RULES, rounds: int = ROUNDS, damping: float = DAMPING) -> s
     name = "CASE " + " ".join(f"WHEN {f} THEN '{n}'" for n, _, f in fits) + " END"
     ruled = "CASE " + " ".join(f"WHEN {f} THEN '{v}'" for _, v, f in fits) + " END"
     lower = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
-    href = _HREF.replace("'", "''")
-    steps = "".join(
-        f""",
-        r{k} AS MATERIALIZED (
-            SELECT host, sum(t) AS trust, sum(d) AS distrust FROM (
-                SELECT dst AS host, trust * out_share * {damping} AS t, 0.0::DOUBLE AS d
-                FROM shares JOIN r{k - 1} ON src = host
-                UNION ALL
-                SELECT src, 0.0::DOUBLE, distrust * in_share * {damping} FROM shares JOIN r{k - 1} ON dst = host
-                UNION ALL
-                SELECT host, trust * (1 - {damping}), distrust * (1 - {damping}) FROM r0)
-            GROUP BY host)"""
-        for k in range(1, rounds + 1)
-    )
+    href = _LINK.replace("'", "''")
     return f"""
-        WITH parsed AS (
+        WITH RECURSIVE parsed AS (
             SELECT page_id, html, {lower.format(f"regexp_extract(coalesce(url, ''), '{_PARTS}', 1)")} AS host,
                    regexp_extract(coalesce(url, ''), '{_PARTS}', 2) AS path
             FROM pages),
@@ -189,10 +178,30 @@ def oracle_sql(rules=RULES, rounds: int = ROUNDS, damping: float = DAMPING) -> s
         seeds AS (
             SELECT host, count(*) FILTER (ruled = 'allow') AS t, count(*) FILTER (ruled = 'block') AS d
             FROM ruled WHERE host <> '' GROUP BY host),
-        r0 AS MATERIALIZED (
+        base AS MATERIALIZED (
             SELECT host, t / greatest((SELECT sum(t) FROM seeds), 1) AS trust,
                    d / greatest((SELECT sum(d) FROM seeds), 1) AS distrust
-            FROM seeds){steps}
+            FROM seeds),
+        ranks AS (
+            SELECT 0 AS step, host, trust, distrust, 1.0::DOUBLE AS moved FROM base
+            UNION ALL
+            SELECT step, host, trust, distrust, sum(moved) OVER () AS moved FROM (
+                SELECT max(step) + 1 AS step, host, sum(t) AS trust, sum(d) AS distrust,
+                       abs(sum(t) - sum(was_t)) + abs(sum(d) - sum(was_d))
+                       + (sum(was_t) = 0 AND sum(t) > 0)::INT + (sum(was_d) = 0 AND sum(d) > 0)::INT AS moved
+                FROM (
+                    SELECT step, moved, dst AS host, trust * out_share * {damping} AS t, 0.0::DOUBLE AS d,
+                           0.0::DOUBLE AS was_t, 0.0::DOUBLE AS was_d
+                    FROM shares JOIN ranks ON src = host
+                    UNION ALL
+                    SELECT step, moved, src, 0, distrust * in_share * {damping}, 0, 0 FROM shares JOIN ranks ON dst = host
+                    UNION ALL
+                    SELECT step, moved, host, coalesce(b.trust, 0) * (1 - {damping}), coalesce(b.distrust, 0) * (1 - {damping}),
+                           r.trust, r.distrust
+                    FROM ranks r LEFT JOIN base b USING (host))
+                WHERE moved > {TOLERANCE!r}
+                GROUP BY host)),
+        settled AS (SELECT * FROM ranks QUALIFY step = max(step) OVER ())
         SELECT page_id, host, path, rule,
                coalesce(ruled, CASE WHEN distrust > trust * {MARGIN!r} THEN 'block' ELSE 'allow' END) AS verdict
-        FROM ruled LEFT JOIN r{rounds} USING (host)"""
+        FROM ruled LEFT JOIN settled USING (host)"""

@@ -28,7 +28,7 @@ LOOKALIKES = {
     "α": "a", "ο": "o", "ρ": "p", "ν": "v", "ι": "i", "κ": "k", "υ": "u",
     "Α": "A", "Β": "B", "Ε": "E", "Ζ": "Z", "Η": "H", "Ι": "I", "Κ": "K", "Μ": "M", "Ν": "N",
     "Ο": "O", "Ρ": "P", "Τ": "T", "Υ": "Y", "Χ": "X",
-    "ı": "i", "‐": "-", "‑": "-", "‒": "-", "–": "-", "−": "-", "․": ".", "。": ".",
+    "ı": "i", "İ": "I", "ſ": "s", "‐": "-", "‑": "-", "‒": "-", "–": "-", "−": "-", "․": ".", "。": ".",
 }
 DIGIT_NAMES = (
     ("zero", "cero", "zéro", "null"),
@@ -75,6 +75,8 @@ _BARE_AT = re.compile(
     rf"(?<=[A-Za-z0-9._%+-]) (?:{_ATS}) (?=[A-Za-z0-9-]+(?:(?: (?:{_DOTS}) |\.)[A-Za-z0-9-]+)* (?:{_DOTS}) [A-Za-z0-9-])", re.I
 )
 _BARE_DOT = re.compile(rf"(?<=[A-Za-z0-9]) (?:{_DOTS}) (?=[A-Za-z0-9])", re.I)
+#: A host with bare dots, of any length.
+_HOST = re.compile(rf"[A-Za-z0-9.-]+(?: (?:{_DOTS}) [A-Za-z0-9-]+)*", re.I)
 _PLUS = re.compile(r"\bplus (?=[0-9])", re.I)
 _HINT = re.compile(rf" (?:{_DOTS}) |[\[({{<] {{0,2}}(?:{_ATS}|{_DOTS}|[.@]) {{0,2}}[\])}}>]|\b{_NAME}\b[ \-]{_NAME}\b|[0-9][ \-]{_NAME}\b|\b{_NAME}[ \-][0-9]|plus [0-9]", re.I)
 
@@ -189,7 +191,10 @@ def _disguises(text: str) -> list[tuple[int, int, str]]:
 def _digits(text: str) -> list[tuple[int, int, str]]:
     edits = []
     for m in _SPELLED.finditer(text):
+        # Folding of case may match a character whose lower case is another one.
         names = re.split("[ -]", m.group().lower())
+        if any(n not in _NAMED for n in names):
+            continue
         before = m.start() > 1 and text[m.start() - 2].isdigit()
         after = m.end() + 1 < len(text) and text[m.end() + 1].isdigit()
         dotted = _BARE_DOT.match(text, m.end()) or text[: m.start()].endswith(tuple(f" {d} " for d in DOT_NAMES))
@@ -200,12 +205,15 @@ def _digits(text: str) -> list[tuple[int, int, str]]:
 
 def _dots(text: str) -> list[tuple[int, int, str]]:
     """Bare dots, between numbers or after an at sign in the same address."""
-    edits = []
+    edits, looked, chain = [], 0, -1  # chain: end of the host that follows the last at sign
     for m in _BARE_DOT.finditer(text):
-        word = text.rfind("@", max(0, m.start() - 256), m.start())
-        host = text[word + 1 : m.start()] if word >= 0 else " "
+        at = text.rfind("@", looked, m.start())
+        if at >= 0:
+            host = _HOST.match(text, at + 1)
+            chain = host.end() if host else -1
+        looked = m.start()
         numbers = text[m.start() - 1].isdigit() and text[m.end()].isdigit()
-        if numbers or re.fullmatch(rf"[A-Za-z0-9.-]+(?: (?:{_DOTS}) [A-Za-z0-9-]+)*", host, re.I):
+        if numbers or m.start() < chain:
             edits.append((*m.span(), "."))
     edits.extend((*m.span(), "+") for m in _PLUS.finditer(text))
     return edits
@@ -264,7 +272,8 @@ def listed(spans: Column) -> Column:
 def masked(docs: DataFrame) -> DataFrame:
     """``docs`` with each identifier replaced by its kind in brackets.
 
-    Spans that overlap are replaced together, by the kind of the longest.
+    Spans that overlap are replaced together, by the kind of the longest. Null
+    texts become empty; null and repeated doc_ids keep their rows; no rows give none.
     """
 
     @F.pandas_udf("string")

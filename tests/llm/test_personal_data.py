@@ -108,3 +108,26 @@ def test_a_disguise_inside_an_identifier(spark, text, kind, whole):
     assert [(k, text[s:e]) for k, s, e, d in spans if d and k == kind] == [(kind, whole)]
     frame = spark.createDataFrame([(1, text)], "doc_id long, text string")
     assert P.masked(frame).first()["text"] == text.replace(whole, f"[{kind.upper()}]")
+
+
+def test_no_character_breaks_the_search():
+    """Every character that folds to an ASCII letter, inside digit names, dots and at signs."""
+    import unicodedata
+
+    odd = [
+        c for c in map(chr, range(0x80, 0x20000))
+        if not 0xD800 <= ord(c) < 0xE000
+        and any(x.isascii() and x.isalpha() for f in (c.lower(), c.upper(), c.casefold(), unicodedata.normalize("NFKD", c)) for x in f)
+    ]
+    assert {"\u0130", "\u017f", "\u212a"} <= set(odd)
+    for c in odd:
+        for text in (f"s{c}x one two", f"{c}ix one two", f"one two s{c}x", f"se{c}en 5", f"a at b{c}c dot org", f"x@a d{c}t b"):
+            for _, start, end, _ in P.find(text):
+                assert 0 <= start < end <= len(text)
+    assert [s[:3] for s in P.find("call plus 4 sİx one two three four five seven")] == [("phone", 5, 45)]
+
+
+def test_disguised_host_of_any_length():
+    host = " dot ".join(["part"] * 400)
+    text = f"write to ann [at] {host} dot org now"
+    assert ("email", 9, len(text) - 4, True) in P.find(text)
