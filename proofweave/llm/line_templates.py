@@ -33,10 +33,15 @@ def _masked_lines(text: Column) -> Column:
 
     Works on the whole text at once: blanks, then tokens, then the ends of lines.
     """
-    blank = F.translate(text, "\t\r\f\x0b", "    ")
-    single = F.when(F.instr(blank, "  ") > 0, F.regexp_replace(blank, " {2,}+", " ")).otherwise(blank)
+    # A lambda's variable is evaluated once, and most texts need none of the three rewrites.
+    def once(value: Column, rewrite) -> Column:
+        return F.transform(F.array(value), rewrite)[0]
+
+    blank = once(text, lambda t: F.when(t.rlike(r"[\t\r\f\x0b]"), F.translate(t, "\t\r\f\x0b", "    ")).otherwise(t))
+    single = once(blank, lambda t: F.when(F.instr(t, "  ") > 0, F.regexp_replace(t, " {2,}+", " ")).otherwise(t))
     # Anchored at a token's start and possessive, so linear in tokens of any length.
-    generalised = F.regexp_replace(single, r"(?<![^ \n])[^ \n0-9]*+[0-9][^ \n]*+", FIELD)
+    digits = r"(?<![^ \n])[^ \n0-9]*+[0-9][^ \n]*+"
+    generalised = once(single, lambda t: F.when(t.rlike("[0-9]"), F.regexp_replace(t, digits, FIELD)).otherwise(t))
     return F.transform(_lines(generalised), lambda line: F.trim(line))
 
 
@@ -49,7 +54,7 @@ def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     if min_docs < LITERAL_DOCS:
         raise ValueError(f"min_docs must be {LITERAL_DOCS} or more")
     lines = docs.select("key", F.explode(F.array_distinct(_masked_lines(F.col("text")))).alias("line"))
-    count = F.length("line") - F.length(F.translate("line", " ", "")) + 1
+    count = F.length("line") - F.length(F.replace("line", F.lit(" "), F.lit(""))) + 1
     lines = lines.select("key", "line", count.alias("tokens")).filter(F.col("tokens") >= MIN_TOKENS)
     lines = lines.withColumn("leaf", F.xxhash64("tokens", F.substring_index("line", " ", LEADING)))
     leaves = materialize(

@@ -27,8 +27,8 @@ CAPACITY = 4096
 END_ID = 1
 #: Pieces that one task packs; a piece is five numbers.
 PER_PARTITION = 100_000
-#: Words whose ids a worker keeps: some 50 MB.
-CACHED_WORDS = 300_000
+#: Words whose ids a worker keeps: some 120 MB.
+CACHED_WORDS = 700_000
 #: Bytes of text that are tokenised together.
 GROUP_BYTES = 1_000_000
 
@@ -105,7 +105,7 @@ class CachedTokenizer:
         texts = pc.if_else(special, texts, pc.ascii_lower(texts)) if pc.any(special).as_py() else pc.ascii_lower(texts)
         split = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
         coded = split.flatten().cast(pa.binary()).dictionary_encode()
-        known = coded.dictionary.to_pylist()
+        known = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         self.learn(set(known))
         number = np.fromiter(map(self.number.__getitem__, known), dtype=np.int64, count=len(known))
         words = pc.list_value_length(split).to_numpy().astype(np.int64)

@@ -129,7 +129,10 @@ def fingerprints_of(texts: list[bytes], words: int = 3, block: int = 1 << 18) ->
 
 def majority(hashes: np.ndarray) -> int:
     """SimHash of given 64-bit shingle hashes, as a signed long; none give 0."""
-    seen = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    seen = np.zeros(BITS, np.int64)
+    for at in range(0, len(hashes), 1 << 16):
+        octets = hashes[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8)
+        seen += np.unpackbits(octets, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(np.packbits(seen * 2 > len(hashes), bitorder="little").view(np.int64)[0])
 
 
