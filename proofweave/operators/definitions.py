@@ -91,15 +91,15 @@ def validate_definitions(
         .join(flag(cyclic_definitions(edges), "has_cycle"), "definition_id", "left")
     )
     lacking = F.concat(
-        F.lit("missing mandatory capabilities: "), F.array_join("missing", ", ")
+        F.lit("capabilities not covered: "), F.array_join("missing", ", ")
     )
     problem = (
         F.when(F.col("field_problem").isNotNull(), F.col("field_problem"))
-        .when(F.col("has_nodes").isNull(), "at least one node is required")
-        .when(F.col("has_duplicates"), "node IDs must be unique")
-        .when(F.col("has_dangling"), "edge references an unknown node")
+        .when(F.col("has_nodes").isNull(), "no nodes")
+        .when(F.col("has_duplicates"), "a node id repeats")
+        .when(F.col("has_dangling"), "an edge leads to no node")
         .when(F.size("missing") > 0, lacking)
-        .when(F.col("has_cycle"), "graph cannot contain a cycle")
+        .when(F.col("has_cycle"), "the edges form a cycle")
     )
     return marked.select("definition_id", problem.alias("problem"), "missing")
 

@@ -16,13 +16,13 @@ def normalize_principals(principals: Column) -> Column:
 def scope_problem(actor_id: Column, principals: Column) -> Column:
     """Reason a scope is unusable, else null. Expects normalised principals."""
     return (
-        F.when(tx.is_blank(actor_id), "actorId is required")
-        .when(F.length(actor_id) > K.MAX_ACTOR, f"actorId exceeds {K.MAX_ACTOR} characters")
+        F.when(tx.is_blank(actor_id), "actor is blank")
+        .when(F.length(actor_id) > K.MAX_ACTOR, f"actor is longer than {K.MAX_ACTOR} characters")
         .when(
             principals.isNull()
             | (F.size(principals) == 0)
             | F.exists(principals, lambda p: p.isNull() | (p == "")),
-            "at least one non-empty ACL principal is required",
+            "no usable principal",
         )
         .when(F.size(principals) > K.MAX_PRINCIPALS, f"more than {K.MAX_PRINCIPALS} principals")
     )

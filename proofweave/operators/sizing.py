@@ -33,11 +33,11 @@ def materialize(frame: DataFrame, name: str) -> DataFrame:
 
 
 def spread(frame: DataFrame, *keys: str) -> DataFrame:
-    """Use every core when a scan has fewer partitions than the cluster has cores.
+    """Use every core when a scan fills fewer partitions than the cluster has cores.
 
-    Inputs of cluster size already have more partitions and pass unchanged.
+    A file of one row group fills one partition, however many it is split into;
+    row counts come from footers alone. Inputs of cluster size pass unchanged.
     """
     cores = frame.sparkSession.sparkContext.defaultParallelism
-    if frame.rdd.getNumPartitions() < cores:
-        return frame.repartition(cores, *keys)
-    return frame
+    filled = frame.select(F.spark_partition_id().alias("p")).distinct().limit(cores).count()
+    return frame.repartition(cores, *keys) if filled < cores else frame

@@ -69,28 +69,6 @@ def activate(requests: DataFrame, complete: DataFrame) -> DataFrame:
     return latest.withColumn("status", status).drop("is_complete")
 
 
-def upsert(current: DataFrame, incoming: DataFrame, keys: list[str]) -> DataFrame:
-    """Keyed replace: incoming rows win, other rows stay."""
-    return current.join(incoming.select(*keys), keys, "left_anti").unionByName(
-        incoming, allowMissingColumns=True
-    )
-
-
-def begin_versions(current: DataFrame, incoming: DataFrame) -> DataFrame:
-    """Register versions: new ones start ``processing``, active ones stay so."""
-    keys = ["enterprise_id", "document_id", "version_hash"]
-    known = current.select(*keys, F.col("status").alias("known_status"))
-    started = (
-        incoming.join(known, keys, "left")
-        .withColumn(
-            "status",
-            F.when(F.col("known_status") == "active", "active").otherwise("processing"),
-        )
-        .drop("known_status")
-    )
-    return upsert(current, started, keys)
-
-
 def purge_children(parents: DataFrame, children: DataFrame, key: str) -> DataFrame:
     """Cascade: keep only children whose parent survives."""
     return children.join(parents.select(key), key, "left_semi")

@@ -39,7 +39,7 @@ def tenant_uuid(source: Column) -> Column:
 
 def document_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document as ``v1``; every labelled document again as ``v2``."""
-    documents = table(spark, sf_dir, "documents").join(
+    documents = spread(table(spark, sf_dir, "documents"), "doc_id").join(
         table(spark, sf_dir, "labels"), "doc_id", "left"
     )
     published = F.lit(EPOCH) + F.make_dt_interval(days=F.col("doc_id") % PUBLISHED_DAYS)
@@ -123,6 +123,11 @@ def activation_requests(editions: DataFrame) -> DataFrame:
     )
 
 
+def corpus_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks of every edition, as each is embedded when it is taken in."""
+    return chunking.with_chunk_identity(chunking.split_documents(identified_editions(spark, sf_dir)))
+
+
 def active_corpus_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks of the version each document currently shows."""
     editions = identified_editions(spark, sf_dir)

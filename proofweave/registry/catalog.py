@@ -32,7 +32,7 @@ from proofweave.registry import bindings as B
 from proofweave.session import ensure_checkpoint_dir
 from proofweave.sources import requests as requests_source
 from proofweave.sources.questions import question_problems
-from proofweave.sources.tables import VERSIONS, TableLayout
+from proofweave.sources.tables import DOCUMENTS, ENTERPRISES, JOBS, VERSIONS, TableLayout
 from proofweave.sources.text_files import read_text_files
 from proofweave.streaming import ingest as streaming
 
@@ -94,7 +94,7 @@ def version_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def hash_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    chunks = B.active_corpus_chunks(spark, sf_dir).select("chunk_id", "content")
+    chunks = B.corpus_chunks(spark, sf_dir).select("chunk_id", "content")
     values = F.transform("embedding", lambda v: v.cast("double"))
 
     def folded(item):
@@ -611,15 +611,17 @@ def text_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _streamed(spark: SparkSession, requests: DataFrame, times: int = 1) -> TableLayout:
-    """Tables after streaming ``requests`` as files, written ``times`` times."""
+def _streamed(
+    spark: SparkSession, *requests: DataFrame, max_files: int = 10, embedder=None
+) -> TableLayout:
+    """Tables after streaming ``requests`` as files, each frame written after the one before."""
     root = f"{ensure_checkpoint_dir(spark)}/proofweave/stream-{uuid.uuid4().hex}"
-    for _ in range(times):
-        requests.write.mode("append").json(f"{root}/requests")
     layout = TableLayout(f"{root}/tables")
-    stream = streaming.request_stream(spark, f"{root}/requests", max_files=10)
+    for frame in requests:
+        frame.write.mode("append").json(f"{root}/requests")
+    stream = streaming.request_stream(spark, f"{root}/requests", max_files=max_files)
     streaming.run_to_completion(
-        streaming.start_ingestion(stream, layout, f"{root}/stream-checkpoint")
+        streaming.start_ingestion(stream, layout, f"{root}/stream-checkpoint", embedder)
     )
     return layout
 
@@ -627,7 +629,8 @@ def _streamed(spark: SparkSession, requests: DataFrame, times: int = 1) -> Table
 @query
 def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents streamed as request files, in micro-batches, with repeats."""
-    layout = _streamed(spark, B.ingest_requests(spark, sf_dir), 2)
+    requests = B.ingest_requests(spark, sf_dir)
+    layout = _streamed(spark, requests, requests)
     return (
         layout.active_chunks(spark)
         .groupBy("document_id", "version_id")
@@ -654,6 +657,89 @@ def stream_editions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def stream_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two editions of each document, then the first again: no second job, in one micro-batch or three."""
+    requests = B.ingest_requests(spark, sf_dir)
+    swapped = F.length("content") % 2 == 1
+    parts = []
+    for seq, (odd, even) in enumerate((("1.4", "1.3"), ("1.3", "1.4"), ("1.4", "1.3"))):
+        labelled = requests.withColumn("version_label", F.when(swapped, odd).otherwise(even))
+        parts.append(labelled.withColumn("activation_seq", F.lit(seq + 1).cast("long")))
+    out = None
+    for split, frames in (("one", [parts[0].unionByName(parts[1]).unionByName(parts[2])]), ("three", parts)):
+        # A file a frame, so that a micro-batch of one file ends where the frame does.
+        layout = _streamed(spark, *(f.coalesce(1) for f in frames), max_files=1)
+        jobs = layout.keyed(JOBS).read(spark).filter("status = 'completed'").groupBy("document_id").agg(
+            F.count("*").alias("jobs"), F.sum("attempts").alias("attempts")
+        )
+        shown = layout.registered_versions(spark).filter("status = 'active'").select("document_id", "version_label")
+        rows = shown.join(jobs, "document_id").select(F.lit(split).alias("split"), "*")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def _three_batches(spark: SparkSession, sf_dir: str) -> TableLayout:
+    """All requests; even ones again with another title and authority; every third as ``v2``."""
+    root = f"{ensure_checkpoint_dir(spark)}/proofweave/batches-{uuid.uuid4().hex}"
+    layout = TableLayout(root)
+    requests = B.ingest_requests(spark, sf_dir)
+
+    def retitled(rows: DataFrame, ending: str) -> DataFrame:
+        title = F.when(F.length("title").between(1, 200), F.concat("title", F.lit(ending))).otherwise(F.col("title"))
+        return rows.withColumns(
+            {"title": title, "metadata": F.map_concat("metadata", F.create_map(F.lit("note"), F.lit(ending.strip())))}
+        )
+
+    even = retitled(requests.filter(F.length("content") % 2 == 0), " again").withColumn(
+        "source_authority", F.when(F.col("source_authority") <= 1, F.lit(0.5)).otherwise(F.col("source_authority"))
+    )
+    third = retitled(requests.filter(F.length("content") % 3 == 0), " anew").withColumn("version_label", F.lit("v2"))
+    for batch_id, batch in enumerate((requests, even, third)):
+        ingestion.ingest_batch(batch, layout, batch_id, skip_known_jobs=True)
+    return layout
+
+
+@query
+def document_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents after three batches: the last title and metadata of each."""
+    layout = _three_batches(spark, sf_dir)
+    documents, tenants = (layout.keyed(name).read(spark) for name in (DOCUMENTS, ENTERPRISES))
+    return documents.join(tenants, "enterprise_id").select(
+        "enterprise_id", "document_id", "title", "source_uri",
+        "source_fingerprint",
+        F.coalesce(F.col("metadata")["note"], F.lit("")).alias("note"),
+        F.size("metadata").cast("long").alias("metadata_size"),
+        F.col("first_batch").cast("long").alias("tenant_since"),
+    )
+
+
+@query
+def version_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Versions after three batches: scores refreshed, active ones still active unless replaced."""
+    return _three_batches(spark, sf_dir).registered_versions(spark).select(
+        "document_id", "version_label", "status", F.round("source_authority", 6).alias("source_authority"),
+        F.unix_micros("published_at").alias("published_micros"), F.col("batch_id").cast("long").alias("refreshed_in"),
+    )
+
+
+@query
+def request_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Jobs whose vectors came out wrong, twice; every third was sent again and succeeded."""
+    root = f"{ensure_checkpoint_dir(spark)}/proofweave/attempts-{uuid.uuid4().hex}"
+    layout = TableLayout(root)
+    requests = B.ingest_requests(spark, sf_dir)
+
+    def short(content):
+        return F.array(F.lit(0.0).cast("float"), F.length(content).cast("float"))
+
+    ingestion.ingest_batch(requests.unionByName(requests), layout, 0, short, skip_known_jobs=True)
+    again = requests.filter(F.length("content") % 3 == 0)
+    ingestion.ingest_batch(again, layout, 1, skip_known_jobs=True)
+    jobs = layout.keyed(JOBS).read(spark)
+    return jobs.select("document_id", "status", F.col("attempts").cast("long").alias("attempts"), "last_error")
+
+
 @query
 def validate_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every asked question with the rules that it violates."""

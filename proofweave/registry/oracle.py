@@ -326,6 +326,7 @@ def hashed(name: str, source: str, key: str, text: str) -> None:
 
 
 hashed("chunk_vectors", "chunks", "chunk_id", "content")
+hashed("edition_vectors", "all_chunks", "chunk_id", "content")
 hashed("question_vectors", "questions", "question_id", "query_text")
 cte(
     "vector_scores",
@@ -512,8 +513,8 @@ ORACLE["version_id"] = build(
 ORACLE["hash_embedding"] = build(
     """SELECT chunk_id, count(*) AS n_nonzero, round(sum(abs(val)), 5) AS abs_sum,
          round(sum(val), 5) AS value_sum, round(sum(val * (idx % 32)), 4) AS weighted_sum
-       FROM chunk_vectors WHERE val <> 0 GROUP BY chunk_id""",
-    "chunk_vectors",
+       FROM edition_vectors WHERE val <> 0 GROUP BY chunk_id""",
+    "edition_vectors",
 )
 ORACLE["vector_topk"] = f"""
     SELECT q.vec_id AS question_id, c.vec_id AS chunk_id,
@@ -868,6 +869,48 @@ ORACLE["stream_editions"] = build(
        FROM judged_requests WHERE reason = ''""",
     "judged_requests",
 )
+ORACLE["stream_repeats"] = build(
+    """SELECT split, document_id, CASE WHEN length(text) % 2 = 1 THEN '1.3' ELSE '1.4' END AS version_label,
+         2::BIGINT AS jobs, 2::BIGINT AS attempts
+       FROM judged_requests, (VALUES ('one'), ('three')) s(split) WHERE reason = ''""",
+    "judged_requests",
+)
+cte(
+    "batched_requests",
+    ("judged_requests",),
+    """
+    SELECT *, length(text) % 2 = 0 AS even, length(text) % 3 = 0 AS third,
+      regexp_extract(text, '^[^.\\n]*') AS title
+    FROM judged_requests WHERE reason = ''""",
+)
+ORACLE["document_upsert"] = build(
+    """SELECT enterprise_id, document_id,
+         title || CASE WHEN length(title) > 200 THEN '' WHEN third THEN ' anew' WHEN even THEN ' again' ELSE '' END AS title,
+         'corpus://documents/' || doc_id AS source_uri, sha256('corpus://documents/' || doc_id) AS source_fingerprint,
+         CASE WHEN third THEN 'anew' WHEN even THEN 'again' ELSE '' END AS note,
+         CASE WHEN third OR even THEN 3 ELSE 2 END::BIGINT AS metadata_size, 0::BIGINT AS tenant_since
+       FROM batched_requests""",
+    "batched_requests",
+)
+ORACLE["version_refresh"] = build(
+    """SELECT document_id, 'v1' AS version_label, CASE WHEN third THEN 'superseded' ELSE 'active' END AS status,
+         round(CASE WHEN even THEN 0.5 ELSE source_authority END, 6) AS source_authority,
+         epoch_us(published_at) AS published_micros, even::BIGINT AS refreshed_in
+       FROM batched_requests
+       UNION ALL
+       SELECT document_id, 'v2', 'active', round(source_authority, 6), epoch_us(published_at), 2
+       FROM batched_requests WHERE third""",
+    "batched_requests",
+)
+ORACLE["request_attempts"] = build(
+    f"""SELECT document_id,
+         CASE WHEN reason <> '' THEN 'rejected' WHEN length(text) % 3 = 0 THEN 'completed' ELSE 'failed' END AS status,
+         2 + (length(text) % 3 = 0)::BIGINT AS attempts,
+         CASE WHEN reason <> '' THEN reason
+              WHEN length(text) % 3 <> 0 THEN 'embedding dimension must be {K.EMBEDDING_DIMENSION}, received 2' END AS last_error
+       FROM judged_requests""",
+    "judged_requests",
+)
 ORACLE["activate_versions"] = build(
     """
     SELECT enterprise_id, document_id, version_id, activation_seq::INT AS activation_seq,
@@ -926,15 +969,15 @@ cte(
     SELECT *, CASE route WHEN 'compute' THEN ['Classify', 'Claim validation']
         WHEN 'rag' THEN ['Classify', 'Scoped hybrid retrieval', 'RRF + rerank', 'Claim validation']
         ELSE ['Classify', 'Scoped hybrid retrieval', 'Claim validation'] END AS stages,
-      CASE route WHEN 'compute' THEN ['compute route', 'Typed deterministic computation completed']
-        WHEN 'rag' THEN ['rag route', n_retrieved || ' authorized candidates after threshold',
-          'Top ' || least(n_retrieved, {K.RERANK_TOP_K}) || ' candidates',
-          CASE WHEN n_claims > 0 THEN n_claims || ' supported claims'
-               ELSE 'No independently supported claims passed validation' END]
+      CASE route WHEN 'compute' THEN ['compute route', 'Computed']
+        WHEN 'rag' THEN ['rag route', n_retrieved || ' candidates passed the threshold',
+          'Best ' || least(n_retrieved, {K.RERANK_TOP_K}) || ' candidates',
+          CASE WHEN n_claims > 0 THEN n_claims || ' claims hold'
+               ELSE 'No claim holds' END]
         ELSE ['retrieve-then-compute route',
-          n_retrieved || ' authorized candidates after threshold',
-          CASE WHEN n_values > 0 THEN 'Computed from ' || n_values || ' retrieved values'
-               ELSE 'No numeric evidence could be computed safely' END] END AS details
+          n_retrieved || ' candidates passed the threshold',
+          CASE WHEN n_values > 0 THEN 'Made of ' || n_values || ' values found'
+               ELSE 'No values to compute with' END] END AS details
     FROM stamped""",
 )
 
@@ -1131,11 +1174,11 @@ ORACLE["definition_validation"] = f"""{GRAPH},
       FROM nodes GROUP BY id)
     SELECT o_orderkey AS definition_id, missing,
       CASE WHEN o_custkey % 25 + 28 NOT BETWEEN 30 AND 50 THEN 'rerankTopK must stay within 30-50'
-        WHEN missing IS NULL THEN 'at least one node is required'
-        WHEN twice.id IS NOT NULL THEN 'node IDs must be unique'
-        WHEN loose.id IS NOT NULL THEN 'edge references an unknown node'
-        WHEN missing <> '' THEN 'missing mandatory capabilities: ' || replace(missing, ',', ', ')
-        WHEN cyclic.id IS NOT NULL THEN 'graph cannot contain a cycle' END AS problem
+        WHEN missing IS NULL THEN 'no nodes'
+        WHEN twice.id IS NOT NULL THEN 'a node id repeats'
+        WHEN loose.id IS NOT NULL THEN 'an edge leads to no node'
+        WHEN missing <> '' THEN 'capabilities not covered: ' || replace(missing, ',', ', ')
+        WHEN cyclic.id IS NOT NULL THEN 'the edges form a cycle' END AS problem
     FROM orders LEFT JOIN lacking ON lacking.id = o_orderkey LEFT JOIN twice ON twice.id = o_orderkey
     LEFT JOIN loose ON loose.id = o_orderkey LEFT JOIN cyclic ON cyclic.id = o_orderkey"""
 ORACLE["definition_hash"] = f"""{GRAPH},

@@ -7,7 +7,7 @@ from fixture_corpus import ONE, RETENTION, RETENTION_VERSIONS, requests
 from proofweave.operators import definitions, evaluation, versions
 from proofweave.plans import ingestion
 from proofweave.sources import tables as T
-from proofweave.sources.requests import REQUEST_SCHEMA, enqueue, with_defaults
+from proofweave.sources.keyed import KeyedTable, latest
 from proofweave.sources.tables import TableLayout
 from proofweave.sources.text_files import read_text_files
 from proofweave.streaming import ingest as streaming
@@ -60,11 +60,6 @@ def test_stream_takes_each_request_once_and_keeps_bad_ones_aside(spark, tmp_path
     assert len(rejected) == 2 and all("blank content" in r.reason for r in rejected)
 
 
-def test_repeated_requests_are_one_job(spark):
-    twice = with_defaults(requests(spark).select(*REQUEST_SCHEMA.names))
-    assert enqueue(twice.union(twice)).count() == 7
-
-
 def test_document_sharing_a_source_is_reported(spark):
     other = list(RETENTION_VERSIONS[0])
     other[1] = "10000000-0000-0000-0000-0000000000ff"
@@ -72,15 +67,42 @@ def test_document_sharing_a_source_is_reported(spark):
     assert [(r.enterprise_id, r.documents) for r in shared.collect()] == [(ONE, 2)]
 
 
-def test_registering_versions_keeps_active_ones_active(spark):
-    columns = "enterprise_id string, document_id string, version_hash string, version_label string, status string"
-    current = spark.createDataFrame([("t", "d", "h1", "old", "active"), ("t", "d", "h2", "x", "superseded")], columns)
-    incoming = spark.createDataFrame(
-        [("t", "d", "h1", "new"), ("t", "d", "h2", "x"), ("t", "d", "h3", "y")],
-        "enterprise_id string, document_id string, version_hash string, version_label string",
-    )
-    got = {r.version_hash: (r.version_label, r.status) for r in versions.begin_versions(current, incoming).collect()}
-    assert got == {"h1": ("new", "active"), "h2": ("x", "processing"), "h3": ("y", "processing")}
+def test_any_split_of_a_sequence_gives_one_result(spark, tmp_path):
+    """1.3, 1.4 and 1.3 again: the repeat is no second job, wherever batches end."""
+    both = {r.version_label: r for r in requests(spark).filter(F.col("title") == RETENTION).collect()}
+    schema = requests(spark).schema
+    sequence = [{**both[label].asDict(), "activation_seq": i} for i, label in enumerate(("1.3", "1.4", "1.3", "1.4", "1.3"))]
+    shown = []
+    for i, cuts in enumerate(([5], [1, 1, 1, 1, 1], [2, 3], [1, 4])):
+        layout, at = TableLayout(str(tmp_path / str(i))), 0
+        for batch_id, size in enumerate(cuts):
+            batch = [tuple(r[n] for n in schema.names) for r in sequence[at : at + size]]
+            ingestion.ingest_batch(spark.createDataFrame(batch, schema), layout, batch_id, skip_known_jobs=True)
+            at += size
+        active = {r.version_label for r in layout.active_chunks(spark).collect()}
+        jobs = sorted((r.status, r.attempts) for r in layout.keyed(T.JOBS).read(spark).collect())
+        status = {r.version_label: r.status for r in layout.registered_versions(spark).collect()}
+        shown.append((active, jobs, status))
+    assert shown == [({"1.4"}, [("completed", 1)] * 2, {"1.3": "superseded", "1.4": "active"})] * 4
+
+
+def test_keyed_table_rewrites_touched_buckets_only(spark, tmp_path):
+    table = KeyedTable(str(tmp_path / "t"), ("k",), 8)
+    newest = latest(("k",), "n")
+
+    def rows(*values):
+        return spark.createDataFrame(values, "k string, n long, v string")
+
+    assert table.read(spark) is None and table.held(rows(("a", 0, "x"))) is None
+    table.merge(rows(*((c, 0, "old") for c in "abcdefgh"), (None, 0, "none")), 0, newest)
+    before = table._folders(spark)
+    table.merge(rows(("a", 1, "new"), ("z", 1, "new")), 1, newest)
+    assert sum(before.get(b) != f for b, f in table._folders(spark).items()) <= 2
+    table.merge(rows(("a", 1, "again")), 1, newest)  # a repeat replaces its merge
+    got = {r.k: r.v for r in table.read(spark).collect()}
+    assert got == {None: "none", **dict.fromkeys("bcdefgh", "old"), "a": "again"}
+    table.merge(rows(), 2, newest)
+    assert table.read(spark).count() == 9
 
 
 def test_promotion_gates(spark):
