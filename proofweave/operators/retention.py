@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from proofweave import constants as K
+from proofweave.operators.sizing import materialize
+from proofweave.sources.dated import DatedTable
 
 
 def raw_content_expired(as_of: dt.datetime) -> Column:
@@ -53,3 +55,40 @@ def unlink_audit(audit: DataFrame, surviving: DataFrame) -> DataFrame:
         .withColumn("trace_memory_id", F.when(F.col("trace_survives"), F.col("trace_memory_id")))
         .drop("trace_survives")
     )
+
+
+def redact_stored(
+    spark: SparkSession, traces: DatedTable, as_of: dt.datetime, number: int, strict: bool = False
+) -> int:
+    """Redact a stored table in place; the count of rewritten days, 0 if run again."""
+    return traces.change(
+        spark,
+        lambda rows: rows.filter(raw_content_expired(as_of)),
+        lambda rows: redact(rows, as_of, strict).drop("was_redacted"),
+        number,
+    )
+
+
+def purge_stored(
+    spark: SparkSession, traces: DatedTable, audit: DatedTable, as_of: dt.datetime, number: int
+) -> int:
+    """Purge expired traces in place and clear the pointers of their audit rows.
+
+    Pointers go first, so a run that is cut off between the two tables still
+    finds its traces expired and repeats the rest. Returns rewritten days.
+    """
+    held = traces.read(spark)
+    if held is None:
+        return 0
+    gone = held.filter(F.col("expires_at") <= F.lit(as_of)).select(F.col("trace_id").alias("trace_memory_id"))
+    gone = materialize(gone, "purged")
+
+    def unlinked(rows: DataFrame) -> DataFrame:
+        marked = rows.join(gone.withColumn("is_gone", F.lit(True)), "trace_memory_id", "left")
+        pointer = F.when(F.col("is_gone").isNull(), F.col("trace_memory_id"))
+        return marked.withColumn("trace_memory_id", pointer).select(*rows.columns)
+
+    days = audit.change(spark, lambda rows: rows.join(gone, "trace_memory_id", "left_semi"), unlinked, number)
+    return days + traces.change(
+        spark, lambda rows: rows.filter(F.col("expires_at") <= F.lit(as_of)), lambda rows: purge(rows, as_of), number
+    )

@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, functions as F
 
 from proofweave.session import ensure_checkpoint_dir
@@ -41,3 +44,14 @@ def spread(frame: DataFrame, *keys: str) -> DataFrame:
     cores = frame.sparkSession.sparkContext.defaultParallelism
     filled = frame.select(F.spark_partition_id().alias("p")).distinct().limit(cores).count()
     return frame.repartition(cores, *keys) if filled < cores else frame
+
+
+def together(*actions: Callable[[], None]) -> None:
+    """Run independent Spark actions at once, so that small jobs share the cores.
+
+    Returns when all have ended; the first failure is raised then.
+    """
+    with ThreadPoolExecutor(len(actions)) as pool:
+        running = [pool.submit(inheritable_thread_target(action)) for action in actions]
+    for action in running:
+        action.result()

@@ -31,6 +31,8 @@ from proofweave.plans import ingestion, retrieval
 from proofweave.registry import bindings as B
 from proofweave.session import ensure_checkpoint_dir
 from proofweave.sources import requests as requests_source
+from proofweave.sources.dated import DatedTable
+from proofweave.sources.keyed import latest
 from proofweave.sources.questions import question_problems
 from proofweave.sources.tables import DOCUMENTS, ENTERPRISES, JOBS, VERSIONS, TableLayout
 from proofweave.sources.text_files import read_text_files
@@ -543,6 +545,36 @@ def purge_traces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retention.unlink_audit(audit, retention.purge(all_traces, PURGED_AT))
 
 
+STORED_REDACTED_AT = dt.datetime(2024, 2, 24, tzinfo=dt.timezone.utc)
+
+
+@query
+def stored_retention(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Audit rows with their traces, both stored in two batches, then redacted and purged twice."""
+    root = f"{ensure_checkpoint_dir(spark)}/proofweave/traces-{uuid.uuid4().hex}"
+    stored = DatedTable(f"{root}/trace", ("trace_id",))
+    audit = DatedTable(f"{root}/audit", ("trace_identifier_hash",))
+    made = B.event_traces(spark, sf_dir)
+    early = F.col("created_at") < F.lit(dt.datetime(2024, 1, 20, tzinfo=dt.timezone.utc))
+    for number, batch in enumerate((made.filter(early), made.filter(~early))):
+        stored.merge(batch, number, latest(stored.keys, "created_at"))
+        facts = batch.select(
+            ids.trace_identifier_hash(F.col("trace_id")).alias("trace_identifier_hash"),
+            F.col("trace_id").alias("trace_memory_id"),
+            F.col("payload.evidence_status").alias("outcome"),
+            (F.col("created_at") + F.make_dt_interval(days=F.lit(K.AUDIT_DAYS))).alias("expires_at"),
+        )
+        audit.merge(facts, number, latest(audit.keys, "expires_at"))
+    for number in (2, 4):
+        retention.redact_stored(spark, stored, STORED_REDACTED_AT, number)
+        retention.purge_stored(spark, stored, audit, PURGED_AT, number + 1)
+    shown = stored.read(spark).select(
+        F.col("trace_id").alias("trace_memory_id"), "raw_query", "raw_response",
+        F.col("payload.model_inputs.raw_query").alias("model_input"),
+    )
+    return audit.read(spark).drop("expires_at").join(shown, "trace_memory_id", "left")
+
+
 # --- evaluation ----------------------------------------------------------------------
 def _tenant_runs(spark: SparkSession, sf_dir: str, chunks: DataFrame) -> DataFrame:
     """One evaluation run per tenant over the known-item questions, judged by ``chunks``."""

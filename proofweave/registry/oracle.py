@@ -1046,6 +1046,15 @@ ORACLE["purge_traces"] = f"""
       sha256({raw_uuid('trace_id')}) AS trace_identifier_hash, enterprise_id, event_type AS outcome
     FROM (SELECT *, {text_uuid("'event:' || event_id")} AS trace_id,
             {text_uuid("'tenant:' || (user_id % 10)")} AS enterprise_id FROM events)"""
+ORACLE["stored_retention"] = f"""
+    SELECT CASE WHEN live THEN trace_id END AS trace_memory_id,
+      sha256({raw_uuid('trace_id')}) AS trace_identifier_hash, event_type AS outcome,
+      CASE WHEN live AND old THEN '[expired]' WHEN live THEN event_type || ' ' || props END AS raw_query,
+      CASE WHEN live AND NOT old THEN printf('%.2f', value) END AS raw_response,
+      CASE WHEN live AND NOT old THEN props END AS model_input
+    FROM (SELECT *, {text_uuid("'event:' || event_id")} AS trace_id,
+            ts + to_days(90) > TIMESTAMP '2024-04-15' AS live,
+            ts + to_days(30) <= TIMESTAMP '2024-02-24' AS old FROM events)"""
 
 # --- evaluation ------------------------------------------------------------------------
 cte(

@@ -1,12 +1,14 @@
+import datetime as dt
 import json
 
 import pytest
 from pyspark.sql import functions as F
 
 from fixture_corpus import ONE, RETENTION, RETENTION_VERSIONS, requests
-from proofweave.operators import definitions, evaluation, versions
+from proofweave.operators import definitions, evaluation, retention, versions
 from proofweave.plans import ingestion
 from proofweave.sources import tables as T
+from proofweave.sources.dated import DatedTable
 from proofweave.sources.keyed import KeyedTable, latest
 from proofweave.sources.tables import TableLayout
 from proofweave.sources.text_files import read_text_files
@@ -181,3 +183,40 @@ def test_metadata_survives_json(spark, tmp_path):
     requests(spark).drop("activation_seq").coalesce(1).write.json(str(tmp_path / "r"))
     line = json.loads(next((tmp_path / "r").glob("*.json")).read_text().splitlines()[0])
     assert line["metadata"] == {"fixture": "true"}
+
+
+def test_stored_traces_rewrite_only_days_with_work(spark, tmp_path):
+    def at(day, hour=0):
+        return dt.datetime(2024, 1, day, hour, tzinfo=dt.timezone.utc)
+
+    schema = (
+        "trace_id string, raw_query string, raw_response string, payload struct<model_inputs: string>, "
+        "raw_content_expires_at timestamp, expires_at timestamp"
+    )
+    rows = [
+        ("a", "q a", "r", ("m",), at(2), at(10, 3)), ("b", "q b", "r", ("m",), at(9), at(10, 9)),
+        ("c", "q c", "r", ("m",), at(9), at(20)), ("d", "q d", "r", ("m",), None, None),
+    ]
+    traces = DatedTable(str(tmp_path / "trace"), ("trace_id",))
+    audit = DatedTable(str(tmp_path / "audit"), ("audit_id",))
+    assert retention.redact_stored(spark, traces, at(5), 0) == 0
+    traces.merge(spark.createDataFrame(rows, schema), 0, latest(traces.keys, "raw_query"))
+    pointers = [("x" + r[0], r[0], at(25)) for r in rows] + [("xe", None, at(26))]
+    facts = spark.createDataFrame(pointers, "audit_id string, trace_memory_id string, expires_at timestamp")
+    audit.merge(facts, 0, latest(audit.keys, "expires_at"))
+    before = traces._folders(spark)
+
+    assert [retention.redact_stored(spark, traces, at(5), n) for n in (1, 2)] == [1, 0]
+    after = traces._folders(spark)
+    assert len(before) == 3 and sum(before[b] != after[b] for b in before) == 1
+    shown = {r.trace_id: (r.raw_query, r.raw_response, r.payload.model_inputs) for r in traces.read(spark).collect()}
+    assert shown.pop("a") == ("[expired]", None, None)
+    assert shown == {k: (f"q {k}", "r", "m") for k in "bcd"}
+
+    # The tenth day keeps the trace that expires later on it; then it leaves the table.
+    assert [retention.purge_stored(spark, traces, audit, at(10, 3), n) for n in (3, 4)] == [2, 0]
+    assert sorted(r.trace_id for r in traces.read(spark).collect()) == ["b", "c", "d"]
+    assert retention.purge_stored(spark, traces, audit, at(11), 5) == 2
+    assert set(traces._folders(spark)) == set(before) - {min(b for b in before if b > 0)}
+    left = {r.audit_id: r.trace_memory_id for r in audit.read(spark).collect()}
+    assert left == {"xa": None, "xb": None, "xc": "c", "xd": "d", "xe": None}
