@@ -138,6 +138,15 @@ CAPABILITIES = (
     "reranking",
     "generation",
 )
+NAME_LENGTH = 160
+# Most characters of a node's fields; None: no upper bound. All need one or more.
+NODE_FIELD_LENGTHS = {
+    "node_id": 80,
+    "component_type": 120,
+    "component_version": 80,
+    "input_schema": None,
+    "output_schema": None,
+}
 
 # --- promotion gates --------------------------------------------------------
 GATE_RECALL_AT_10 = 0.90

@@ -369,53 +369,72 @@ def event_traces(spark: SparkSession, sf_dir: str) -> DataFrame:
 def graph_definitions(
     spark: SparkSession, sf_dir: str
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Orders as component graphs: line items are nodes, linked in line order."""
+    """Orders as component graphs: line items are nodes, linked in line order.
+
+    Nodes are numbered by place, in every eighth order by line number, which
+    repeats. Some parts and suppliers break a bound each.
+    """
     lines = table(spark, sf_dir, "lineitem")
     orders = table(spark, sf_dir, "orders")
     in_order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
-    numbered = lines.withColumns(
-        {
-            "position": F.row_number().over(in_order),
-            "following": F.lead("l_linenumber").over(in_order),
-            "opening": F.first("l_linenumber").over(in_order),
-        }
+    placed = lines.withColumn("position", F.row_number().over(in_order)).withColumn(
+        "number", F.when(F.col("l_orderkey") % 8 == 0, F.col("l_linenumber")).otherwise(F.col("position"))
+    )
+    numbered = placed.withColumns(
+        {"following": F.lead("number").over(in_order), "opening": F.first("number").over(in_order)}
     )
 
     def node(number: Column) -> Column:
         return F.concat(F.lit("n"), number.cast("string"))
 
+    def every(column: str, count: int) -> Column:
+        return F.col(column) % count == 0
+
     by_flag = F.when(F.col("l_returnflag") == "A", "authorization").when(
         F.col("l_returnflag") == "N", "provenance"
     ).otherwise("audit")
-    by_status = F.when(F.col("l_linestatus") == "O", "claim-validation").otherwise("retrieval")
+    by_status = (
+        F.when(every("l_suppkey", 97), "telemetry")
+        .when(F.col("l_linestatus") == "O", "claim-validation")
+        .otherwise("retrieval")
+    )
+    mandatory = F.array(*[F.lit(name) for name in K.MANDATORY_CAPABILITIES])
     nodes = numbered.select(
         F.col("l_orderkey").alias("definition_id"),
-        node(F.col("l_linenumber")).alias("node_id"),
+        node(F.col("number")).alias("node_id"),
         "position",
-        F.concat(F.lit("part-"), F.col("l_partkey").cast("string")).alias("component_type"),
-        F.lit("1.0.0").alias("component_version"),
-        F.array(by_flag, by_status).alias("capabilities"),
+        F.concat(
+            F.lit("part-"), F.col("l_partkey").cast("string"),
+            F.when(every("l_partkey", 107), F.lit("x" * 120)).otherwise(""),
+        ).alias("component_type"),
+        F.when(every("l_partkey", 101), "").otherwise("1.0.0").alias("component_version"),
+        F.when((F.col("l_orderkey") % 4 == 1) & (F.col("position") == 1), mandatory)
+        .otherwise(F.array(by_flag, by_status)).alias("capabilities"),
         F.when(F.col("l_discount") > 0.02, F.create_map(
             F.lit("flag"), F.col("l_returnflag"),
             F.lit("at"), F.col("l_suppkey").cast("string"),
         )).alias("config"),
         F.lit("rows").alias("input_schema"),
-        F.lit("rows").alias("output_schema"),
-    )
+        F.when(every("l_partkey", 103), "").otherwise("rows").alias("output_schema"),
+    )
     target = (
-        F.when((F.col("l_returnflag") == "R") & (F.col("l_discount") > 0.05), node(F.col("opening")))
-        .when(F.col("l_tax") > 0.075, F.lit("n0"))
-        .when(F.col("following") != F.col("l_linenumber"), node(F.col("following")))
+        F.when(every("l_partkey", 109), "")
+        .when((F.col("l_returnflag") == "R") & (F.col("l_discount") > 0.05), node(F.col("opening")))
+        .when((F.col("l_tax") > 0.075) & (F.col("l_discount") < 0.025), F.lit("n0"))
+        .when(F.col("following") != F.col("number"), node(F.col("following")))
     )
     edges = numbered.select(
         F.col("l_orderkey").alias("definition_id"),
-        node(F.col("l_linenumber")).alias("source_node_id"),
+        node(F.col("number")).alias("source_node_id"),
         target.alias("target_node_id"),
         "position",
     ).filter(F.col("target_node_id").isNotNull())
     definitions = orders.select(
         F.col("o_orderkey").alias("definition_id"),
-        F.concat(F.lit("order "), F.col("o_orderkey").cast("string")).alias("name"),
+        F.concat(
+            F.lit("order "), F.col("o_orderkey").cast("string"),
+            F.when(every("o_custkey", 53), F.lit("x" * 160)).otherwise(""),
+        ).alias("name"),
         (F.col("o_custkey") % 25 + 28).cast("int").alias("rerank_top_k"),
     )
     return definitions, nodes, edges

@@ -1142,26 +1142,44 @@ ORACLE["stale_evidence_gates"] = gates("stale_chunks")
 
 # --- definitions --------------------------------------------------------------------------
 GRAPH = """
-    WITH RECURSIVE numbered AS (
-      SELECT *, row_number() OVER w AS position, lead(l_linenumber) OVER w AS following,
-        first_value(l_linenumber) OVER w AS opening
-      FROM lineitem WINDOW w AS (PARTITION BY l_orderkey
-                                 ORDER BY l_linenumber, l_partkey, l_suppkey)),
+    WITH RECURSIVE placed AS (
+      SELECT *, row_number() OVER (PARTITION BY l_orderkey
+                                   ORDER BY l_linenumber, l_partkey, l_suppkey) AS position
+      FROM lineitem),
+    counted AS (
+      SELECT *, CASE WHEN l_orderkey % 8 = 0 THEN l_linenumber ELSE position END AS number
+      FROM placed),
+    numbered AS (
+      SELECT *, lead(number) OVER w AS following, first_value(number) OVER w AS opening
+      FROM counted WINDOW w AS (PARTITION BY l_orderkey ORDER BY position)),
     nodes AS (
-      SELECT l_orderkey AS id, 'n' || l_linenumber AS node, position, 'part-' || l_partkey AS part,
-        CASE l_returnflag WHEN 'A' THEN 'authorization' WHEN 'N' THEN 'provenance' ELSE 'audit' END
-          AS cap1,
-        CASE l_linestatus WHEN 'O' THEN 'claim-validation' ELSE 'retrieval' END AS cap2,
+      SELECT l_orderkey AS id, 'n' || number AS node, position,
+        'part-' || l_partkey || CASE WHEN l_partkey % 107 = 0 THEN repeat('x', 120) ELSE '' END
+          AS part,
+        CASE WHEN l_partkey % 101 = 0 THEN '' ELSE '1.0.0' END AS version,
+        CASE WHEN l_partkey % 103 = 0 THEN '' ELSE 'rows' END AS produced,
+        CASE WHEN l_orderkey % 4 = 1 AND position = 1
+          THEN ['audit', 'authorization', 'claim-validation', 'provenance']
+          ELSE [CASE l_returnflag WHEN 'A' THEN 'authorization' WHEN 'N' THEN 'provenance'
+                  ELSE 'audit' END,
+                CASE WHEN l_suppkey % 97 = 0 THEN 'telemetry'
+                  WHEN l_linestatus = 'O' THEN 'claim-validation' ELSE 'retrieval' END] END AS caps,
         CASE WHEN l_discount > 0.02 THEN '"at":"' || l_suppkey || '","flag":"' || l_returnflag || '"'
              ELSE '' END AS config
       FROM numbered),
     edges AS (
       SELECT * FROM (
-        SELECT l_orderkey AS id, 'n' || l_linenumber AS src, position,
-          CASE WHEN l_returnflag = 'R' AND l_discount > 0.05 THEN 'n' || opening
-               WHEN l_tax > 0.075 THEN 'n0'
-               WHEN following <> l_linenumber THEN 'n' || following END AS dst
-        FROM numbered) WHERE dst IS NOT NULL)"""
+        SELECT l_orderkey AS id, 'n' || number AS src, position,
+          CASE WHEN l_partkey % 109 = 0 THEN ''
+               WHEN l_returnflag = 'R' AND l_discount > 0.05 THEN 'n' || opening
+               WHEN l_tax > 0.075 AND l_discount < 0.025 THEN 'n0'
+               WHEN following <> number THEN 'n' || following END AS dst
+        FROM numbered) WHERE dst IS NOT NULL),
+    named AS (
+      SELECT o_orderkey AS id, o_custkey % 25 + 28 AS top_k,
+        'order ' || o_orderkey || CASE WHEN o_custkey % 53 = 0 THEN repeat('x', 160) ELSE '' END
+          AS name
+      FROM orders)"""
 ORACLE["definition_validation"] = f"""{GRAPH},
     counts AS (SELECT id, count(DISTINCT node) + 1 AS n FROM nodes GROUP BY id),
     walks AS (
@@ -1174,34 +1192,47 @@ ORACLE["definition_validation"] = f"""{GRAPH},
     loose AS (
       SELECT DISTINCT e.id FROM (SELECT id, src AS node FROM edges UNION SELECT id, dst FROM edges) e
       WHERE NOT EXISTS (SELECT 1 FROM nodes n WHERE n.id = e.id AND n.node = e.node)),
+    blank AS (SELECT DISTINCT id FROM edges WHERE dst = ''),
     lacking AS (
-      SELECT id, concat_ws(',',
-          CASE WHEN NOT bool_or(cap1 = 'audit') THEN 'audit' END,
-          CASE WHEN NOT bool_or(cap1 = 'authorization') THEN 'authorization' END,
-          CASE WHEN NOT bool_or(cap2 = 'claim-validation') THEN 'claim-validation' END,
-          CASE WHEN NOT bool_or(cap1 = 'provenance') THEN 'provenance' END) AS missing
+      SELECT id, bool_or(length(part) > 120) AS long_type, bool_or(version = '') AS no_version,
+        bool_or(produced = '') AS no_output, bool_or(list_contains(caps, 'telemetry')) AS unknown,
+        concat_ws(',',
+          CASE WHEN NOT bool_or(list_contains(caps, 'audit')) THEN 'audit' END,
+          CASE WHEN NOT bool_or(list_contains(caps, 'authorization')) THEN 'authorization' END,
+          CASE WHEN NOT bool_or(list_contains(caps, 'claim-validation'))
+            THEN 'claim-validation' END,
+          CASE WHEN NOT bool_or(list_contains(caps, 'provenance')) THEN 'provenance' END) AS missing
       FROM nodes GROUP BY id)
-    SELECT o_orderkey AS definition_id, missing,
-      CASE WHEN o_custkey % 25 + 28 NOT BETWEEN 30 AND 50 THEN 'rerankTopK must stay within 30-50'
+    SELECT named.id AS definition_id, missing,
+      CASE WHEN length(name) > 160 THEN 'name must have 1-160 characters'
+        WHEN top_k NOT BETWEEN 30 AND 50 THEN 'rerankTopK must stay within 30-50'
         WHEN missing IS NULL THEN 'no nodes'
+        WHEN long_type THEN 'a node''s component_type must have 1-120 characters'
+        WHEN no_version THEN 'a node''s component_version must have 1-80 characters'
+        WHEN no_output THEN 'a node''s output_schema must have at least 1 character'
+        WHEN unknown THEN 'a node has an unknown capability'
+        WHEN blank.id IS NOT NULL
+          THEN 'an edge''s target_node_id must have at least 1 character'
         WHEN twice.id IS NOT NULL THEN 'a node id repeats'
         WHEN loose.id IS NOT NULL THEN 'an edge leads to no node'
         WHEN missing <> '' THEN 'capabilities not covered: ' || replace(missing, ',', ', ')
         WHEN cyclic.id IS NOT NULL THEN 'the edges form a cycle' END AS problem
-    FROM orders LEFT JOIN lacking ON lacking.id = o_orderkey LEFT JOIN twice ON twice.id = o_orderkey
-    LEFT JOIN loose ON loose.id = o_orderkey LEFT JOIN cyclic ON cyclic.id = o_orderkey"""
+    FROM named LEFT JOIN lacking ON lacking.id = named.id LEFT JOIN twice ON twice.id = named.id
+    LEFT JOIN blank ON blank.id = named.id LEFT JOIN loose ON loose.id = named.id
+    LEFT JOIN cyclic ON cyclic.id = named.id"""
 ORACLE["definition_hash"] = f"""{GRAPH},
-    n AS (SELECT id, string_agg('{{"capabilities":["' || least(cap1, cap2) || '","'
-        || greatest(cap1, cap2) || '"],"componentType":"' || part
-        || '","componentVersion":"1.0.0","config":{{' || config || '}},"id":"' || node
-        || '","inputSchema":"rows","outputSchema":"rows"}}', ',' ORDER BY position) AS body
+    n AS (SELECT id, string_agg('{{"capabilities":["' || array_to_string(list_sort(caps), '","')
+        || '"],"componentType":"' || part || '","componentVersion":"' || version
+        || '","config":{{' || config || '}},"id":"' || node
+        || '","inputSchema":"rows","outputSchema":"' || produced || '"}}', ',' ORDER BY position)
+        AS body
       FROM nodes GROUP BY id),
     e AS (SELECT id, string_agg('{{"sourceNodeId":"' || src || '","targetNodeId":"' || dst || '"}}',
         ',' ORDER BY position) AS body FROM edges GROUP BY id)
-    SELECT o_orderkey AS definition_id, sha256('{{"edges":[' || coalesce(e.body, '')
-      || '],"name":"order ' || o_orderkey || '","nodes":[' || coalesce(n.body, '')
-      || '],"rerankTopK":' || (o_custkey % 25 + 28) || '}}') AS definition_hash
-    FROM orders LEFT JOIN n ON n.id = o_orderkey LEFT JOIN e ON e.id = o_orderkey"""
+    SELECT named.id AS definition_id, sha256('{{"edges":[' || coalesce(e.body, '')
+      || '],"name":"' || name || '","nodes":[' || coalesce(n.body, '')
+      || '],"rerankTopK":' || top_k || '}}') AS definition_hash
+    FROM named LEFT JOIN n ON n.id = named.id LEFT JOIN e ON e.id = named.id"""
 ORACLE["text_files"] = f"""
     SELECT doc_id, {normalize('text')} AS normalized, 'plain-text' AS parser_name,
       '1.0.0' AS parser_version

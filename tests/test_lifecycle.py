@@ -1,5 +1,6 @@
 import datetime as dt
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -158,16 +159,46 @@ def test_graph_definitions(spark):
     made = spark.createDataFrame([(n, n, 60 if n == "topk" else 40) for n in names], "definition_id string, name string, rerank_top_k int")
     nodes = [(d, n, every) for d in names if d != "none" for n in ("a", "b", "c")]
     nodes = [(d, n, [] if d == "lacking" and n else c) for d, n, c in nodes] + [("twice", "a", every)]
-    node_frame = spark.createDataFrame(nodes, "definition_id string, node_id string, capabilities array<string>")
+    def fields(type_="t", version="1", given="rows", made="rows"):
+        return type_, version, given, made
+
+    nodes = [(*n, *fields()) for n in nodes]
+    odd = {"long_id": ("n" * 81, every, *fields()), "long_type": ("a", every, *fields("t" * 121)),
+           "no_version": ("a", every, *fields(version=None)), "no_input": ("a", every, *fields(given="")),
+           "unknown": ("a", [*every, "telemetry"], *fields()), "no_target": ("a", every, *fields()),
+           "widest": ("n" * 80, every, *fields("t" * 120, "v" * 80))}
+    nodes += [(d, *n) for d, n in odd.items()]
+    made = made.union(spark.createDataFrame([(d, d, 40) for d in odd] + [("", "", 40)], made.schema))
+    node_frame = spark.createDataFrame(
+        nodes, "definition_id string, node_id string, capabilities array<string>, component_type string,"
+        " component_version string, input_schema string, output_schema string")
     edges = [(d, "a", "b") for d in names if d != "none"] + [
-        ("ok", "b", "c"), ("cycle", "b", "c"), ("cycle", "c", "b"), ("self", "c", "c"), ("loose", "b", "z")]
+        ("ok", "b", "c"), ("cycle", "b", "c"), ("cycle", "c", "b"), ("self", "c", "c"), ("loose", "b", "z"),
+        ("no_target", "a", "")]
     edge_frame = spark.createDataFrame(edges, "definition_id string, source_node_id string, target_node_id string")
     got = {r.definition_id: r.problem for r in definitions.validate_definitions(made, node_frame, edge_frame).collect()}
-    assert got["ok"] is None
+    assert got["ok"] is None and got["widest"] is None
     assert "cycle" in got["cycle"] and "cycle" in got["self"]
-    assert "unknown node" in got["loose"] and "unique" in got["twice"]
+    assert "no node" in got["loose"] and "repeats" in got["twice"]
     assert got["lacking"].endswith("audit, authorization, claim-validation, provenance")
-    assert "at least one node" in got["none"] and "rerankTopK" in got["topk"]
+    assert got["none"] == "no nodes" and "rerankTopK" in got["topk"] and "name" in got[""]
+    for name, field in [("long_id", "node_id"), ("long_type", "component_type"), ("no_version", "component_version"),
+                        ("no_input", "input_schema"), ("unknown", "capability"), ("no_target", "target_node_id")]:
+        assert field in got[name]
+
+
+def test_cycles_against_walks():
+    rng = random.Random(5)
+    for _ in range(300):
+        size = rng.randint(1, 7)
+        edges = [(rng.randrange(size), rng.randrange(size)) for _ in range(rng.randint(0, 8))]
+        reached = set(edges)
+        for _ in range(size):
+            reached |= {(a, d) for a, b in reached for c, d in edges if b == c}
+        assert definitions.has_cycle([a for a, _ in edges], [b for _, b in edges]) == any(a == b for a, b in reached)
+    chain = range(100_000)
+    assert not definitions.has_cycle(chain, range(1, 100_001))
+    assert definitions.has_cycle(chain, [*range(1, 100_000), 0])
 
 
 def test_text_files(spark, tmp_path):
