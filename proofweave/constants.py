@@ -106,6 +106,79 @@ ENGLISH_STOP_WORDS = tuple(
     """.split()
 )
 
+# --- English word forms -------------------------------------------------------
+# The suffixes, regions and exceptions of the published Porter2
+# algorithm. Rules: suffix, replacement, region it must lie in, letters before it.
+STEM_VOWEL = "[aeiouy]"
+STEM_PREFIX = "^(gener|commun|arsen)"
+STEM_REGION = "^[^aeiouy]*[aeiouy]+[^aeiouy]"
+STEM_SHORT = "(^[aeiouy][^aeiouy]|[^aeiouy][aeiouy][^aeiouywxY])$"
+STEM_DOUBLE = "(bb|dd|ff|gg|mm|nn|pp|rr|tt)$"
+STEM_VERB = "^(.*?)(ingly|edly|ing|ed)$"
+STEM_STEP_2 = (
+    ("tional", "tion", 1, ""),
+    ("enci", "ence", 1, ""),
+    ("anci", "ance", 1, ""),
+    ("abli", "able", 1, ""),
+    ("entli", "ent", 1, ""),
+    ("izer", "ize", 1, ""),
+    ("ization", "ize", 1, ""),
+    ("ational", "ate", 1, ""),
+    ("ation", "ate", 1, ""),
+    ("ator", "ate", 1, ""),
+    ("alism", "al", 1, ""),
+    ("aliti", "al", 1, ""),
+    ("alli", "al", 1, ""),
+    ("fulness", "ful", 1, ""),
+    ("ousli", "ous", 1, ""),
+    ("ousness", "ous", 1, ""),
+    ("iveness", "ive", 1, ""),
+    ("iviti", "ive", 1, ""),
+    ("biliti", "ble", 1, ""),
+    ("bli", "ble", 1, ""),
+    ("ogi", "og", 1, "l"),
+    ("fulli", "ful", 1, ""),
+    ("lessli", "less", 1, ""),
+    ("li", "", 1, "cdeghkmnrt"),
+)
+STEM_STEP_3 = (
+    ("tional", "tion", 1, ""),
+    ("ational", "ate", 1, ""),
+    ("alize", "al", 1, ""),
+    ("icate", "ic", 1, ""),
+    ("iciti", "ic", 1, ""),
+    ("ical", "ic", 1, ""),
+    ("ful", "", 1, ""),
+    ("ness", "", 1, ""),
+    ("ative", "", 2, ""),
+)
+STEM_STEP_4 = tuple(
+    (suffix, "", 2, "")
+    for suffix in "al ance ence er ic able ible ant ement ment ent ism ate iti ous ive ize".split()
+) + (("ion", "", 2, "st"),)
+STEM_EXCEPTIONS = (
+    ("skis", "ski"),
+    ("skies", "sky"),
+    ("dying", "die"),
+    ("lying", "lie"),
+    ("tying", "tie"),
+    ("idly", "idl"),
+    ("gently", "gentl"),
+    ("ugly", "ugli"),
+    ("early", "earli"),
+    ("only", "onli"),
+    ("singly", "singl"),
+    ("sky", "sky"),
+    ("news", "news"),
+    ("howe", "howe"),
+    ("atlas", "atlas"),
+    ("cosmos", "cosmos"),
+    ("bias", "bias"),
+    ("andes", "andes"),
+)
+# Words that are complete once a plural ending is off.
+STEM_COMPLETE = tuple("inning outing canning herring earring proceed exceed succeed".split())
+
 # --- answers ----------------------------------------------------------------
 TEXT_NO_NUMBERS = (
     "I found authorized evidence but not enough structured values to compute a result."

@@ -13,10 +13,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from proofweave import constants as K
-from proofweave.functions import text as tx
+from proofweave.functions import stems, text as tx
 from proofweave.operators.scope import may_see
+from proofweave.operators.sizing import broadcast_if_small, materialize
 
 SCORE_DECIMALS = 8
+# Words with another stem up to which they are broadcast: some 40 bytes each.
+VOCABULARY_ROWS = 1_000_000
 # A question may be tried in several forms (whole text, focused terms).
 ATTEMPT = ("question_id", "form")
 FULL, FOCUSED = "full", "focused"
@@ -64,6 +67,38 @@ def index_chunks(chunks: DataFrame) -> DataFrame:
     return placed.withColumn("terms", distinct)
 
 
+def _with_forms(rows: DataFrame, key: tuple[str, ...]) -> DataFrame:
+    """``rows`` with ``forms``: a map from those of their terms that have another stem.
+
+    Stems are made once per distinct word and joined to the distinct terms of a
+    row; positions take no part in that join.
+    """
+    held = rows.select(*key, F.explode("terms").alias("term"))
+    words = materialize(stems.stemmed(held.select("term").distinct()).filter("stem <> term"), "stems")
+    words = broadcast_if_small(words, VOCABULARY_ROWS)
+    entries = F.collect_list(F.struct("term", "stem"))
+    forms = held.join(words, "term").groupBy(*key).agg(F.map_from_entries(entries).alias("forms"))
+    return rows.join(forms, list(key), "left")
+
+
+def _stem_of(term: Column) -> Column:
+    return F.coalesce(F.try_element_at(F.col("forms"), term), term)
+
+
+def stem_index(index: DataFrame) -> DataFrame:
+    """Index rows with English stems as terms, at the positions of their words."""
+    placed = F.transform(
+        "lexemes", lambda item: F.struct(item["pos"].alias("pos"), _stem_of(item["term"]).alias("term"))
+    )
+    return _with_forms(index, ("chunk_id",)).select(
+        "chunk_id",
+        "enterprise_id",
+        "principals",
+        placed.alias("lexemes"),
+        F.array_distinct(F.transform("terms", _stem_of)).alias("terms"),
+    )
+
+
 def postings(index: DataFrame) -> DataFrame:
     """Distinct (tenant, term, chunk) rows, with who may see the chunk."""
     return index.select(
@@ -166,14 +201,20 @@ def _anchored(questions: DataFrame, counts: DataFrame) -> DataFrame:
     )
 
 
-def lexical_matches(questions: DataFrame, index: DataFrame) -> DataFrame:
+def lexical_matches(questions: DataFrame, index: DataFrame, stem: bool = False) -> DataFrame:
     """Every authorised (attempt, chunk) pair that matches all terms, scored.
 
     ``questions`` needs question_id, form, enterprise_id, principals, query_text.
+    With ``stem`` the index comes from ``stem_index``, and questions match it by
+    the stems of their terms.
     """
     asked = questions.select(
         *ATTEMPT, "enterprise_id", "principals", query_terms(F.col("query_text")).alias("terms")
     ).filter(F.size("terms") > 0)
+    if stem:
+        asked = _with_forms(asked, ATTEMPT).withColumn(
+            "terms", F.array_distinct(F.transform("terms", _stem_of))
+        ).drop("forms")
     anchored = _anchored(asked, term_counts(index)).withColumnRenamed("principals", "asked_principals")
 
     # One tenant's frequent term can hold a large share of the postings. The
@@ -216,7 +257,7 @@ def top_ranked(
 
 
 def lexical_top(
-    questions: DataFrame, index: DataFrame, limit: int = K.CANDIDATE_LIMIT
+    questions: DataFrame, index: DataFrame, limit: int = K.CANDIDATE_LIMIT, stem: bool = False
 ) -> DataFrame:
     """question_id, form, chunk_id, score, lex_rank."""
-    return top_ranked(lexical_matches(questions, index), limit, "lex_rank")
+    return top_ranked(lexical_matches(questions, index, stem), limit, "lex_rank")

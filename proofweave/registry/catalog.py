@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from proofweave.functions import identity as ids
 from proofweave.functions.embedding import with_embedding
 from proofweave import constants as K
-from proofweave.functions import text as tx
+from proofweave.functions import stems, text as tx
 from proofweave.operators import (
     answers,
     chunking,
@@ -140,6 +140,21 @@ def lexical_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.lexical_top(tried, index)
 
 
+@query
+def lexical_stemmed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Questions find other forms of their words: 'retained' finds 'retains'."""
+    _, index = B.corpus(spark, sf_dir)
+    tried = retrieval.attempts(B.corrected_questions(spark, sf_dir))
+    return lexical.lexical_top(tried, lexical.stem_index(index), stem=True)
+
+
+@query
+def word_stems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stem of every word of the documents."""
+    words = B.table(spark, sf_dir, "documents").select(F.explode(tx.search_words(F.col("text"))).alias("term"))
+    return stems.stemmed(words.distinct())
+
+
 def _fused(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     chunks, index = B.corpus(spark, sf_dir)
     asked = materialize(B.embedded_questions(spark, sf_dir), "questions")

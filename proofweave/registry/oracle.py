@@ -364,13 +364,12 @@ cte(
                      {focused('effective_text')} AS query_text FROM spelled_questions)
     WHERE query_text IS NOT NULL""",
 )
-cte(
-    "lexical_scores",
-    ("attempts", "chunks"),
-    f"""
+def lexical_scores(form: str = "term", forms: str = "") -> str:
+    """Scores of chunks that hold all terms; ``form`` stands for a word in the match."""
+    return f"""
     WITH terms AS (
-      SELECT DISTINCT question_id, form, enterprise_id, principals, term FROM (
-        SELECT *, unnest({search_words('query_text')}) AS term FROM attempts)
+      SELECT DISTINCT question_id, form, enterprise_id, principals, {form} FROM (
+        SELECT *, unnest({search_words('query_text')}) AS term FROM attempts) {forms}
       WHERE NOT list_contains({STOP}, term)),
     wanted AS (SELECT question_id, form, count(*) AS n FROM terms GROUP BY ALL),
     body AS (
@@ -388,8 +387,9 @@ cte(
           unnest(range(1, len({search_words('title')}) + 1)) AS pos FROM shifts)
       WHERE NOT list_contains({STOP}, term)),
     placed AS (
-      SELECT chunk_id, enterprise_id, principals, term, pos FROM body
-      UNION ALL SELECT * FROM heads),
+      SELECT chunk_id, enterprise_id, principals, {form}, pos FROM (
+        SELECT chunk_id, enterprise_id, principals, term, pos FROM body
+        UNION ALL SELECT * FROM heads) {forms}),
     hits AS (
       SELECT t.question_id, t.form, p.chunk_id, p.term, p.pos FROM terms t
       JOIN placed p ON p.enterprise_id = t.enterprise_id AND p.term = t.term
@@ -415,7 +415,79 @@ cte(
       GROUP BY ALL)
     SELECT question_id, form, chunk_id,
       round(sum(1.0::DOUBLE / (2 + fin - start - inside)), 8) AS score
-    FROM weighed GROUP BY ALL""",
+    FROM weighed GROUP BY ALL"""
+
+
+def suffix_step(rules, word: str) -> str:
+    """The rule of the longest suffix that ``word`` ends with."""
+    cases = ""
+    for suffix, new, region, before in sorted(rules, key=lambda rule: -len(rule[0])):
+        preceded = f" AND regexp_matches({word}, '[{before}]{suffix}$')" if before else ""
+        cases += f"""
+          WHEN ends_with({word}, '{suffix}') THEN CASE
+            WHEN length({word}) - {len(suffix)} >= r{region}{preceded}
+            THEN {word}[:-{len(suffix) + 1}] || '{new}' ELSE {word} END"""
+    return f"CASE {cases} ELSE {word} END"
+
+
+def word_stems(source: str) -> str:
+    """(term, stem) of the distinct words (term) of ``source``."""
+    region = f"""CASE WHEN regexp_matches({{0}}, '{K.STEM_REGION}')
+          THEN length(regexp_extract({{0}}, '{K.STEM_REGION}')) ELSE length({{0}}) END"""
+    known = " ".join(f"WHEN '{word}' THEN '{stem}'" for word, stem in K.STEM_EXCEPTIONS)
+    return f"""
+    SELECT term, CASE
+        WHEN NOT regexp_matches(term, '^[a-z][a-z][a-z]+$') THEN term
+        WHEN known IS NOT NULL THEN known
+        WHEN list_contains([{words(K.STEM_COMPLETE)}], a) THEN a
+        ELSE replace(CASE
+          WHEN ends_with(e, 'e') AND (length(e) > r2 OR length(e) > r1
+            AND NOT regexp_matches(e[:-2], '{K.STEM_SHORT}')) THEN e[:-2]
+          WHEN ends_with(e, 'll') AND length(e) > r2 THEN e[:-2] ELSE e END, 'Y', 'y') END AS stem
+    FROM (SELECT *, {suffix_step(K.STEM_STEP_4, 'd')} AS e
+    FROM (SELECT *, {suffix_step(K.STEM_STEP_3, 'c')} AS d
+    FROM (SELECT *, {suffix_step(K.STEM_STEP_2, 'y')} AS c
+    FROM (SELECT *, CASE WHEN regexp_matches(b, '.[^aeiouy][yY]$') THEN b[:-2] || 'i' ELSE b END AS y
+    FROM (SELECT *, CASE
+        WHEN regexp_matches(a, 'eedly$') THEN
+          CASE WHEN length(a) - 5 >= r1 THEN a[:-4] ELSE a END
+        WHEN regexp_matches(a, 'eed$') THEN
+          CASE WHEN length(a) - 3 >= r1 THEN a[:-2] ELSE a END
+        WHEN v IS NULL OR NOT regexp_matches(v, '[aeiouy]') THEN a
+        WHEN regexp_matches(v, '(at|bl|iz)$') THEN v || 'e'
+        WHEN regexp_matches(v, '{K.STEM_DOUBLE}') THEN v[:-2]
+        WHEN length(v) = r1 AND regexp_matches(v, '{K.STEM_SHORT}') THEN v || 'e'
+        ELSE v END AS b
+    FROM (SELECT *, CASE
+        WHEN regexp_matches(a, '(ing|ed)ly$') THEN regexp_replace(a, '(ing|ed)ly$', '')
+        WHEN regexp_matches(a, '(ing|ed)$') THEN regexp_replace(a, '(ing|ed)$', '') END AS v
+    FROM (SELECT *, CASE
+        WHEN ends_with(m, 'sses') THEN m[:-3]
+        WHEN ends_with(m, 'ies') OR ends_with(m, 'ied') THEN
+          CASE WHEN length(m) > 4 THEN m[:-3] ELSE m[:-2] END
+        WHEN ends_with(m, 'us') OR ends_with(m, 'ss') THEN m
+        WHEN regexp_matches(m, '[aeiouy].+s$') THEN m[:-2] ELSE m END AS a
+    FROM (SELECT *, r1 + {region.format('m[r1 + 1:]')} AS r2
+    FROM (SELECT *, CASE WHEN regexp_matches(m, '{K.STEM_PREFIX}')
+          THEN length(regexp_extract(m, '{K.STEM_PREFIX}')) ELSE {region.format('m')} END AS r1
+    FROM (SELECT *, regexp_replace(term, '(^|[aeiouy])y', '\\1Y', 'g') AS m,
+        CASE term {known} END AS known
+    FROM (SELECT DISTINCT term FROM {source})))))))))))"""
+
+
+cte("lexical_scores", ("attempts", "chunks"), lexical_scores())
+cte(
+    "stems",
+    ("attempts", "chunks"),
+    word_stems(f"""(
+      SELECT unnest({search_words('query_text')}) AS term FROM attempts
+      UNION ALL SELECT unnest({search_words('content')}) FROM chunks
+      UNION ALL SELECT unnest({search_words('title')}) FROM chunks)"""),
+)
+cte(
+    "stemmed_scores",
+    ("attempts", "chunks", "stems"),
+    lexical_scores("stem AS term", "JOIN stems USING (term)"),
 )
 cte(
     "lexical_ranked",
@@ -530,6 +602,16 @@ ORACLE["lexical_topk"] = build(
        FROM lexical_ranked""",
     "lexical_ranked",
 )
+ORACLE["lexical_stemmed"] = build(
+    f"""SELECT question_id, form, chunk_id, score,
+          (row_number() OVER (PARTITION BY question_id, form ORDER BY score DESC, chunk_id))::INT
+            AS lex_rank
+        FROM stemmed_scores QUALIFY lex_rank <= {K.CANDIDATE_LIMIT}""",
+    "stemmed_scores",
+)
+ORACLE["word_stems"] = word_stems(
+    f"(SELECT unnest({search_words('text')}) AS term FROM documents)"
+)
 ORACLE["rrf_fusion"] = build(
     """SELECT question_id, form, chunk_id, lex_rank::INT AS lex_rank, vec_rank::INT AS vec_rank,
          round(rrf_score, 6) AS rrf_score, fused_rank::INT AS fused_rank FROM fused""",

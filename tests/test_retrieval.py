@@ -81,6 +81,33 @@ def test_lexical_words_keep_accents_and_scripts(spark):
     assert {(r.question_id, r.chunk_id) for r in rows} == {("a", "c1"), ("b", "c3"), ("c", "c2")}
 
 
+def test_other_forms_of_a_word_match(spark):
+    chunks = spark.createDataFrame(
+        [
+            ("c1", "t", ["g"], "The vendor retains policy records", "Retention"),
+            ("c2", "t", ["g"], "retained by a retaining policy", "t"),
+            ("c3", "t", ["h"], "retain policies", "t"),
+            ("c4", "t", ["g"], "policing retainers", "t"),
+            ("c5", "t", ["g"], "", ""),
+        ],
+        CHUNK,
+    )
+    asked = spark.createDataFrame(
+        [("a", "full", "t", ["g"], "Retained policies"), ("b", "full", "t", ["g"], "policy policies"),
+         ("c", "full", "t", ["g"], "the of")],
+        ATTEMPT,
+    )
+    index = lexical.index_chunks(chunks)
+    plain = lexical.lexical_top(asked, index).collect()
+    assert plain == []
+    rows = lexical.lexical_top(asked, lexical.stem_index(index), stem=True).collect()
+    assert {(r.question_id, r.chunk_id): r.score for r in rows} == {
+        ("a", "c1"): 1.0, ("a", "c2"): 1.0, ("b", "c1"): 1.0, ("b", "c2"): 1.0}
+    stems = lexical.stem_index(index).filter("chunk_id = 'c2'").first()
+    assert stems.terms == ["retain", "polici", "t"][:2]
+    assert [(i.pos, i.term) for i in stems.lexemes][:3] == [(1, "retain"), (4, "retain"), (5, "polici")]
+
+
 def test_access_is_decided_before_positions_are_read(spark):
     """In the optimised plan, the access test lies below the join that brings positions."""
     chunks = spark.createDataFrame([("c", "t", ["g"], "alpha beta", "t")], CHUNK)

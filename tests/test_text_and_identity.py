@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from proofweave import constants as K
 from proofweave.functions import identity as ids
-from proofweave.functions import text as tx
+from proofweave.functions import stems, text as tx
 from proofweave.functions.embedding import hash_embedder
 from proofweave.functions.identity import ChunkerConfig
 from proofweave.functions.spelling import corrected_query
@@ -137,3 +137,27 @@ def test_spelling_and_focus(spark):
     frame = spark.createDataFrame([(t,) for t in focus], "t string")
     for row in frame.withColumn("f", tx.focused_query(F.col("t"))).collect():
         assert row.f == focus[row.t]
+
+
+def test_english_word_forms(spark):
+    # Words and stems published with the algorithm, one for each branch.
+    published = """
+        consign consign, consigned consign, consigning consign, consignment consign, consistency consist,
+        consolation consol, consolingly consol, knavish knavish, kneeling kneel, knightly knight, knocked knock,
+        generously generous, communication communic, arsenal arsenal, skies sky, dying die, early earli, news news,
+        innings inning, exceeds exceed, caresses caress, ponies poni, ties tie, cries cri, gas gas, gaps gap,
+        kiwis kiwi, this this, feed feed, agreed agre, plastered plaster, bled bled, motoring motor, sing sing,
+        conflated conflat, troubled troubl, hopping hop, hoping hope, falling fall, fizzed fizz, using use,
+        filing file, cry cri, by by, say say, yes yes, enjoying enjoy, toyed toy, relational relat,
+        conditional condit, rational ration, hesitanci hesit, vietnamization vietnam, operator oper,
+        analogy analog, feudalism feudal, hopefulness hope, callousness callous, sensibility sensibl,
+        rapidly rapid, silly silli, triplicate triplic, formative format, formalize formal, electrical electr,
+        goodness good, adjustable adjust, replacement replac, adoption adopt, region region, angularity angular,
+        rate rate, probate probat, cease ceas, controll control, roll roll, retained retain, retains retain,
+        policies polici, policy polici, running run
+    """
+    pairs = dict(pair.split() for pair in published.split(","))
+    pairs |= {"x1s": "x1s", "cafés": "cafés", "wörter": "wörter", "is": "is"}
+    words = spark.createDataFrame([(word,) for word in pairs] + [(None,)], "term string")
+    got = {r.term: r.stem for r in stems.stemmed(words).collect()}
+    assert got == {**pairs, None: None}
