@@ -250,3 +250,57 @@ def test_scope_validation_and_leaks(spark):
     shown = spark.createDataFrame([("a", "x"), ("a", "y"), ("a", "z"), ("a", "lost")], "question_id string, chunk_id string")
     leaks = scope.leaked_rows(shown, usable, chunks).collect()
     assert {r.chunk_id for r in leaks} == {"y", "z", "lost"}
+
+
+def test_vector_lists_of_repeated_questions_are_one_list(spark, monkeypatch):
+    monkeypatch.setattr(vector, "CHUNKS_PER_BLOCK", 4)
+    rng = np.random.default_rng(2)
+    columns = "enterprise_id string, principals array<string>, embedding array<double>"
+    made = [(f"c{n % 25:02}", "tu"[n % 2], ["g"], np.round(rng.normal(size=9), 1).tolist()) for n in range(40)]
+    made.append(("zero", "t", ["g"], [0.0] * 9))
+    asked = [(f"q{n % 4}", "tu"[n % 2 if n < 4 else 0], ["g"], rng.normal(size=9).tolist()) for n in range(6)]
+    got = {}
+    rows = vector.vector_top(
+        spark.createDataFrame(asked, f"question_id string, {columns}"),
+        spark.createDataFrame(made, f"chunk_id string, {columns}"), 20, 9,
+    )
+    for row in rows.orderBy("vec_rank").collect():
+        got.setdefault(row.question_id, []).append((row.chunk_id, row.score))
+    for name in {a[0] for a in asked}:
+        scored = []
+        for _, tenant, _, vec in (a for a in asked if a[0] == name):
+            for chunk, owner, _, held in made:
+                if owner == tenant and any(held):
+                    a, b = np.array(vec), np.array(held)
+                    scored.append((chunk, round(float(a @ b / np.sqrt((a @ a) * (b @ b))), 8)))
+        assert got[name] == sorted(scored, key=lambda s: (-s[1], s[0]))[:20]
+
+
+def test_vector_lists_are_whole_in_their_group(spark):
+    """Chunks move once for a block of questions; no list of candidates is shuffled after."""
+    columns = "enterprise_id string, principals array<string>, embedding array<float>"
+    rows = [(f"r{n}", "t", ["g"], [1.0, float(n)]) for n in range(3000)]
+    questions = spark.createDataFrame(rows, f"question_id string, {columns}")
+    chunks = spark.createDataFrame(rows, f"chunk_id string, {columns}")
+    top = vector.vector_top(questions, chunks, 5, 2)
+    plan = top._jdf.queryExecution().executedPlan().toString()
+    ranking = plan.index("FlatMapGroupsInArrow")
+    assert "Exchange" not in plan[:ranking] and "Window" not in plan
+    assert top.count() == 15_000
+    zeros = np.zeros((1, 1024), np.float32)
+    zeros[0, ::100] = 1.5
+    (packed,) = vector._packed(zeros)
+    assert len(packed) == 1024 // 8 + 11 * 4
+
+
+def test_terms_nobody_asks_for_are_not_shuffled(spark):
+    words = " ".join(f"w{n}" for n in range(200))
+    chunks = spark.createDataFrame([("c", "t", ["g"], words, "alpha"), ("d", "u", ["g"], words, "beta")], CHUNK)
+    index = lexical.index_chunks(chunks)
+    asked = spark.createDataFrame([("t", "w7"), ("t", "alpha"), ("u", "none")], "enterprise_id string, term string")
+    assert {(r.enterprise_id, r.term) for r in lexical._wanted(lexical.postings(index), asked).collect()} == {
+        ("t", "w7"), ("t", "alpha")}
+    assert {(r.term, r.chunk_count) for r in lexical.term_counts(index, asked).collect()} == {("w7", 1), ("alpha", 1)}
+    spots = lexical._occurrences(F.col("written"), F.col("places"), F.array(F.lit("w7"), F.lit("alpha")))
+    row = index.filter("chunk_id = 'c'").select(*lexical._written_out(F.col("lexemes"))).select(spots.alias("s")).first()
+    assert [(s.pos, s.term) for s in row.s] == [(8, "w7"), (201, "alpha")]
