@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from proofweave.operators import fusion, lexical, rerank, scope, vector
+from proofweave.operators.lexical_lists import scaled
 
 
 def model_covers(spots, terms):
@@ -304,3 +305,44 @@ def test_terms_nobody_asks_for_are_not_shuffled(spark):
     spots = lexical._occurrences(F.col("written"), F.col("places"), F.array(F.lit("w7"), F.lit("alpha")))
     row = index.filter("chunk_id = 'c'").select(*lexical._written_out(F.col("lexemes"))).select(spots.alias("s")).first()
     assert [(s.pos, s.term) for s in row.s] == [(8, "w7"), (201, "alpha")]
+
+
+def test_best_matches_without_a_row_for_each_pair(spark, monkeypatch):
+    """Lists of blocks and small slices equal the ranked matches; no list is shuffled after its group."""
+    monkeypatch.setattr(lexical, "ASKS_PER_BLOCK", 7)
+    monkeypatch.setattr(lexical, "ATTEMPTS_PER_BLOCK", 40)
+    rng = random.Random(11)
+    words = [f"w{n}" for n in range(12)]
+    groups = ["g", "h", "i"]
+
+    def text(most):
+        return " ".join(rng.choice(words) for _ in range(rng.randint(0, most)))
+
+    chunks = spark.createDataFrame(
+        [(f"c{n:03}", rng.choice("tu"), rng.sample(groups, rng.randint(0, 2)), text(40), text(3)) for n in range(300)], CHUNK
+    )
+    texts = [text(5) for _ in range(40)]
+    asked = spark.createDataFrame(
+        [(f"q{n}", form, rng.choice("tu"), rng.sample(groups, rng.randint(1, 2)), rng.choice(texts))
+         for n in range(80) for form in ("full", "focused")], ATTEMPT,
+    )
+    index = lexical.index_chunks(chunks)
+    want = lexical.top_ranked(lexical.lexical_matches(asked, index), 9, "lex_rank")
+    top = lexical.lexical_top(asked, index, 9)
+    columns = ("question_id", "form", "chunk_id", "score", "lex_rank")
+    got = sorted(tuple(r) for r in top.select(*columns).collect())
+    assert len(got) > 500 and got == sorted(tuple(r) for r in want.select(*columns).collect())
+    plan = top._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan[: plan.index("FlatMapGroupsInArrow")] and "Window" not in plan
+
+
+def test_best_matches_of_keys_that_repeat(spark):
+    chunks = spark.createDataFrame([("c", "t", ["g"], "alpha", "t"), ("c", "t", ["g"], "alpha", "t")], CHUNK)
+    asked = spark.createDataFrame([("q", "full", "t", ["g"], "alpha")], ATTEMPT)
+    index = lexical.index_chunks(chunks)
+    assert [r.lex_rank for r in lexical.lexical_top(asked, index, 3).collect()] == [1, 2, 3]
+
+
+def test_scores_round_halves_up():
+    scores = np.array([1 / 512, 1 / 2560, 0.1 + 0.2, 3.0, 1 / 3])
+    assert scaled(scores, 8).tolist() == [195313, 39063, 30000000, 300000000, 33333333]
