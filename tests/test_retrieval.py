@@ -4,8 +4,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from proofweave.functions.identity import compact_key, full_key
 from proofweave.operators import fusion, lexical, rerank, scope, vector
 from proofweave.operators.lexical_lists import scaled
+from proofweave.registry import bindings
 
 
 def model_covers(spots, terms):
@@ -346,3 +348,63 @@ def test_best_matches_of_keys_that_repeat(spark):
 def test_scores_round_halves_up():
     scores = np.array([1 / 512, 1 / 2560, 0.1 + 0.2, 3.0, 1 / 3])
     assert scaled(scores, 8).tolist() == [195313, 39063, 30000000, 300000000, 33333333]
+
+
+def test_compact_keys_read_back_and_halve_digests(spark):
+    keys = ["", "a", "ab", "AB", "abc", "0f" * 32, "0F" * 32, "ab\n", "\x00ab", "é", "01", "\x01", None]
+    frame = spark.createDataFrame([(k,) for k in keys], "k string").withColumn("c", compact_key(F.col("k")))
+    rows = frame.select("k", F.length("c").alias("n"), "c", full_key(F.col("c")).alias("back")).collect()
+    assert [r.back for r in rows] == keys
+    assert len({bytes(r.c) for r in rows if r.k is not None}) == len(keys) - 1
+    assert next(r.n for r in rows if r.k == "0f" * 32) == 33
+
+
+def test_candidates_move_with_compact_ids_and_written_tokens(spark):
+    ids = {n: f"{n:02x}" * 32 for n in range(3)}
+    tried = spark.createDataFrame(
+        [("q", "full", "alpha beta"), ("e", "full", "")], "question_id string, form string, query_text string"
+    )
+    by_terms = spark.createDataFrame(
+        [("q", "full", ids[0], 1), ("e", "full", ids[0], 1)],
+        "question_id string, form string, chunk_id string, lex_rank int",
+    )
+    by_vector = spark.createDataFrame(
+        [("q", ids[n], n + 1) for n in range(3)], "question_id string, chunk_id string, vec_rank int"
+    )
+    chunks = spark.createDataFrame(
+        [(ids[0], "alphabet beta", "Beta"), (ids[1], "beta, alpha", "alph"), (ids[2], "", "")],
+        "chunk_id string, content string, title string",
+    ).withColumns(
+        {"source_authority": F.lit(0.5), "extraction_quality": F.lit(0.5), "published_at": F.lit(None).cast("timestamp")}
+    )
+    fused = fusion.fuse(by_terms, by_vector, tried)
+    scored = rerank.score_candidates(fused, tried, chunks)
+    plan = scored._jdf.queryExecution().analyzed().toString()
+    assert "unhex" in plan  # ids are bytes in every exchange
+    found = {(r.question_id, r.chunk_id): r.rerank_score - r.rrf_score for r in scored.collect()}
+    assert found == {
+        ("q", ids[0]): pytest.approx(0.7),
+        ("q", ids[1]): pytest.approx(1.0 - 1 / 62),  # the score ends at 1
+        ("q", ids[2]): pytest.approx(0.0),
+        ("e", ids[0]): pytest.approx(0.0),
+    }
+
+
+def test_texts_meet_labels_and_active_versions_without_a_shuffle(spark, tmp_path):
+    documents = [(n, f"Title {n}. Body of text {n}.", "en", f"src{n % 2}", 20) for n in range(6)]
+    spark.createDataFrame(documents, "doc_id long, text string, lang string, source string, n_chars int").write.parquet(
+        f"{tmp_path}/documents.parquet"
+    )
+    spark.createDataFrame([(1, 1, 0), (2, 0, 1)], "doc_id long, quality int, toxic int").write.parquet(
+        f"{tmp_path}/labels.parquet"
+    )
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        shown = bindings.active_corpus_chunks(spark, str(tmp_path))
+        plan = shown._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
+        got = {(r.doc_id, r.version_label) for r in shown.collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert got == {(n, "v2" if n in (1, 2) else "v1") for n in range(6)}
