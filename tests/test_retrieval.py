@@ -1,4 +1,6 @@
+import os
 import random
+import time
 
 import numpy as np
 import pytest
@@ -7,6 +9,7 @@ from pyspark.sql import functions as F
 from proofweave.functions.identity import compact_key, full_key
 from proofweave.operators import fusion, lexical, rerank, scope, vector
 from proofweave.operators.lexical_lists import scaled
+from proofweave.operators.sizing import DROP_SHUFFLES, materialize
 from proofweave.registry import bindings
 
 
@@ -408,3 +411,39 @@ def test_texts_meet_labels_and_active_versions_without_a_shuffle(spark, tmp_path
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
     assert got == {(n, "v2" if n in (1, 2) else "v1") for n in range(6)}
+
+
+def test_vector_rows_that_cannot_place_end_before_the_fusion(spark):
+    by_terms = spark.createDataFrame(
+        [("q1", "full", "c" * 64, 1), ("q2", "focused", "d" * 64, 1)],
+        "question_id string, form string, chunk_id string, lex_rank int",
+    )
+    by_vector = spark.createDataFrame(
+        [("q1", c * 64, rank) for rank, c in enumerate("abcd", 1)] + [("q3", c * 64, r) for r, c in enumerate("abc", 1)],
+        "question_id string, chunk_id string, vec_rank int",
+    )
+    left = fusion.placeable(by_vector, by_terms, 2)
+    assert left.columns == by_vector.columns
+    # Behind the second place only the chunk that the question's own lexical list has.
+    assert sorted((r.question_id, r.chunk_id[0], r.vec_rank) for r in left.collect()) == [
+        ("q1", "a", 1), ("q1", "b", 2), ("q1", "c", 3), ("q3", "a", 1), ("q3", "b", 2)
+    ]
+
+
+def test_written_tables_leave_no_shuffle_files(spark):
+    folders = list(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString())
+
+    def shuffles():
+        return {f for d in folders for _, _, files in os.walk(d) for f in files if f.startswith("shuffle_")}
+
+    before, setting = shuffles(), spark.conf.get(DROP_SHUFFLES, None)
+    counted = spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count()
+    assert materialize(counted, "counted").count() == 7
+    until = time.time() + 10
+    left = {f for f in shuffles() - before if f.endswith(".data")}
+    while len(left) > 1 and time.time() < until:  # files go in the background; the count has one
+        time.sleep(0.1)
+        left = {f for f in shuffles() - before if f.endswith(".data")}
+    assert len({f.split("_")[1] for f in left}) <= 1
+    assert spark.conf.get(DROP_SHUFFLES, None) == setting
+    assert counted.count() == 7
