@@ -3,6 +3,7 @@ import random
 import time
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -447,3 +448,71 @@ def test_written_tables_leave_no_shuffle_files(spark):
     assert len({f.split("_")[1] for f in left}) <= 1
     assert spark.conf.get(DROP_SHUFFLES, None) == setting
     assert counted.count() == 7
+
+
+def test_equal_asks_share_a_list_and_a_set_meets_its_chunks(monkeypatch):
+    """Blocks of one group: sparse and filled vectors, common and rare principal sets, against brute force."""
+    monkeypatch.setattr(vector, "ASKS_OF_SET", 4)
+    rng = np.random.default_rng(4)
+    kind = np.dtype("float32")
+
+    def made(number, filled):
+        rows = np.zeros((number, 64), kind)
+        for row in rows:
+            row[rng.choice(64, filled, replace=False)] = np.round(rng.normal(size=filled), 1)
+        return rows
+
+    asked = np.concatenate([made(12, 3), made(6, 40), np.zeros((1, 64), kind)])
+    asked = np.concatenate([asked, asked[:5]])
+    stored = np.concatenate([made(90, 20), np.zeros((1, 64), kind), made(40, 2)])
+    stored[60:75] = stored[:15]  # equal scores
+    asked_sets = [["g"], ["h"], ["g", "h"]] * 8
+    asked_sets = [["rare"] if n == 7 else asked_sets[n % 3] for n in range(len(asked) - 5)] + [asked_sets[n % 3] for n in range(5)]
+    owned_sets = [[["g"], ["h"], ["k"], ["rare", "g"]][n % 4] for n in range(len(stored))]
+
+    def batch(rows, sets, is_chunk, letter):
+        names = [f"{letter}{n:03}" for n in range(len(rows))]
+        columns = {
+            "is_chunk": pa.array([is_chunk] * len(rows)), "row_id": pa.array(names),
+            "principals": pa.array(sets, pa.list_(pa.string())), "vector": pa.array(vector._packed(rows), pa.binary()),
+        }
+        return pa.RecordBatch.from_pydict(columns)
+
+    batches = [batch(asked, asked_sets, False, "q"), batch(stored, owned_sets, True, "c")]
+    asks = vector._Asks(pa.Table.from_batches(batches[:1]), 64, kind)
+    assert len(asks.size) == len(asked) - 5
+    assert any(only >= 0 for _, only in asks.segments) and any(only < 0 for _, only in asks.segments)
+    assert asks.is_dense.any() and not asks.is_dense.all()
+    found = pa.Table.from_batches(vector._block_top(10, 64, (kind, kind), 16)(iter(batches))).to_pylist()
+    got = {}
+    for row in found:
+        got.setdefault(row["question_id"], []).append((row["vec_rank"], row["chunk_id"], row["score"]))
+    for n, vec in enumerate(asked.astype(float)):
+        scored = []
+        for m, held in enumerate(stored.astype(float)):
+            if set(asked_sets[n]) & set(owned_sets[m]) and vec.any() and held.any():
+                scored.append((f"c{m:03}", round(float(vec @ held / np.sqrt((vec @ vec) * (held @ held))), 8)))
+        best = sorted(scored, key=lambda s: (-s[1], s[0]))[:10]
+        mine = sorted(got.get(f"q{n:03}", []))
+        assert [r for r, _, _ in mine] == list(range(1, len(best) + 1))
+        assert [c for _, c, _ in mine] == [c for c, _ in best]
+        assert [s for _, _, s in mine] == pytest.approx([s for _, s in best], abs=2e-8)
+
+
+def test_token_numbers_are_exact(spark):
+    """Leading zeros, eleven and twelve characters, odd tokens of a caller: recall as of the sets of texts."""
+    contents = [["007", "zzzzzzzzzzz", "a" * 12, "b"], [], None, ["7", "x-y", "0"], ["a" * 11, "a" * 13]]
+    queries = [["7", "07", "007"], ["zzzzzzzzzzz", "zzzzzzzzzzy"], ["a" * 12, "a" * 13, "b", "q"], ["0", "00"], []]
+    rows = [(q, c) for q in queries for c in contents]
+    frame = spark.createDataFrame(rows, "q array<string>, c array<string>")
+    query, content = rerank.coded(F.col("q"), plain=True), rerank.coded(F.col("c"))
+    told = frame.select("q", "c", rerank.token_recall(query, content).alias("r"), rerank.title_boost(query, content).alias("b"))
+    for row in told.collect():
+        found = None if row.c is None else set(row.q) & set(row.c)
+        if not row.q:
+            assert row.r == 0.0
+        elif found is None:
+            assert row.r is None
+        else:
+            assert row.r == pytest.approx(len(found) / len(row.q))
+        assert row.b == (0.2 if found else 0.0)
