@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from proofweave.operators.sizing import materialize
+from proofweave.operators.sizing import discard, materialize
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -44,7 +44,8 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     )
     mark = None
     for _ in range(max_rounds):
-        now = materialize(_star(_star(now, True), False), "star")
+        before, now = now, materialize(_star(_star(now, True), False), "star")
+        discard(before)
         seen = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if mark == tuple(seen):
             nodes = now.select(F.col("a").alias("node"), F.col("b").alias("root"))
