@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from proofweave.functions.identity import compact_key, full_key
-from proofweave.operators import fusion, lexical, rerank, scope, vector
+from proofweave.operators import fusion, lexical, rerank, scope, sizing, vector
 from proofweave.operators.lexical_lists import scaled
 from proofweave.operators.sizing import DROP_SHUFFLES, materialize
 from proofweave.registry import bindings
@@ -516,3 +516,41 @@ def test_token_numbers_are_exact(spark):
         else:
             assert row.r == pytest.approx(len(found) / len(row.q))
         assert row.b == (0.2 if found else 0.0)
+
+
+def test_large_tenants_meet_their_blocks_in_slices(spark, monkeypatch):
+    """Not more than two copies of the chunks at once; lists are the same as of one pass."""
+    assert sizing.blocks_at_once([(30, 5_000_000), (2, 10_000_000)]) == 2
+    assert sizing.blocks_at_once([(30, 10_000_000), (1, 90_000_000)]) == 11
+    assert sizing.blocks_at_once([(30, 50), (2, 100)]) == 30 and sizing.blocks_at_once([]) == 1
+    rng = random.Random(12)
+    words = [f"w{n}" for n in range(9)]
+    chunks = spark.createDataFrame(
+        [(f"c{n:03}", "t" if n % 4 else "u", ["g"], " ".join(rng.choices(words, k=9)), "x") for n in range(80)], CHUNK
+    )
+    asked = spark.createDataFrame([(f"q{n}", "full", "tu"[n % 2], ["g"], rng.choice(words)) for n in range(40)], ATTEMPT)
+    index = lexical.index_chunks(chunks)
+    vectors = chunks.select("chunk_id", "enterprise_id", "principals", F.array(*[F.length("content") * F.lit(1.0), F.lit(1.0)]).alias("embedding"))
+    vectors = vectors.withColumn("embedding", F.transform("embedding", lambda x: x + F.ascii(F.substring("chunk_id", 4, 1))))
+    wanted = asked.select("question_id", "enterprise_id", "principals", F.array(F.ascii("query_text") * 1.0, F.ascii(F.substring("query_text", 2, 1)) * 1.0).alias("embedding"))
+
+    def lists():
+        by_terms = lexical.lexical_top(asked, index, 5)
+        by_vector = vector.vector_top(wanted, vectors, 5, 2)
+        return [sorted(tuple(r) for r in f.select(*sorted(f.columns)).collect()) for f in (by_terms, by_vector)]
+
+    whole = lists()
+    monkeypatch.setattr(lexical, "ASKS_PER_BLOCK", 2)
+    monkeypatch.setattr(vector, "ASKS_PER_BLOCK", 2)
+    monkeypatch.setattr(sizing, "COPIES_AT_ONCE", 1)
+    plan = lexical.lexical_top(asked, index, 5)._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapGroupsInArrow" not in plan
+    assert lists() == whole and len(whole[0]) > 100 and len(whole[1]) > 100
+
+
+def test_vector_size_is_checked_where_nobody_asks(spark):
+    columns = "enterprise_id string, principals array<string>, embedding array<float>"
+    chunks = spark.createDataFrame([("x", "t", ["g"], [1.0, 2.0]), ("y", "u", ["g"], [1.0])], f"chunk_id string, {columns}")
+    questions = spark.createDataFrame([("q", "t", ["g"], [1.0, 0.0])], f"question_id string, {columns}")
+    with pytest.raises(Exception, match="embedding dimension must be 2"):
+        vector.vector_top(questions, chunks, 20, 2).collect()
